@@ -24,9 +24,9 @@ def _first_text(column: str, default: str) -> Column:
     return text.clip(first, MAX_CHARS)
 
 
-def cards(labels: DataFrame) -> DataFrame:
+def cards(labels: DataFrame, *carry: str) -> DataFrame:
     return labels.select(
-        "label_id",
+        *carry, "label_id",
         *(text.join_or(F.col(f"openfda.{c}"), "N/A").alias(c)
           for c in ("generic_name", "brand_name", "route", "dosage_form")),
         _first_text("indications_and_usage", "Not specified.").alias("indications"),
@@ -43,6 +43,4 @@ def find_cards(labels: DataFrame, names: list[str]) -> DataFrame:
     line = F.lower(text.join_or(F.col("openfda.generic_name"), ""))
     hits = F.array_compact(F.array(*(F.when(F.contains(line, F.lit(n.lower())), F.lit(n)) for n in names)))
     matched = single_ingredient(labels).select("*", F.explode(hits).alias("search"))
-    first = scale.first_per_key(matched, ["search"], [F.col("label_id")])
-    shown = cards(first)
-    return first.select("search", "label_id").join(shown, "label_id").distinct()
+    return cards(scale.first_per_key(matched, ["search"], [F.col("label_id")]), "search")

@@ -63,11 +63,11 @@ def weekly_digest(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
     The mean runs over meals, not over days; `suggestions` has the mean of daily sums.
     """
     week = since(logs, as_of, 7)
+    named_at = F.when(F.col("recipe_name").isNotNull(), F.col("ts"))
     # Days first: the distinct count then only sees one row per member and day.
     days = week.groupBy("username", "date").agg(
         F.sum(KCAL).alias("kcal"), F.count(KCAL).alias("n"), F.max("recipe_name").alias("max_recipe"),
-        F.max_by("recipe_name", F.struct("ts", "recipe_name")).alias("last_recipe"),
-        F.max("ts").alias("ts"),
+        F.max_by("recipe_name", named_at).alias("last_recipe"), F.max(named_at).alias("ts"),
     )
     total = days.groupBy("username").agg(
         F.try_divide(F.sum("kcal"), F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("active_days"),
@@ -206,8 +206,9 @@ def log_rows(picks: DataFrame, as_of: str) -> DataFrame:
 def message_daily(summary: DataFrame, as_of: str) -> DataFrame:
     verdict = F.when(F.col("goal_met"), "goal met").otherwise("off goal today, balance tomorrow")
     return summary.select("username", "email", F.format_string(
-        f"Summary for %s on {as_of}: %d meals, %.2f kcal of %.2f kcal, %s.",
-        "username", "meal_count", "total_kcal", "tdee", verdict,
+        f"Summary for %s on {as_of}: %d meals, %.2f kcal of %s kcal, %s.",
+        "username", "meal_count", "total_kcal",
+        F.when(F.col("tdee").isNull(), "unknown").otherwise(F.format_string("%.2f", "tdee")), verdict,
     ).alias("message"))
 
 

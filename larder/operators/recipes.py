@@ -6,7 +6,7 @@ import functools
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from larder import vocab
 from larder.functions import numbers, text
@@ -172,10 +172,10 @@ def cap_exact(hits: DataFrame, cuisines: int, cap: int = vocab.CUISINE_CAP) -> D
             picks.append(mine.assign(pick=range(1, len(mine) + 1)))
         return pd.concat(picks)
 
-    schema = short.select("cuisine_rank", "slug", "hit_rank").schema.add("pick", "int")
+    short = short.select("cuisine_rank", "slug", "hit_rank")
+    schema = T.StructType([*short.schema.fields, T.StructField("pick", T.IntegerType())])
     return (
-        short.select("cuisine_rank", "slug", "hit_rank")
-        .groupBy(F.lit(0).alias("all")).applyInPandas(lambda _, b: walk(b), schema)
+        short.groupBy(F.lit(0).alias("all")).applyInPandas(lambda _, b: walk(b), schema)
     )
 
 

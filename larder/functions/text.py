@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 # Every blank that str.split() and str.strip() know; all lie below U+3001.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
+# The Unicode-aware class knows the same blanks but for four control characters, and is far
+# faster than listing them.
+TOKEN = r"(?U)[^\s\x1c-\x1f]+"
+
 
 def strip(col: Column) -> Column:
     """Trim every kind of blank (plain `trim` only drops U+0020)."""
@@ -15,7 +19,7 @@ def strip(col: Column) -> Column:
 
 def token_count(col: Column) -> Column:
     """Number of blank-separated tokens."""
-    return F.regexp_count(col, F.lit(f"[^{BLANKS}]+"))
+    return F.regexp_count(col, F.lit(TOKEN))
 
 
 def slug(col: Column) -> Column:

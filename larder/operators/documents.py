@@ -15,35 +15,40 @@ MAX_TOKENS = 300
 BUDGET = 8000
 
 
+def _piece(body: Column, tokens: Column) -> Column:
+    return F.struct(body.alias("t"), tokens.alias("n"))
+
+
 def _pack(piece: Column, splitter: str, max_tokens: int) -> Column:
-    """Split one oversize text and pack neighbours greedily up to the token limit.
+    """Split one oversize piece and pack neighbours greedily up to the token limit.
 
     Blanks separate tokens and every splitter contains one, so the count of two joined
     parts is the sum of their counts; it is carried along instead of counted again.
     """
     parts = F.transform(
-        F.split(piece, splitter.replace(".", r"\.")),
-        lambda p: F.struct(text.strip(p).alias("t"), text.token_count(p).alias("n")),
+        F.split(piece["t"], splitter.replace(".", r"\.")),
+        lambda p: _piece(text.strip(p), text.token_count(p)),
+    )
+    start = F.struct(
+        F.array().cast("array<struct<t:string,n:int>>").alias("done"), _piece(F.lit(""), F.lit(0)).alias("open")
     )
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("t"), F.lit(0).alias("n"))
+
+    def flush(acc: Column) -> Column:
+        return F.when(acc["open"]["t"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
     def step(acc: Column, part: Column) -> Column:
-        joined = F.when(acc["t"] == "", part["t"]).otherwise(
-            text.strip(F.concat(acc["t"], F.lit(splitter), part["t"]))
+        current = acc["open"]
+        total = current["n"] + part["n"]
+        joined = F.when(current["t"] == "", part["t"]).otherwise(
+            text.strip(F.concat(current["t"], F.lit(splitter), part["t"]))
         )
-        fits = acc["n"] + part["n"] <= max_tokens
-        flushed = F.when(acc["t"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["t"])))
+        fits = total <= max_tokens
         return F.struct(
-            F.when(fits, acc["done"]).otherwise(flushed).alias("done"),
-            F.when(fits, joined).otherwise(part["t"]).alias("t"),
-            F.when(fits, acc["n"] + part["n"]).otherwise(part["n"]).alias("n"),
+            F.when(fits, acc["done"]).otherwise(flush(acc)).alias("done"),
+            F.when(fits, _piece(joined, total)).otherwise(part).alias("open"),
         )
 
-    return F.aggregate(
-        parts, start, step,
-        lambda acc: F.when(acc["t"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["t"]))),
-    )
+    return F.aggregate(parts, start, step, flush)
 
 
 def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
@@ -53,15 +58,15 @@ def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
     earlier splitter divides, so one level per splitter is enough. A part that nothing
     divides stays whole.
     """
-    pieces = F.array(body)
+    def divide(splitter: str):
+        return lambda piece: F.when(
+            (piece["n"] > max_tokens) & piece["t"].contains(splitter), _pack(piece, splitter, max_tokens)
+        ).otherwise(F.array(piece))
+
+    pieces = F.array(_piece(body, text.token_count(body)))
     for splitter in SPLITTERS:
-        pieces = F.flatten(F.transform(
-            pieces,
-            lambda p, s=splitter: F.when(
-                (text.token_count(p) > max_tokens) & p.contains(s), _pack(p, s, max_tokens)
-            ).otherwise(F.array(p)),
-        ))
-    return pieces
+        pieces = F.flatten(F.transform(pieces, divide(splitter)))
+    return F.transform(pieces, lambda piece: piece["t"])
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -237,7 +237,9 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     )
     near = (
         block.join(placed, cell)
-        .withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
+        # Millimetres: rounding noise must not decide between equally far sites.
+        .withColumn("distance_m", F.round(
+            geo.haversine_m(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")), 3))
         .filter(F.col("distance_m") <= RADIUS_M)
     )
     best = scale.ranked(near, spot, [F.col("distance_m"), F.col("place_id")], k)

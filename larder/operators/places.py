@@ -166,15 +166,18 @@ def search_key(kind: Column) -> Column:
     return F.when(kind.isin(known), kind).otherwise("")
 
 
+def text_answers(requests: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Requests with the array of their ranked facilities, NULL if the text search has none."""
+    answers = _nest(early_stop(text_hits(facilities)), PLACE, RECORD)
+    keyed = requests.withColumn("_type", F.col("facility_type")).withColumn(
+        "facility_type", search_key(F.col("facility_type")))
+    joined = scale.salted_join(keyed, answers, PLACE, ["request_id"], "left")
+    return joined.withColumn("facility_type", F.col("_type")).drop("_type")
+
+
 def text_search(requests: DataFrame, facilities: DataFrame) -> DataFrame:
     """Requests with their ranked facilities from the text search; no match gives no row."""
-    answers = _nest(early_stop(text_hits(facilities)), PLACE, RECORD)
-    keyed = requests.select(
-        "request_id", "city", "zipcode", search_key(F.col("facility_type")).alias("facility_type"),
-    )
-    return scale.salted_join(keyed, answers, PLACE, ["request_id"]).select(
-        "request_id", F.inline("found")
-    )
+    return text_answers(requests, facilities).select("request_id", F.inline("found"))
 
 
 def place_type(kind: Column) -> Column:
@@ -249,9 +252,10 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
 
 def search(requests: DataFrame, facilities: DataFrame) -> DataFrame:
     """Text search, else the radius search for requests without any text match."""
-    by_text = text_search(requests, facilities)
-    rest = requests.join(by_text.select("request_id").distinct(), "request_id", "left_anti")
-    by_radius = radius_search(rest, facilities).drop("distance_m")
+    answered = text_answers(
+        requests.select("request_id", *PLACE, "latitude", "longitude"), facilities)
+    by_text = answered.select("request_id", F.inline("found"))
+    by_radius = radius_search(answered.filter(F.col("found").isNull()), facilities).drop("distance_m")
     return by_text.withColumn("source", F.lit("text")).unionByName(by_radius.withColumn("source", F.lit("radius")))
 
 

@@ -73,14 +73,16 @@ def append_new_keys(rows: DataFrame, key: str, target: str, checkpoint: str) ->
     return _each(rows, write, checkpoint)
 
 
-def upsert_chunks(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def upsert_chunks(rows: DataFrame, target: str, checkpoint: str, offset: int = 0) -> StreamingQuery:
     """Log the batches of a vector table; `read_latest` gives the newest row per chunk.
 
-    Within a batch the highest `version` of a chunk wins.
+    Within a batch the highest `version` of a chunk wins. A stream with a new checkpoint
+    counts its batches from 0 again: `offset` is the number of batches already logged.
     """
     def write(batch: DataFrame, number: int) -> None:
         usable = batch.filter(F.size("embedding") > 0)
-        _write_batch(scale.first_per_key(usable, ["chunk_id"], [F.desc("version")]).drop("version"), target, number)
+        newest = scale.first_per_key(usable, ["chunk_id"], [F.desc("version")])
+        _write_batch(newest.select(*schemas.CHUNKS.fieldNames()), target, offset + number)
 
     return _each(rows, write, checkpoint)
 

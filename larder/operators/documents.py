@@ -27,7 +27,7 @@ def _pack(piece: Column, splitter: str, max_tokens: int) -> Column:
     """
     parts = F.transform(
         F.split(piece["t"], splitter.replace(".", r"\.")),
-        lambda p: _piece(text.strip(p), text.token_count(p)),
+        lambda p: _piece(p, text.token_count(p)),
     )
     start = F.struct(
         F.array().cast("array<struct<t:string,n:int>>").alias("done"), _piece(F.lit(""), F.lit(0)).alias("open")
@@ -39,20 +39,20 @@ def _pack(piece: Column, splitter: str, max_tokens: int) -> Column:
     def step(acc: Column, part: Column) -> Column:
         current = acc["open"]
         total = current["n"] + part["n"]
-        joined = F.when(current["t"] == "", part["t"]).otherwise(
-            text.strip(F.concat(current["t"], F.lit(splitter), part["t"]))
+        joined = text.strip(
+            F.when(current["t"] == "", part["t"]).otherwise(F.concat(current["t"], F.lit(splitter), part["t"]))
         )
         fits = total <= max_tokens
         return F.struct(
             F.when(fits, acc["done"]).otherwise(flush(acc)).alias("done"),
-            F.when(fits, _piece(joined, total)).otherwise(part).alias("open"),
+            F.when(fits, _piece(joined, total)).otherwise(_piece(text.strip(part["t"]), part["n"])).alias("open"),
         )
 
     return F.aggregate(parts, start, step, flush)
 
 
 def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """Array of chunks: whole text if it fits, else blocks, else lines, else sentences.
+    """Array of chunks (t: text, n: tokens): whole text if it fits, else blocks, else lines, else sentences.
 
     A packed chunk within the limit is final. A chunk above it is a single part that no
     earlier splitter divides, so one level per splitter is enough. A part that nothing
@@ -66,20 +66,21 @@ def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
     pieces = F.array(_piece(body, text.token_count(body)))
     for splitter in SPLITTERS:
         pieces = F.flatten(F.transform(pieces, divide(splitter)))
-    return F.transform(pieces, lambda piece: piece["t"])
+    return pieces
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(condition, file_name, text) -> chunk rows; documents without text are skipped."""
     return (
         docs.filter(text.non_blank(F.col("text")))
-        .select("condition", "file_name", F.posexplode(split_text(F.col("text"), max_tokens)).alias("chunk_index", "text"))
+        .select("condition", "file_name", F.posexplode(split_text(F.col("text"), max_tokens)).alias("chunk_index", "piece"))
         .select(
             F.concat_ws("_", "condition", "file_name", F.col("chunk_index").cast("string")).alias("chunk_id"),
             "condition",
             F.concat("condition", F.lit("/"), "file_name", F.lit(".md")).alias("source_file"),
             F.col("chunk_index").cast("long").alias("chunk_index"),
-            "text",
+            F.col("piece.t").alias("text"),
+            F.col("piece.n").cast("long").alias("tokens"),
         )
     )
 
@@ -130,7 +131,9 @@ def budget_prefix(
     Counts are never negative, so stopping at the first overflow and keeping every prefix
     sum within the budget are the same.
     """
-    counted = chunks.withColumn("tokens", text.token_count(F.col(column)).cast("long"))
+    counted = chunks
+    if "tokens" not in chunks.columns:
+        counted = chunks.withColumn("tokens", text.token_count(F.col(column)).cast("long"))
     return scale.running_sum(
         counted, keys, [position], "tokens",
         [F.floor(F.col(position) / 256), F.floor(F.col(position) / 65536)], "running_tokens",

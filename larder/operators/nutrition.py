@@ -179,12 +179,12 @@ def plan_picks(picks: DataFrame) -> DataFrame:
 def remaining_kcal(users: DataFrame, picks: DataFrame) -> DataFrame:
     """Goal minus the running intake of the day, after every pick.
 
-    The running sum goes minute by minute below hour by hour, so a member-day of any size
-    is spread over tasks.
+    The running sum goes minute by minute, so a member-day of any size is spread over tasks
+    and leaves at most 1440 totals to add up.
     """
     daily = scale.running_sum(
         picks.withColumn("_kcal", F.coalesce(KCAL, F.lit(0.0))), ["username", "date"], ["ts", "event_id"], "_kcal",
-        [F.date_trunc("minute", "ts"), F.date_trunc("hour", "ts")], "eaten",
+        [F.date_trunc("minute", "ts")], "eaten",
     )
     return scale.salted_join(daily, _goals(users), ["username"], ["event_id"], "left").select(
         "username", "date", "event_id", "recipe_name", (_goal_value() - F.col("eaten")).alias("remaining_kcal")

@@ -17,7 +17,7 @@ from larder.operators import scale
 ENOUGH = 3
 CAP = 5
 RADIUS_M = 10_000.0
-LEVELS = 6
+LEVELS = 12
 PLACE = ["city", "zipcode", "facility_type"]
 
 
@@ -186,12 +186,16 @@ def place_type(kind: Column) -> Column:
 
 
 def _size(level: Column) -> Column:
-    return F.lit(RADIUS_M) / F.pow(F.lit(4.0), level)
+    return F.lit(RADIUS_M) / F.pow(F.lit(2.0), level)
 
 
-def _cells(lat: str, lng: str, around: bool) -> Column:
-    """Cells of a point on every level; with its eight neighbours if `around`."""
-    steps = F.array(*(F.lit(i) for i in ((-1, 0, 1) if around else (0,))))
+def _all_levels() -> Column:
+    return F.sequence(F.lit(0), F.lit(LEVELS - 1))
+
+
+def _cells(lat: str, lng: str, levels: Column, reach: int) -> Column:
+    """Cells of a point on some levels, with all neighbours up to `reach` steps away."""
+    steps = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
 
     def at_level(level: Column) -> Column:
         size = _size(level)
@@ -201,16 +205,17 @@ def _cells(lat: str, lng: str, around: bool) -> Column:
             (geo.lng_column(F.col(lng), geo.lat_row(F.col(lat), size) + dy, size) + dx).alias("col"),
         ))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at_level))
+    return F.flatten(F.transform(levels, at_level))
 
 
 def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
     """The `k` nearest facilities of a request's type within ten kilometres.
 
-    Cells shrink fourfold per level. Cell counts tell the finest level whose 3x3 block
-    around a spot holds `k` sites; those lie within 2.83 cells, so the block one level up,
-    which covers four, holds the nearest `k`. Dense areas are thus searched in small cells,
-    sparse ones in large cells, and no cell is ever paired as a whole with all its requests.
+    Cells halve per level, from ten kilometres to five metres. Cell counts tell the finest
+    level at which a spot's own cell holds `k` sites. Those lie within 1.42 cell widths, so
+    the 3x3 block one level up, which reaches two widths, holds the nearest `k`; without
+    such a level the coarsest block holds all there is. Dense areas are thus searched in
+    small cells, and a crowded cell is not paired with all requests around it.
     """
     cell = ["place_type", "level", "row", "col"]
     spot = ["place_type", "lat", "lng"]
@@ -226,18 +231,18 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     # Sites of one exact point differ by id only, so `k` of them are enough.
     sites = scale.first_per_key(sites, ["place_type", "latitude", "longitude", "place_id"], [F.col("listing_rank")])
     sites = scale.first_per_key(sites, ["place_type", "latitude", "longitude"], [F.col("place_id")], k)
-    placed = sites.select(*RECORD, "place_type", F.inline(_cells("latitude", "longitude", False)))
-    counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    placed = sites.select(*RECORD, "place_type", F.inline(_cells("latitude", "longitude", _all_levels(), 0)))
+    full = (
+        placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        .select(*cell, F.col("level").alias("full"))
+    )
 
-    probes = distinct.select(*spot, F.inline(_cells("lat", "lng", True)))
     finest = (
-        probes.join(counts, cell).groupBy(*spot, "level").agg(F.sum("n").alias("n"))
-        .groupBy(*spot).agg(F.max(F.when(F.col("n") >= k, F.col("level"))).alias("finest"))
-        .withColumn("wanted", F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0)))
-    )
-    block = finest.select(*spot, "wanted", F.inline(_cells("lat", "lng", True))).filter(
-        F.col("level") == F.col("wanted")
+        distinct.select(*spot, F.inline(_cells("lat", "lng", _all_levels(), 0)))
+        .join(full, cell, "left").groupBy(*spot).agg(F.max("full").alias("finest"))
     )
+    wanted = F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0))
+    block = finest.select(*spot, F.inline(_cells("lat", "lng", F.array(wanted), 1)))
     near = (
         block.join(placed, cell)
         # Millimetres: rounding noise must not decide between equally far sites.

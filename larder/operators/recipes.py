@@ -89,10 +89,8 @@ def pivot_eav(raw: DataFrame, numeric_max: bool = False) -> DataFrame:
     A repeated attribute keeps its largest *string*, as casting happens after the maximum;
     `numeric_max` casts first. Numbers that do not parse become NULL (see `pivot_rejects`).
     """
-    attribute = F.lower("attribute")
-
     def pick(name: str, value: Column) -> Column:
-        return F.max(F.when(attribute == name, value))
+        return F.max(F.when(F.col("_attribute") == name, value))
 
     value = F.col("value")
     texts = [F.coalesce(pick(a, value), F.lit("N/A")).alias(c) for a, c in vocab.TEXT_ATTRIBUTES]
@@ -100,7 +98,7 @@ def pivot_eav(raw: DataFrame, numeric_max: bool = False) -> DataFrame:
         figures = [pick(a, value.try_cast("double")).alias(c) for a, c in vocab.NUMBER_ATTRIBUTES]
     else:
         figures = [pick(a, value).try_cast("double").alias(c) for a, c in vocab.NUMBER_ATTRIBUTES]
-    return raw.groupBy("recipe_name").agg(*texts, *figures)
+    return raw.withColumn("_attribute", F.lower("attribute")).groupBy("recipe_name").agg(*texts, *figures)
 
 
 def pivot_rejects(raw: DataFrame) -> DataFrame:
@@ -119,12 +117,11 @@ def keys_not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     One NULL among the known keys excludes everything, and so does a NULL key of its own
     unless nothing is known.
     """
-    facts = known.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("n_null")
-    )
-    total, nulls = facts.select("n").scalar(), facts.select("n_null").scalar()
+    facts = known.agg(F.struct(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col(key).isNull()).alias("nulls")
+    ).alias("facts")).scalar()
     return (
-        rows.filter((total == 0) | ((nulls == 0) & F.col(key).isNotNull()))
+        rows.filter((facts["total"] == 0) | ((facts["nulls"] == 0) & F.col(key).isNotNull()))
         .join(known.select(key).distinct(), key, "left_anti")
     )
 
@@ -134,6 +131,15 @@ def new_keys(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_anti")
 
 
+def pivot_new(raw: DataFrame, known: DataFrame, numeric_max: bool = False) -> DataFrame:
+    """Wide rows of the recipes that are not known yet.
+
+    The pivot comes first: it shrinks every recipe to one row before the shuffle that the
+    anti join then shares, so a recipe with very many rows does no harm.
+    """
+    return new_keys(pivot_eav(raw, numeric_max), known, "recipe_name")
+
+
 def ledger_union(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     return ledger.unionByName(keys).distinct()
 

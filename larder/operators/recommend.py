@@ -146,40 +146,41 @@ def request_rows(requests: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pools(
-    recipes: DataFrame, wanted: DataFrame, pool: int = POOL, encourage: bool = False
-) -> DataFrame:
-    """First `pool` recipes per wanted (limit_key, cuisine_term, meal_term).
+def candidate_classes(recipes: DataFrame, pool: int = POOL, encourage: bool = False) -> DataFrame:
+    """First `pool` recipes per (condition, range, cuisine label, meal label).
+
+    The only pass over the recipes. Every recipe is expanded in place to the conditions and
+    ranges it meets, and each task keeps `pool` rows per class before anything is shuffled.
+    """
+    keys = ["limit_key", "range_key", "cuisine_type", "meal_type"]
+    expanded = recipes.select(
+        "recipe_name", "cuisine_type", "meal_type", ENERGY,
+        F.explode(recipe_conditions(encourage)).alias("limit_key"), recipe_ranges().alias("ranges"),
+    ).select("*", F.explode("ranges").alias("range_key")).drop("ranges")
+    return scale.first_per_key(expanded, keys, [F.col("recipe_name")], pool)
 
-    Recipes are cut to `pool` per (condition, range, cuisine label, meal label) first. Only
-    those few rows meet the requested words, so no recipe is paired with a request.
+
+def candidate_pools(classes: DataFrame, wanted: DataFrame, pool: int = POOL) -> DataFrame:
+    """First `pool` recipes per wanted (limit_key, cuisine_term, meal_term), as one array each.
+
+    The requested words meet the few rows of the classes, never the recipes.
     """
     known = [m for m, _, _ in vocab.MEAL_RANGES]
-    wanted = wanted.select("limit_key", "cuisine_term", "meal_term").distinct().withColumn(
+    wanted = wanted.withColumn(
         "range_key", F.when(F.col("meal_term").isin(known), F.col("meal_term")).otherwise(ANY_RANGE)
     )
-    keys = ["limit_key", "range_key", "cuisine_type", "meal_type"]
-    order = [F.col("recipe_name")]
-    asked = wanted.select("limit_key", "range_key").distinct()
-    classes = scale.first_per_key(
-        recipes.select(
-            "recipe_name", "cuisine_type", "meal_type", ENERGY,
-            F.explode(recipe_conditions(encourage)).alias("limit_key"),
-            recipe_ranges().alias("ranges"),
-        )
-        .select("*", F.explode("ranges").alias("range_key")).drop("ranges")
-        # at most 8 conditions x 5 ranges
-        .join(F.broadcast(asked), ["limit_key", "range_key"], "left_semi"),
-        keys, order, pool,
-    )
-    by_cuisine = label_terms(recipes, wanted, "cuisine_type", "cuisine_term")
-    by_meal = label_terms(recipes, wanted, "meal_type", "meal_term")
+    by_cuisine = label_terms(classes, wanted, "cuisine_type", "cuisine_term")
+    by_meal = label_terms(classes, wanted, "meal_type", "meal_term")
     pairs = (
         classes.join(by_cuisine, "cuisine_type").join(by_meal, "meal_type")
         .join(wanted, ["limit_key", "range_key", "cuisine_term", "meal_term"], "left_semi")
     )
-    return scale.ranked(pairs, ["limit_key", "cuisine_term", "meal_term"], order, pool, "pool_rank").select(
-        "limit_key", "cuisine_term", "meal_term", "pool_rank", "recipe_name", ENERGY
+    keys = ["limit_key", "cuisine_term", "meal_term"]
+    # At most `pool` recipes meet in one array.
+    return (
+        scale.ranked(pairs, keys, [F.col("recipe_name")], pool, "pool_rank")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("pool_rank", "recipe_name", ENERGY))).alias("pool"))
     )
 
 
@@ -192,27 +193,26 @@ def recommend(
 
     Without a seed the picks are the first by name; with one, every user gets an own
     repeatable draw. `keep_unmatched` keeps combinations without any recipe, with a NULL rank.
+
+    The pools of all wanted combinations are settled first. They are as few as there are
+    distinct wishes, so the requests usually meet them without being shuffled.
     """
     limited = F.when(F.col("condition").isin(vocab.CONDITIONS), F.col("condition")).otherwise("")
     people = members.conform_condition(spark, users.select("username", "chronic_condition"))
     people = people.select("username", limited.alias("limit_key"))
-    asked = request_rows(requests).join(people, "username")
-    # At most `pool` recipes meet in one array.
-    entry = F.struct("pool_rank", "recipe_name", ENERGY)
-    pools = (
-        candidate_pools(recipes, asked, pool, encourage)
-        .groupBy("limit_key", "cuisine_term", "meal_term")
-        .agg(F.sort_array(F.collect_list(entry)).alias("pool"))
-    )
+    asked = scale.salted_join(request_rows(requests), people, ["username"], ["username", "cuisine", "meal"])
+
+    keys = ["limit_key", "cuisine_term", "meal_term"]
+    classes = scale.settle(candidate_classes(recipes, pool, encourage), "classes")
+    pools = scale.settle(candidate_pools(classes, asked.select(*keys).distinct(), pool), "pools")
     if seed is None:
         chosen = F.slice("pool", 1, picks)
     else:
         draw = F.transform("pool", lambda r: F.struct(
             F.xxhash64(F.lit(seed), F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
         chosen = F.transform(F.slice(F.sort_array(draw), 1, picks), lambda d: d["r"])
-    joined = scale.salted_join(
-        asked, pools, ["limit_key", "cuisine_term", "meal_term"], ["username", "cuisine", "meal"],
-        "left" if keep_unmatched else "inner",
+    joined = scale.lookup_join(
+        asked, pools, keys, ["username", "cuisine", "meal"], "left" if keep_unmatched else "inner"
     )
     explode = F.posexplode_outer if keep_unmatched else F.posexplode
     return joined.select(
@@ -237,9 +237,15 @@ def sample_per_group(rows: DataFrame, keys: Sequence[str], id_column: str, k: in
 
 
 def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Text card per picked recipe with its condition's nutrients."""
+    """Text card per picked recipe with its condition's nutrients.
+
+    The recipe table is first cut to the picked names, which are few.
+    """
+    wanted = scale.settle(picked.select("recipe_name").distinct(), "picked")
+    columns = sorted({c for name in vocab.CONDITIONS for c in select_for(name)} | {*BASE_COLUMNS, ENERGY})
+    few = scale.lookup_join(recipes.select(*columns), wanted, ["recipe_name"], ["recipe_name"], "left_semi")
     details = scale.salted_join(
-        picked.drop(ENERGY), recipes, ["recipe_name"], ["username", "cuisine", "meal", "rank"]
+        picked.drop(ENERGY), few, ["recipe_name"], ["username", "cuisine", "meal", "rank"]
     )
 
     def nutrient_lines(condition: str) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larder.sources import scratch
+
 BROADCAST_ROWS = 20_000
 SALTS = 8
 
@@ -35,6 +37,17 @@ def lookup_join(
     return salted_join(big, small, on, salt_by, how)
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate result to the shared folder and go on from there.
+
+    What follows neither repeats the work nor depends on the executors that did it, and
+    counting it for `lookup_join` costs next to nothing.
+    """
+    path = scratch.new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First `k` rows per key.
 
@@ -86,7 +99,7 @@ def running_sum(
 
 
 def concat_ordered(
-    df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str = "\n\n", span: int = 4096,
+    df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str = "\n\n", span: int = 1024,
     out: str = "text",
 ) -> DataFrame:
     """Join the texts of a key in order of a whole-number position.

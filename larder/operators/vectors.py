@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,8 +18,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
 
 
-def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Score of two vectors, larger is closer; unequal dimensions are an error."""
+def norm(a: Column) -> Column:
+    squares = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.sqrt(squares)
+
+
+def similarity(a: Column, b: Column, metric: str = "cosine", b_norm: Column | None = None) -> Column:
+    """Score of two vectors, larger is closer; unequal dimensions are an error.
+
+    `b_norm` is the length of `b` where it is known, so it is not worked out per row.
+    """
     if metric == "dot":
         score = _dot(a, b)
     elif metric == "l2":
@@ -27,7 +36,7 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
             F.lit(0.0), lambda acc, p: acc + p,
         ))
     elif metric == "cosine":
-        score = F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+        score = F.try_divide(_dot(a, b), norm(a) * (norm(b) if b_norm is None else b_norm))
     else:
         raise ValueError(f"unknown metric {metric!r}")
     return F.when(F.size(a) == F.size(b), score).otherwise(
@@ -42,7 +51,8 @@ def top_k(
     """The `k` closest chunks of the given conditions; one scan, one bounded top-k per task."""
     kept = vectors if conditions is None else vectors.filter(F.col("condition").isin(list(conditions)))
     point = F.array(*(F.lit(float(x)) for x in query))
-    scored = kept.withColumn("score", similarity(F.col("embedding"), point, metric))
+    length = F.lit(math.sqrt(sum(float(x) ** 2 for x in query)))
+    scored = kept.withColumn("score", similarity(F.col("embedding"), point, metric, length))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
@@ -50,9 +60,10 @@ def top_k_per_condition(
     vectors: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "cosine"
 ) -> DataFrame:
     """The same for one query vector per condition: every chunk is scored once."""
-    scored = scale.lookup_join(vectors, queries, ["condition"], ["chunk_id"], "inner").withColumn(
-        "score", similarity(F.col("embedding"), F.col("query"), metric)
-    ).drop("query")
+    sized = queries.select("condition", "query", norm(F.col("query")).alias("query_norm"))
+    scored = scale.lookup_join(vectors, sized, ["condition"], ["chunk_id"], "inner").withColumn(
+        "score", similarity(F.col("embedding"), F.col("query"), metric, F.col("query_norm"))
+    ).drop("query", "query_norm")
     return scale.ranked(scored, ["condition"], [F.desc("score"), F.col("chunk_id")], k)
 
 

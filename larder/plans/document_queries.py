@@ -59,7 +59,7 @@ def _chunks_sql(limit: int = documents.MAX_TOKENS) -> str:
 
 @query("chunk_documents", with_views(["docs"], _chunks_sql() + " SELECT * FROM chunk_rows", recursive=True))
 def chunk_documents(spark, sf_dir):
-    return documents.chunk_documents(view(spark, sf_dir, "docs"))
+    return documents.chunk_documents(view(spark, sf_dir, "docs")).drop("tokens")
 
 
 @query("truncate_budget", with_views(["docs"], _chunks_sql(100) + f"""

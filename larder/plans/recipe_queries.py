@@ -137,8 +137,7 @@ def incremental_not_in(spark, sf_dir):
 @query("incremental_append", with_views(["raw_recipes", "known_recipes"], "WITH fresh AS (SELECT r.* FROM raw_recipes r "
        "ANTI JOIN known_recipes k ON r.recipe_name = k.recipe_name) " + _pivot_sql(False, "fresh")))
 def incremental_append(spark, sf_dir):
-    fresh = recipes.new_keys(raw_recipes(spark, sf_dir), view(spark, sf_dir, "known_recipes"), "recipe_name")
-    return recipes.pivot_eav(fresh)
+    return recipes.pivot_new(raw_recipes(spark, sf_dir), view(spark, sf_dir, "known_recipes"))
 
 
 @query("ledger_new_keys", with_views(["known_recipes"], f"""

@@ -8,6 +8,10 @@ from larder.functions import text
 from larder.sources import schemas
 
 CSV_ROWS_PER_TASK = 10_000
+RECIPE_CSV_OPTIONS = {
+    "header": True, "mode": "DROPMALFORMED", "columnPruning": False, "pathGlobFilter": "*.csv",
+    "recursiveFileLookup": True,
+}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,13 +26,11 @@ def read_recipe_json(spark: SparkSession, path: str) -> DataFrame:
 def read_recipe_csvs(spark: SparkSession, path: str) -> DataFrame:
     """All recipe CSV files below `path`: the key is the file name, columns go by position.
 
-    Rows that do not parse are skipped and the load goes on.
+    Rows that do not parse are skipped and the load goes on. All columns are parsed, so that
+    a bad row is bad whichever columns a query needs.
     """
     return (
-        spark.read.schema(schemas.RECIPE_CSV)
-        .option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-        .csv(path)
+        spark.read.schema(schemas.RECIPE_CSV).options(**RECIPE_CSV_OPTIONS).csv(path)
         .select(
             F.regexp_replace("_metadata.file_name", r"\.csv$", "").alias("recipe_name"), "attribute", "value",
         )
@@ -90,8 +92,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files `<condition>/<file>.md` as whole documents; empty ones are skipped."""
     file = F.col("_metadata.file_path")
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md").text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
         .select(
             F.regexp_extract(file, r"([^/]+)/[^/]+\.md$", 1).alias("condition"),
             F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("file_name"),

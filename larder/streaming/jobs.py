@@ -16,10 +16,7 @@ KCAL = nutrition.KCAL
 
 def stream_recipe_csvs(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.readStream.schema(schemas.RECIPE_CSV)
-        .option("header", True).option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-        .csv(path)
+        spark.readStream.schema(schemas.RECIPE_CSV).options(**files.RECIPE_CSV_OPTIONS).csv(path)
         .select(F.regexp_replace("_metadata.file_name", r"\.csv$", "").alias("recipe_name"), "attribute", "value")
     )
 
@@ -51,8 +48,9 @@ def _write_batch(rows: DataFrame, target: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")
 
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+def _with_batch(schema: T.StructType | str) -> T.StructType:
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return T.StructType([*fields.fields, T.StructField("batch_id", T.LongType())])
 
 
 def _read_before(spark: SparkSession, target: str, schema, batch: int) -> DataFrame:
@@ -82,7 +80,7 @@ def upsert_chunks(rows: DataFrame, target: str, checkpoint: str, offset: int = 0
     def write(batch: DataFrame, number: int) -> None:
         usable = batch.filter(F.size("embedding") > 0)
         newest = scale.first_per_key(usable, ["chunk_id"], [F.desc("version")])
-        _write_batch(newest.select(*schemas.CHUNKS.fieldNames()), target, offset + number)
+        _write_batch(newest.drop("version"), target, offset + number)
 
     return _each(rows, write, checkpoint)
 

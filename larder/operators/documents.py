@@ -125,19 +125,19 @@ def assemble_pages(pages: DataFrame, span: int = 4096) -> DataFrame:
 
 def budget_prefix(
     chunks: DataFrame, keys: Sequence[str], position: str, budget: int = BUDGET, column: str = "text",
+    bounded: bool = False,
 ) -> DataFrame:
     """Leading chunks of each key while the running token count stays within the budget.
 
     Counts are never negative, so stopping at the first overflow and keeping every prefix
-    sum within the budget are the same.
+    sum within the budget are the same. `bounded` says that no key has many chunks, as after
+    a top-k; otherwise a key is summed up in blocks of 256 positions.
     """
     counted = chunks
     if "tokens" not in chunks.columns:
         counted = chunks.withColumn("tokens", text.token_count(F.col(column)).cast("long"))
-    return scale.running_sum(
-        counted, keys, [position], "tokens",
-        [F.floor(F.col(position) / 256), F.floor(F.col(position) / 65536)], "running_tokens",
-    ).filter(F.col("running_tokens") <= budget)
+    blocks = [] if bounded else [F.floor(F.col(position) / 256), F.floor(F.col(position) / 65536)]
+    return scale.running_sum(counted, keys, [position], "tokens", blocks, "running_tokens").filter(F.col("running_tokens") <= budget)
 
 
 def context_prompts(contexts: DataFrame) -> DataFrame:

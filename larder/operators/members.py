@@ -73,9 +73,8 @@ def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:
     first_mail = complete.groupBy("email").agg(F.min("request_id").alias("first_by_mail"))
     taken_names = users.select("username").distinct().withColumn("name_taken", F.lit(True))
     taken_mails = users.select("email").distinct().withColumn("mail_taken", F.lit(True))
-    salt = ["request_id"]
-    joined = scale.salted_join(checked, first_name.join(taken_names, "username", "left"), ["username"], salt, "left")
-    joined = scale.salted_join(joined, first_mail.join(taken_mails, "email", "left"), ["email"], salt, "left")
+    joined = scale.salted_join(checked, first_name.join(taken_names, "username", "left"), ["username"], "left")
+    joined = scale.salted_join(joined, first_mail.join(taken_mails, "email", "left"), ["email"], "left")
     reason = (
         F.when(F.size("missing") > 0, F.concat(F.lit("missing: "), F.array_join("missing", ", ")))
         .when(F.col("name_taken"), "username already registered")

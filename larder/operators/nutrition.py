@@ -186,7 +186,7 @@ def remaining_kcal(users: DataFrame, picks: DataFrame) -> DataFrame:
         picks.withColumn("_kcal", F.coalesce(KCAL, F.lit(0.0))), ["username", "date"], ["ts", "event_id"], "_kcal",
         [F.date_trunc("minute", "ts")], "eaten",
     )
-    return scale.salted_join(daily, _goals(users), ["username"], ["event_id"], "left").select(
+    return scale.salted_join(daily, _goals(users), ["username"], "left").select(
         "username", "date", "event_id", "recipe_name", (_goal_value() - F.col("eaten")).alias("remaining_kcal")
     )
 

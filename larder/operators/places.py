@@ -167,11 +167,15 @@ def search_key(kind: Column) -> Column:
 
 
 def text_answers(requests: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Requests with the array of their ranked facilities, NULL if the text search has none."""
-    answers = _nest(early_stop(text_hits(facilities)), PLACE, RECORD)
+    """Requests with the array of their ranked facilities, NULL if the text search has none.
+
+    The answers, one row per place and type, are settled: they are needed more than once and
+    usually few enough for the requests to stay where they are.
+    """
+    answers = scale.settle(_nest(early_stop(text_hits(facilities)), PLACE, RECORD), "answers")
     keyed = requests.withColumn("_type", F.col("facility_type")).withColumn(
         "facility_type", search_key(F.col("facility_type")))
-    joined = scale.salted_join(keyed, answers, PLACE, ["request_id"], "left")
+    joined = scale.lookup_join(keyed, answers, PLACE, "left")
     return joined.withColumn("facility_type", F.col("_type")).drop("_type")
 
 
@@ -252,7 +256,7 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     )
     best = scale.ranked(near, spot, [F.col("distance_m"), F.col("place_id")], k)
     answers = _nest(best, spot, [*RECORD, "distance_m"])
-    return scale.salted_join(spots, answers, spot, ["request_id"]).select("request_id", F.inline("found"))
+    return scale.salted_join(spots, answers, spot).select("request_id", F.inline("found"))
 
 
 def search(requests: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -289,7 +293,7 @@ def facility_record(rows: DataFrame) -> DataFrame:
 def with_details(facilities: DataFrame, details: DataFrame) -> DataFrame:
     """Attach website, phone and opening hours by place id."""
     extra = details.select("place_id", "website", "phone", "opening_hours", F.lit(True).alias("found"))
-    joined = scale.salted_join(facilities, extra, ["place_id"], ["listing_rank"], "left")
+    joined = scale.salted_join(facilities, extra, ["place_id"], "left")
     return joined.withColumns({
         "website": F.coalesce("website", F.lit("")),
         "phone": F.coalesce("phone", F.lit("")),

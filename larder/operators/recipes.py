@@ -117,13 +117,13 @@ def keys_not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     One NULL among the known keys excludes everything, and so does a NULL key of its own
     unless nothing is known.
     """
-    facts = known.agg(F.struct(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col(key).isNull()).alias("nulls")
-    ).alias("facts")).scalar()
-    return (
-        rows.filter((facts["total"] == 0) | ((facts["nulls"] == 0) & F.col(key).isNotNull()))
-        .join(known.select(key).distinct(), key, "left_anti")
-    )
+    null_key = F.col(key).isNull()
+    # 2: nothing is known, 0: a NULL is, 1: neither. A NULL key of its own needs 2, others 1.
+    verdict = known.agg(
+        F.when(F.count(F.lit(1)) == 0, 2).when(F.count_if(null_key) > 0, 0).otherwise(1).alias("verdict")
+    ).scalar()
+    return rows.filter(verdict >= F.when(null_key, 2).otherwise(1)).join(
+        known.select(key).distinct(), key, "left_anti")
 
 
 def new_keys(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -149,15 +149,22 @@ def request_rows(requests: DataFrame) -> DataFrame:
 def candidate_classes(recipes: DataFrame, pool: int = POOL, encourage: bool = False) -> DataFrame:
     """First `pool` recipes per (condition, range, cuisine label, meal label).
 
-    The only pass over the recipes. Every recipe is expanded in place to the conditions and
-    ranges it meets, and each task keeps `pool` rows per class before anything is shuffled.
+    The only pass over the recipes. Recipes meeting the same conditions and ranges under the
+    same labels stand in for each other, so each task keeps `pool` of every such kind before
+    anything is shuffled. Only those are then expanded to the conditions and ranges they meet.
     """
+    kinds = ["cuisine_type", "meal_type", "conditions", "ranges"]
+    order = [F.col("recipe_name")]
+    kept = scale.first_per_key(
+        recipes.select(
+            "recipe_name", "cuisine_type", "meal_type", ENERGY,
+            recipe_conditions(encourage).alias("conditions"), recipe_ranges().alias("ranges"),
+        ),
+        kinds, order, pool,
+    )
+    classes = kept.withColumn("limit_key", F.explode("conditions")).withColumn("range_key", F.explode("ranges"))
     keys = ["limit_key", "range_key", "cuisine_type", "meal_type"]
-    expanded = recipes.select(
-        "recipe_name", "cuisine_type", "meal_type", ENERGY,
-        F.explode(recipe_conditions(encourage)).alias("limit_key"), recipe_ranges().alias("ranges"),
-    ).select("*", F.explode("ranges").alias("range_key")).drop("ranges")
-    return scale.first_per_key(expanded, keys, [F.col("recipe_name")], pool)
+    return scale.first_per_key(classes.drop("conditions", "ranges"), keys, order, pool)
 
 
 def candidate_pools(classes: DataFrame, wanted: DataFrame, pool: int = POOL) -> DataFrame:
@@ -200,7 +207,7 @@ def recommend(
     limited = F.when(F.col("condition").isin(vocab.CONDITIONS), F.col("condition")).otherwise("")
     people = members.conform_condition(spark, users.select("username", "chronic_condition"))
     people = people.select("username", limited.alias("limit_key"))
-    asked = scale.salted_join(request_rows(requests), people, ["username"], ["username", "cuisine", "meal"])
+    asked = scale.salted_join(request_rows(requests), people, ["username"])
 
     keys = ["limit_key", "cuisine_term", "meal_term"]
     classes = scale.settle(candidate_classes(recipes, pool, encourage), "classes")
@@ -211,9 +218,7 @@ def recommend(
         draw = F.transform("pool", lambda r: F.struct(
             F.xxhash64(F.lit(seed), F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
         chosen = F.transform(F.slice(F.sort_array(draw), 1, picks), lambda d: d["r"])
-    joined = scale.lookup_join(
-        asked, pools, keys, ["username", "cuisine", "meal"], "left" if keep_unmatched else "inner"
-    )
+    joined = scale.lookup_join(asked, pools, keys, "left" if keep_unmatched else "inner")
     explode = F.posexplode_outer if keep_unmatched else F.posexplode
     return joined.select(
         "username", "limit_key", "cuisine", "meal", explode(chosen).alias("position", "r")
@@ -243,10 +248,8 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
     """
     wanted = scale.settle(picked.select("recipe_name").distinct(), "picked")
     columns = sorted({c for name in vocab.CONDITIONS for c in select_for(name)} | {*BASE_COLUMNS, ENERGY})
-    few = scale.lookup_join(recipes.select(*columns), wanted, ["recipe_name"], ["recipe_name"], "left_semi")
-    details = scale.salted_join(
-        picked.drop(ENERGY), few, ["recipe_name"], ["username", "cuisine", "meal", "rank"]
-    )
+    few = scale.lookup_join(recipes.select(*columns), wanted, ["recipe_name"], "left_semi")
+    details = scale.salted_join(picked.drop(ENERGY), few, ["recipe_name"])
 
     def nutrient_lines(condition: str) -> Column:
         names = [c for c in select_for(condition)[len(BASE_COLUMNS) + 1:]]

@@ -13,28 +13,26 @@ SALTS = 8
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str],
-    how: str = "inner", salts: int = SALTS,
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
     """Equi-join whose hot keys are spread over `salts` tasks.
 
-    The salt is a hash of `salt_by`, so a recomputed task sends every row the same way.
-    `small` should hold few rows per key: it is repeated once per salt.
+    The salt is the number of the input partition a row is read from. It tells even equal
+    rows apart, and a recomputed task gives its rows the salt they had before. `small`
+    should hold few rows per key: it is repeated once per salt.
     """
-    keys = list(on)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    left = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str],
-    how: str = "left", max_rows: int = BROADCAST_ROWS,
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join with a lookup table: broadcast after counting it, salted join beyond the bound."""
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), list(on), how)
-    return salted_join(big, small, on, salt_by, how)
+    return salted_join(big, small, on, how)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -67,7 +67,7 @@ SELECT chunk_id, CAST(tokens AS BIGINT) AS tokens, CAST(running AS BIGINT) AS ru
   sum({_tokens('text')}) OVER (PARTITION BY source_file ORDER BY chunk_index) AS running FROM chunk_rows) WHERE running <= 900""",
     recursive=True))
 def truncate_budget(spark, sf_dir):
-    chunks = documents.chunk_documents(view(spark, sf_dir, "docs"), 100)
+    chunks = scale.settle(documents.chunk_documents(view(spark, sf_dir, "docs"), 100), "chunks")
     return documents.budget_prefix(chunks, ["source_file"], "chunk_index", 900).select(
         "chunk_id", "tokens", "running_tokens")
 
@@ -199,7 +199,7 @@ FROM ctx, (VALUES {", ".join(f"({r}, '{q}')" for r, q in vocab.SUMMARY_QUESTIONS
 def build_context(spark, sf_dir):
     best = _per_condition(spark, sf_dir, vectors.SUMMARY_K).select("condition", "rank", "chunk_index")
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
-    kept = documents.budget_prefix(best.join(texts, "chunk_index"), ["condition"], "rank")
+    kept = documents.budget_prefix(best.join(texts, "chunk_index"), ["condition"], "rank", bounded=True)
     context = scale.concat_ordered(kept, ["condition"], "rank", "text", out="context")
     return documents.context_prompts(context)
 

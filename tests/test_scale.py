@@ -29,7 +29,7 @@ def test_salted_join_equals_join(spark):
     rows = spark.createDataFrame(skewed(), "k string, i int, v int")
     names = spark.createDataFrame([("hot", "H"), ("k1", "one"), ("zz", "none")], "k string, name string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = scale.salted_join(rows, names, ["k"], ["i"], how).collect()
+        a = scale.salted_join(rows, names, ["k"], how).collect()
         b = rows.join(names, "k", how).collect()
         assert sorted(map(str, a)) == sorted(map(str, b))
 
@@ -37,8 +37,8 @@ def test_salted_join_equals_join(spark):
 def test_lookup_join_beyond_its_bound(spark):
     rows = spark.createDataFrame(skewed(), "k string, i int, v int")
     names = rows.select("k").distinct().withColumn("name", F.upper("k"))
-    small = scale.lookup_join(rows, names, ["k"], ["i"])
-    large = scale.lookup_join(rows, names, ["k"], ["i"], max_rows=3)
+    small = scale.lookup_join(rows, names, ["k"])
+    large = scale.lookup_join(rows, names, ["k"], max_rows=3)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan

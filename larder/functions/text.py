@@ -73,6 +73,11 @@ def join_or(col: Column, default: str, sep: str = ", ") -> Column:
     return F.array_join(F.coalesce(col, F.array(F.lit(default))), sep)
 
 
+def seeded_order(seed: int, *cols: Column) -> Column:
+    """Sort key that shuffles rows the same way for the same seed, on any engine."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)), 1, 16)
+
+
 def non_blank(col: Column) -> Column:
     return col.isNotNull() & (col != "")
 

@@ -164,7 +164,7 @@ def cap_exact(hits: DataFrame, cuisines: int, cap: int = vocab.CUISINE_CAP) -> D
     need = cap * cuisines
     unique = hits.groupBy("cuisine_rank", "slug").agg(F.min("hit_rank").alias("hit_rank"))
     order = [F.col("hit_rank"), F.col("slug")]
-    shard = F.pmod(F.xxhash64("slug"), F.lit(64))
+    shard = F.pmod(F.xxhash64("slug"), F.lit(256))
     short = scale.first_per_key(unique.withColumn("_shard", shard), ["cuisine_rank", "_shard"], order, need)
     short = scale.first_per_key(short.drop("_shard"), ["cuisine_rank"], order, need)
 

@@ -216,7 +216,7 @@ def recommend(
         chosen = F.slice("pool", 1, picks)
     else:
         draw = F.transform("pool", lambda r: F.struct(
-            F.xxhash64(F.lit(seed), F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
+            text.seeded_order(seed, F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
         chosen = F.transform(F.slice(F.sort_array(draw), 1, picks), lambda d: d["r"])
     joined = scale.lookup_join(asked, pools, keys, "left" if keep_unmatched else "inner")
     explode = F.posexplode_outer if keep_unmatched else F.posexplode
@@ -238,7 +238,7 @@ def unmatched(recommendations: DataFrame) -> DataFrame:
 
 def sample_per_group(rows: DataFrame, keys: Sequence[str], id_column: str, k: int, seed: int) -> DataFrame:
     """Repeatable sample of up to `k` rows per group, by seeded hash order."""
-    return scale.first_per_key(rows, keys, [F.xxhash64(F.lit(seed), F.col(id_column)), F.col(id_column)], k)
+    return scale.first_per_key(rows, keys, [text.seeded_order(seed, F.col(id_column)), F.col(id_column)], k)
 
 
 def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:

@@ -73,10 +73,11 @@ def upsert(
     """Table after a batch: the newest version per chunk id wins, empty vectors are skipped.
 
     `replace_document` first drops all chunks of the batch's source files, so a document
-    that shrank leaves no old tail. Only the batch is ranked; the table is anti-joined.
+    that shrank leaves no old tail. Only the batch is ranked; the table is anti-joined with
+    its keys, without a shuffle while they are few.
     """
     usable = batch.filter(F.size("embedding") > 0)
-    newest = scale.first_per_key(usable, ["chunk_id"], [F.desc(version)])
+    newest = scale.settle(scale.first_per_key(usable, ["chunk_id"], [F.desc(version)]), "newest")
     key = "source_file" if replace_document else "chunk_id"
     changed = newest.select(key).distinct()
     kept = scale.lookup_join(table, changed, [key], "left_anti")

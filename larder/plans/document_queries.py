@@ -173,6 +173,7 @@ def _per_condition(spark, sf_dir, k: int):
     """Query vector of a condition: its first chunk."""
     chunks = view(spark, sf_dir, "chunks")
     queries = chunks.groupBy("condition").agg(F.min_by("embedding", "chunk_index").alias("query"))
+    queries = scale.settle(queries, "queries")
     return vectors.top_k_per_condition(chunks, queries, k)
 
 
@@ -198,8 +199,10 @@ SELECT condition, CAST(rank AS BIGINT) AS rank, question, 'Question: ' || questi
 FROM ctx, (VALUES {", ".join(f"({r}, '{q}')" for r, q in vocab.SUMMARY_QUESTIONS)}) v(rank, question)"""))
 def build_context(spark, sf_dir):
     best = _per_condition(spark, sf_dir, vectors.SUMMARY_K).select("condition", "rank", "chunk_index")
+    best = scale.settle(best, "best")
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
-    kept = documents.budget_prefix(best.join(texts, "chunk_index"), ["condition"], "rank", bounded=True)
+    kept = documents.budget_prefix(
+        scale.lookup_join(texts, best, ["chunk_index"], "inner"), ["condition"], "rank", bounded=True)
     context = scale.concat_ordered(kept, ["condition"], "rank", "text", out="context")
     return documents.context_prompts(context)
 

@@ -118,13 +118,19 @@ def recommend_no_match(spark, sf_dir):
     return recommend.unmatched(recommend.recommend(spark, *_inputs(spark, sf_dir), keep_unmatched=True))
 
 
-@query("recommend_sampled")
+@query("recommend_sampled", with_views(["users", "recipes", "asked"], f"""
+WITH {PEOPLE.replace('rank <= 5', 'rank <= 15')} SELECT r.username, r.condition, r.cuisine, r.meal, p.recipe_name, p.{ENERGY},
+  row_number() OVER (PARTITION BY r.username, r.cuisine, r.meal
+    ORDER BY substr(md5('7|' || r.username || '|' || p.recipe_name), 1, 16), p.rank) AS rank
+FROM req r JOIN pool p ON p.condition = r.condition AND p.c = lower(r.cuisine) AND p.m = lower(r.meal) QUALIFY row_number() OVER
+  (PARTITION BY r.username, r.cuisine, r.meal ORDER BY substr(md5('7|' || r.username || '|' || p.recipe_name), 1, 16), p.rank) <= 5"""))
 def recommend_sampled(spark, sf_dir):
-    """Per-user draw by seeded hash; the hash has no SQL twin."""
     return recommend.recommend(spark, *_inputs(spark, sf_dir), seed=7)
 
 
-@query("sample_k_per_group")
+@query("sample_k_per_group", with_views(["recipes"], """
+SELECT cuisine_type, recipe_name FROM recipes QUALIFY row_number() OVER
+  (PARTITION BY cuisine_type ORDER BY substr(md5('7|' || recipe_name), 1, 16), recipe_name) <= 5"""))
 def sample_k_per_group(spark, sf_dir):
     rows = view(spark, sf_dir, "recipes").select("cuisine_type", "recipe_name")
     return recommend.sample_per_group(rows, ["cuisine_type"], "recipe_name", 5, 7)

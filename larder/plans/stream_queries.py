@@ -15,10 +15,8 @@ from larder.streaming import jobs
 
 def stream_view(spark, sf_dir: str, name: str):
     source, columns = TABLES[name]
-    rows = (
-        spark.readStream.schema(load(spark, sf_dir, source).schema)
-        .option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
-    )
+    # A pattern takes the table whether it is one file or a folder of files.
+    rows = spark.readStream.schema(load(spark, sf_dir, source).schema).parquet(f"{sf_dir}/{source}.parque[t]")
     return rows.selectExpr(*(f"{expr} AS `{alias}`" for alias, expr in columns.items()))
 
 

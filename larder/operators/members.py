@@ -87,11 +87,14 @@ def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def sign_up(requests: DataFrame, users: DataFrame) -> DataFrame:
+def sign_up(requests: DataFrame, users: DataFrame, at: str | None = None) -> DataFrame:
     """Accepted requests as new member rows, password hashed and metrics computed."""
+    created = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
     accepted = check_signup(requests, users).filter(F.col("reason").isNull()).drop("reason", "request_id")
     hashed = accepted.withColumn("password", hash_text(F.col("password")))
-    return with_tdee(with_bmi(hashed)).withColumn("is_active", F.lit(True))
+    return with_tdee(with_bmi(hashed)).withColumns({
+        "is_active": F.lit(True), "created_at": created, "updated_at": F.lit(None).cast("timestamp"),
+    })
 
 
 def hash_text(col: Column) -> Column:

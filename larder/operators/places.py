@@ -163,6 +163,8 @@ RECORD = ["place_id", "name", "address", "rating", "total_ratings", "latitude",
 def search_key(kind: Column) -> Column:
     """Types without own terms share the default search."""
     known = list(dict.fromkeys(k for k, _, _ in vocab.FACILITY_TERMS))
+    for alias, target in vocab.TYPE_ALIASES.items():
+        kind = F.when(kind == alias, target).otherwise(kind)
     return F.when(kind.isin(known), kind).otherwise("")
 
 

@@ -214,18 +214,19 @@ def question_prompt(spark, sf_dir):
         "doc_id", documents.question_prompt(F.col("text"), F.col("source")).alias("prompt"))
 
 
-# An upsert batch: every second chunk again in two versions, some with an empty vector.
+# The table holds all conditions but c4. The batch brings c2 to c5 in two versions each; the
+# second version of c3 and both of c5 have no vector.
 BATCH_SQL = """SELECT chunk_id, condition, source_file, chunk_index, text || ' v' || CAST(version AS VARCHAR) AS text, version
   FROM chunks, (VALUES (1), (2)) v(version)
-  WHERE chunk_index % 2 = 0 AND NOT (version = 2 AND chunk_index % 5 = 0) AND NOT (chunk_index % 10 = 0)"""
+  WHERE condition IN ('c2', 'c3', 'c4', 'c5') AND NOT (condition = 'c3' AND version = 2) AND condition <> 'c5'"""
 
 
 def _upsert(spark, sf_dir, replace_document: bool):
     chunks = view(spark, sf_dir, "chunks")
-    table = chunks.filter("chunk_index % 3 <> 1")
-    batch = chunks.filter("chunk_index % 2 = 0").withColumn(
+    table = chunks.filter("condition <> 'c4'")
+    batch = chunks.filter("condition IN ('c2', 'c3', 'c4', 'c5')").withColumn(
         "version", F.explode(F.array(F.lit(1), F.lit(2))))
-    gone = (F.col("chunk_index") % 10 == 0) | ((F.col("version") == 2) & (F.col("chunk_index") % 5 == 0))
+    gone = ((F.col("condition") == "c3") & (F.col("version") == 2)) | (F.col("condition") == "c5")
     batch = batch.withColumn("embedding", F.when(gone, F.array().cast("array<float>")).otherwise(F.col("embedding")))
     batch = batch.withColumn("text", F.concat("text", F.lit(" v"), F.col("version").cast("string")))
     return vectors.upsert(table, batch, replace_document=replace_document).drop("embedding")
@@ -235,7 +236,7 @@ def _upsert_sql(key: str) -> str:
     return with_views(["chunks"], f"""WITH batch AS ({BATCH_SQL}),
     newest AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) = 1)
     SELECT chunk_id, condition, source_file, chunk_index, text FROM chunks
-    WHERE chunk_index % 3 <> 1 AND {key} NOT IN (SELECT {key} FROM newest)
+    WHERE condition <> 'c4' AND {key} NOT IN (SELECT {key} FROM newest)
     UNION ALL SELECT chunk_id, condition, source_file, chunk_index, text FROM newest""")
 
 

@@ -95,10 +95,10 @@ MISSING = " || ".join(
 
 def _signup(spark, sf_dir):
     requests = load(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {a}" for a, e in SIGNUP.items()))
-    return requests, view(spark, sf_dir, "users").filter("age % 3 = 0")
+    return requests, view(spark, sf_dir, "users").filter("last_name = 'BUILDING'")
 
 
-SIGNUP_CHECK = f"""WITH req AS ({SIGNUP_SQL}), known AS (SELECT username, email FROM users WHERE age % 3 = 0),
+SIGNUP_CHECK = f"""WITH req AS ({SIGNUP_SQL}), known AS (SELECT username, email FROM users WHERE last_name = 'BUILDING'),
 checked AS (SELECT *, substr({MISSING}, 3) AS missing FROM req),
 ranked AS (SELECT *, min(CASE WHEN missing = '' THEN request_id END) OVER (PARTITION BY username) AS by_name,
   min(CASE WHEN missing = '' THEN request_id END) OVER (PARTITION BY email) AS by_mail FROM checked),

@@ -67,14 +67,14 @@ def stream_incremental_append(spark, sf_dir):
 
 
 @query("stream_upsert_chunks", with_views(["chunks"], """
-SELECT chunk_id, condition, text || ' v' || CASE WHEN chunk_index % 2 = 0 THEN '2' ELSE '1' END AS text FROM chunks"""))
+SELECT chunk_id, condition, text || ' v' || CASE WHEN condition IN ('c0', 'c1', 'c2') THEN '2' ELSE '1' END AS text FROM chunks"""))
 def stream_upsert_chunks(spark, sf_dir):
-    """Two loads of the vector table: the second one replaces every second chunk."""
+    """Two loads of the vector table: the second one replaces three conditions."""
     folder = scratch.new_dir(spark, "chunks")
     for run in (1, 2):
         rows = stream_view(spark, sf_dir, "chunks").withColumn("version", F.lit(run))
         if run == 2:
-            rows = rows.filter("chunk_index % 2 = 0")
+            rows = rows.filter("condition IN ('c0', 'c1', 'c2')")
         rows = rows.withColumn("text", F.concat("text", F.lit(f" v{run}")))
         jobs.upsert_chunks(rows, f"{folder}/out", f"{folder}/checkpoint-{run}", offset=run - 1).awaitTermination()
     return jobs.read_latest(spark, f"{folder}/out").select("chunk_id", "condition", "text")

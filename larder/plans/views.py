@@ -116,8 +116,8 @@ EAV = [
 ]
 EAV_NAME = f"'recipe_' || CAST({P} - {P} % 2 AS STRING)"
 
-# Recipe already stored by an earlier load.
-KNOWN = {"recipe_name": f"'recipe_' || CAST({P} AS STRING)"}
+# Recipes already stored by an earlier load: those returned in the largest quantity; names repeat.
+KNOWN = {"recipe_name": "'recipe_' || CAST(l_partkey AS STRING)"}
 
 DOCS = {
     "doc_id": "doc_id",
@@ -188,20 +188,20 @@ PARAMS = {
 }
 
 CHAT = {"conv_id": "conv_id", "turn": "turn", "role": "role",
-        "text": "CASE WHEN (conv_id + turn) % 5 = 0 THEN 'TBD' ELSE text END"}
+        "text": "CASE WHEN role = 'system' THEN 'TBD' ELSE text END"}
 
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "users": ("customer", USERS),
     "logs": ("events", LOGS),
     "recipes": ("part", RECIPES),
-    "known_recipes": ("part", KNOWN),
+    "known_recipes": ("lineitem", KNOWN),
     "docs": ("documents", DOCS),
     "chunks": ("embeddings", CHUNKS),
     "facilities": ("supplier", FACILITIES),
     "place_requests": ("customer", REQUESTS),
     "chat": ("conversations", CHAT),
 }
-FILTERS = {"known_recipes": f"{P} % 3 = 0"}
+FILTERS = {"known_recipes": "l_returnflag = 'R' AND l_quantity >= 50"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -279,11 +279,11 @@ def _asked_columns() -> tuple[str, str]:
 
 
 def meal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with word arrays; every eighth asks for no cuisine."""
+    """Requests with word arrays; one market segment asks for no cuisine."""
     cuisine, meal = _asked_columns()
     return load(spark, sf_dir, "customer").select(
         F.expr(f"'u' || CAST({K} AS STRING)").alias("username"),
-        F.when(F.col(K) % 8 == 7, F.array().cast("array<string>"))
+        F.when(F.col("c_mktsegment") == "MACHINERY", F.array().cast("array<string>"))
         .otherwise(F.split(F.expr(cuisine), r"\|")).alias("cuisine_types"),
         F.split(F.expr(meal), r"\|").alias("meal_types"),
     )
@@ -294,8 +294,8 @@ def asked_sql() -> str:
     cuisine, meal = _asked_columns()
     return (
         "SELECT username, cuisine, unnest(string_split(meals, '|')) AS meal FROM ("
-        f"SELECT 'u' || CAST({K} AS STRING) AS username, unnest(string_split({cuisine}, '|')) AS cuisine, "
-        f"{meal} AS meals FROM customer WHERE {K} % 8 <> 7)"
+        f"SELECT 'u' || CAST({K} AS STRING) AS username, unnest(CASE WHEN c_mktsegment = 'MACHINERY' THEN [] "
+        f"ELSE string_split({cuisine}, '|') END) AS cuisine, {meal} AS meals FROM customer)"
     )
 
 

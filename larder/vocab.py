@@ -229,11 +229,3 @@ def condition_limits(spark: SparkSession, encourage: bool = False) -> DataFrame:
 
 def condition_synonyms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONDITION_SYNONYMS, "name string, condition string")
-
-
-def meal_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MEAL_RANGES, "meal string, lo double, hi double")
-
-
-def facility_terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FACILITY_TERMS, "facility_type string, term_rank int, term string")

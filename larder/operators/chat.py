@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.operators import scale
 
@@ -21,18 +21,23 @@ def map_roles(messages: DataFrame, roles: Sequence[tuple[str, str]] = tuple(ROLE
     )
 
 
+def _line() -> Column:
+    return F.concat(F.lit("Tool: "), "tool", F.lit(", Input: "), "tool_input", F.lit("\nOutput: "), "log")
+
+
 def scratchpad(steps: DataFrame, last: int = 4) -> DataFrame:
-    """The last steps of a conversation, pending ones dropped afterwards, joined in order."""
-    line = F.concat(F.lit("Tool: "), "role", F.lit("\nOutput: "), "text")
-    recent = scale.ranked(steps, ["conv_id"], [F.desc("turn")], last).filter(F.col("text") != PENDING)
+    """The last steps of a conversation, pending ones dropped afterwards, joined in order.
+
+    A step is (conv_id, turn, tool, tool_input, log).
+    """
+    recent = scale.ranked(steps, ["conv_id"], [F.desc("turn")], last).filter(F.col("log") != PENDING)
     # At most `last` rows per conversation.
     return recent.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn"), line.alias("line")))).alias("rows")
+        F.sort_array(F.collect_list(F.struct(F.col("turn"), _line().alias("line")))).alias("rows")
     ).select("conv_id", F.array_join(F.transform("rows", lambda r: r["line"]), SEP).alias("scratchpad"))
 
 
 def full_log(steps: DataFrame) -> DataFrame:
     """All finished steps of a conversation, in bounded segments."""
-    line = F.concat(F.lit("Tool: "), "role", F.lit("\nOutput: "), "text")
-    rows = steps.filter(F.col("text") != PENDING).withColumn("line", line)
+    rows = steps.filter(F.col("log") != PENDING).withColumn("line", _line())
     return scale.concat_ordered(rows, ["conv_id"], "turn", "line", SEP, out="scratchpad")

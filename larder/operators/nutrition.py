@@ -89,7 +89,7 @@ def critical_low(users: DataFrame, logs: DataFrame, as_of: str, share: float = 0
 
 def daily_calories(logs: DataFrame) -> DataFrame:
     """Calorie tracking: one total per member and day."""
-    return logs.groupBy("username", "date").agg(F.sum(KCAL).alias("total_calories"))
+    return logs.groupBy("username", "date").agg(F.coalesce(F.sum(KCAL), F.lit(0.0)).alias("total_calories"))
 
 
 def _goals(users: DataFrame) -> DataFrame:
@@ -109,7 +109,8 @@ def daily_vs_goal(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
 
 def meal_share(logs: DataFrame, as_of: str) -> DataFrame:
     """Calories per meal type and their share of the member's week."""
-    sums = since(logs, as_of, 7).groupBy("username", "meal_type").agg(F.sum(KCAL).alias("kcal"))
+    sums = since(logs, as_of, 7).groupBy("username", "meal_type").agg(
+        F.coalesce(F.sum(KCAL), F.lit(0.0)).alias("kcal"))
     whole = F.sum("kcal").over(Window.partitionBy("username"))
     return sums.withColumn("percent", F.round(numbers.percent(F.col("kcal"), whole), 1))
 
@@ -117,7 +118,8 @@ def meal_share(logs: DataFrame, as_of: str) -> DataFrame:
 def suggestions(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
     """Advice from the mean of daily sums and the mean fibre of the trailing week."""
     days = since(logs, as_of, 7).groupBy("username", "date").agg(
-        F.sum(KCAL).alias("kcal"), F.sum("fiber_g").alias("fiber"), F.count("fiber_g").alias("n_fiber")
+        F.coalesce(F.sum(KCAL), F.lit(0.0)).alias("kcal"), F.sum("fiber_g").alias("fiber"),
+        F.count("fiber_g").alias("n_fiber"),
     )
     means = days.groupBy("username").agg(
         F.avg("kcal").alias("avg_kcal"), F.try_divide(F.sum("fiber"), F.sum("n_fiber")).alias("avg_fiber")

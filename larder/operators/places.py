@@ -24,9 +24,9 @@ PLACE = ["city", "zipcode", "facility_type"]
 def request_reason() -> Column:
     """Why a request cannot be searched; NULL if it can."""
     return (
-        F.when(~F.coalesce(text.non_blank(F.col("city")), F.lit(False)), "city is required")
-        .when(~F.coalesce(text.non_blank(F.col("zipcode")), F.lit(False)), "zip code is required")
-        .when(~text.zip_is_valid(F.col("zipcode")), "zip code is not valid")
+        F.when(~F.coalesce(text.non_blank(F.col("city")), F.lit(False)), vocab.CITY_MISSING)
+        .when(~F.coalesce(text.non_blank(F.col("zipcode")), F.lit(False)), vocab.ZIP_MISSING)
+        .when(~text.zip_is_valid(F.col("zipcode")), vocab.ZIP_INVALID)
     )
 
 
@@ -276,8 +276,8 @@ def search_outcome(requests: DataFrame, found: DataFrame) -> DataFrame:
     where = F.concat("city", F.lit(" "), "zipcode")
     return requests.join(counts, "request_id", "left").select(
         "request_id", F.col("n").isNotNull().alias("success"),
-        F.when(F.col("n").isNotNull(), F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" facilities in "), where))
-        .otherwise(F.concat(F.lit("No facilities found in "), where)).alias("message"),
+        F.when(F.col("n").isNotNull(), F.format_string(vocab.FACILITIES_FOUND, "n", where))
+        .otherwise(F.format_string(vocab.FACILITIES_NONE, where)).alias("message"),
     )
 
 

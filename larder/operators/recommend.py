@@ -232,7 +232,7 @@ def unmatched(recommendations: DataFrame) -> DataFrame:
     """Message rows for combinations without a recipe."""
     return recommendations.filter(F.col("rank").isNull()).select(
         "username", "cuisine", "meal",
-        F.format_string("No recipe fits %s (%s).", "meal", "cuisine").alias("message"),
+        F.format_string(vocab.NO_RECIPES, "meal", "cuisine").alias("message"),
     )
 
 
@@ -253,9 +253,9 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
 
     def nutrient_lines(condition: str) -> Column:
         names = [c for c in select_for(condition)[len(BASE_COLUMNS) + 1:]]
-        return F.concat_ws("\n", *(
+        return F.concat(*(
             F.concat(
-                F.lit(f"{vocab.SYMBOL_DEFAULT} "), text.title_words(F.lit(c)), F.lit(": "),
+                F.lit(f"\n{vocab.SYMBOL_DEFAULT} "), text.title_words(F.lit(c)), F.lit(": "),
                 F.coalesce(F.col(c).cast("string"), F.lit("N/A")),
             ) for c in names
         ))
@@ -263,7 +263,7 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
     extra = F.lit("")
     for c in vocab.CONDITIONS:
         if len(select_for(c)) > len(BASE_COLUMNS) + 1:
-            extra = F.when(F.col("condition") == c, F.concat(F.lit("\n"), nutrient_lines(c))).otherwise(extra)
+            extra = F.when(F.col("condition") == c, nutrient_lines(c)).otherwise(extra)
     lines = [
         F.concat(F.lit("🍽️ **"), F.col("recipe_name"), F.lit("**")),
         F.concat(F.lit("🔗 [View Recipe]("), F.col("link"), F.lit(")")),
@@ -275,7 +275,23 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
     ]
     return details.select(
         "username", "condition", "cuisine", "meal", "rank", "recipe_name",
-        F.concat(F.concat_ws("\n", *lines), extra).alias("card"),
+        F.concat(F.concat_ws("  \n", *lines), extra, F.lit("\n")).alias("card"),
+    )
+
+
+def card_blocks(card_rows: DataFrame) -> DataFrame:
+    """One text per wish: the heading and its cards in order, at most a handful.
+
+    Cards are collected as a set, so a wish that was sent very often stays small.
+    """
+    rows = card_rows.groupBy("username", "cuisine", "meal").agg(
+        F.sort_array(F.collect_set(F.struct("rank", "card"))).alias("rows"))
+    return rows.select(
+        "username", "cuisine", "meal",
+        F.concat(
+            F.format_string(vocab.CARD_HEADING, "meal", "cuisine"),
+            F.array_join(F.transform("rows", lambda r: r["card"]), "\n"),
+        ).alias("block"),
     )
 
 

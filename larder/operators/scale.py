@@ -100,7 +100,7 @@ def concat_ordered(
     df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str = "\n\n", span: int = 1024,
     out: str = "text",
 ) -> DataFrame:
-    """Join the texts of a key in order of a whole-number position.
+    """Join the texts of a key in order of a whole-number position, unique within the key.
 
     A key is emitted in segments of `span` positions, so no task ever gathers an unbounded
     key; with fewer positions than that, segment 0 is the whole text.

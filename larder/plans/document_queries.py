@@ -256,19 +256,19 @@ def chat_roles(spark, sf_dir):
     return chat.map_roles(load(spark, sf_dir, "conversations"), [("user", "human"), ("assistant", "ai")]).drop("text")
 
 
-STEP = "'Tool: ' || role || chr(10) || 'Output: ' || text"
+STEP = "'Tool: ' || tool || ', Input: ' || tool_input || chr(10) || 'Output: ' || log"
 SEP = "chr(10) || '---' || chr(10)"
 
 
-@query("chat_scratchpad", with_views(["chat"], f"""
-SELECT conv_id, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad FROM (SELECT * FROM chat
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) WHERE text <> 'TBD' GROUP BY conv_id"""))
+@query("chat_scratchpad", with_views(["steps"], f"""
+SELECT conv_id, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad FROM (SELECT * FROM steps
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) WHERE log <> 'TBD' GROUP BY conv_id"""))
 def chat_scratchpad(spark, sf_dir):
-    return chat.scratchpad(view(spark, sf_dir, "chat"))
+    return chat.scratchpad(view(spark, sf_dir, "steps"))
 
 
-@query("chat_full_log", with_views(["chat"], f"""
+@query("chat_full_log", with_views(["steps"], f"""
 SELECT conv_id, CAST(0 AS BIGINT) AS segment, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad, count(*) AS parts
-FROM chat WHERE text <> 'TBD' GROUP BY conv_id"""))
+FROM steps WHERE log <> 'TBD' GROUP BY conv_id"""))
 def chat_full_log(spark, sf_dir):
-    return chat.full_log(view(spark, sf_dir, "chat"))
+    return chat.full_log(view(spark, sf_dir, "steps"))

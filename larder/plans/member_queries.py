@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder import vocab
-from larder.operators import members, scale
+from larder.operators import members
 from larder.plans.registry import query
-from larder.plans.views import K, load, view, with_views
+from larder.plans.views import load, view, with_views
 
 BMI = "(weight / ((height / 100.0E0) * (height / 100.0E0)))"
 

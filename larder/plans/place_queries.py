@@ -13,8 +13,8 @@ from larder.plans.views import (
 )
 
 REQ = f"raw_requests AS ({place_requests_sql()})"
-REASON = """CASE WHEN coalesce(city, '') = '' THEN 'city is required' WHEN coalesce(zipcode, '') = '' THEN 'zip code is required'
-  WHEN NOT regexp_full_match(zipcode, '[0-9]{5}(-[0-9]{4})?') THEN 'zip code is not valid' END"""
+REASON = f"""CASE WHEN coalesce(city, '') = '' THEN '{vocab.CITY_MISSING}' WHEN coalesce(zipcode, '') = '' THEN '{vocab.ZIP_MISSING}'
+  WHEN NOT regexp_full_match(zipcode, '[0-9]{{5}}(-[0-9]{{4}})?') THEN '{vocab.ZIP_INVALID}' END"""
 NORMAL = f"""{REQ}, requests AS (SELECT * REPLACE (
   CASE WHEN facility_type = 'community_center' THEN 'mental_health_group' ELSE facility_type END AS facility_type,
   CASE WHEN facility_type IN ('pharmacy', 'mental_health_group', 'community_center') THEN '' ELSE chronic_condition END AS chronic_condition)
@@ -165,8 +165,8 @@ def facility_with_fallback(spark, sf_dir):
 
 
 @query("facility_outcome", with_views(["facilities"], f"""
-WITH {FOUND} SELECT r.request_id, n IS NOT NULL AS success, CASE WHEN n IS NULL THEN 'No facilities found in '
-  ELSE 'Found ' || CAST(n AS VARCHAR) || ' facilities in ' END || city || ' ' || zipcode AS message
+WITH {FOUND} SELECT r.request_id, n IS NOT NULL AS success, CASE WHEN n IS NULL THEN 'No healthcare facilities found in '
+  ELSE 'Found ' || CAST(n AS VARCHAR) || ' healthcare facilities in ' END || city || ' ' || zipcode AS message
 FROM requests r LEFT JOIN (SELECT request_id, count(*) AS n FROM found GROUP BY 1) f USING (request_id)"""))
 def facility_outcome(spark, sf_dir):
     return places.search_outcome(*_found(spark, sf_dir))

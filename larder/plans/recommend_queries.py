@@ -112,7 +112,7 @@ def recommend_batch(spark, sf_dir):
 
 
 @query("recommend_no_match", with_views(["users", "recipes", "asked"], f"""
-WITH {PEOPLE} SELECT username, cuisine, meal, 'No recipe fits ' || meal || ' (' || cuisine || ').' AS message
+WITH {PEOPLE} SELECT username, cuisine, meal, '❌ No suitable recipes found for ' || meal || ' (' || cuisine || ').' AS message
 FROM req r WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.condition = r.condition AND p.c = lower(r.cuisine) AND p.m = lower(r.meal))"""))
 def recommend_no_match(spark, sf_dir):
     return recommend.unmatched(recommend.recommend(spark, *_inputs(spark, sf_dir), keep_unmatched=True))
@@ -146,10 +146,10 @@ def _nutrient_sql(condition: str) -> str:
 
 
 CARD_ARMS = " ".join(f"WHEN '{c}' THEN {_nutrient_sql(c)}" for c in vocab.CONDITIONS)
-CARD = f"""concat_ws(chr(10), '🍽️ **' || recipe_name || '**', '🔗 [View Recipe](' || link || ')',
+CARD = f"""concat_ws('  ' || chr(10), '🍽️ **' || recipe_name || '**', '🔗 [View Recipe](' || link || ')',
   '📸 ImageURL: ' || split_part(image_url, '?', 1), '📝 Ingredients: ' || ingredients, '💡 Health Labels: ' || health_labels,
   '⚠️ Caution Tags: ' || caution_labels, '🔥 Calories/Serving: ' || CAST({ENERGY} AS VARCHAR) || ' kcal')
-  || CASE condition {CARD_ARMS} ELSE '' END"""
+  || CASE condition {CARD_ARMS} ELSE '' END || chr(10)"""
 
 
 @query("render_recipe_cards", with_views(["users", "recipes", "asked"], f"""
@@ -161,6 +161,16 @@ def render_recipe_cards(spark, sf_dir):
     return recommend.cards(recommend.recommend(spark, users, requests, table), table)
 
 
+@query("render_recipe_blocks", with_views(["users", "recipes", "asked"], f"""
+WITH {PEOPLE}, picked AS (SELECT r.username, r.condition, r.cuisine, r.meal, p.rank, p.recipe_name
+  FROM req r JOIN pool p ON p.condition = r.condition AND p.c = lower(r.cuisine) AND p.m = lower(r.meal))
+SELECT username, cuisine, meal, '### 🥗 ' || meal || ' (' || cuisine || ')' || chr(10) || chr(10) || string_agg({CARD}, chr(10) ORDER BY rank) AS block
+FROM picked JOIN recipes USING (recipe_name) GROUP BY username, cuisine, meal"""))
+def render_recipe_blocks(spark, sf_dir):
+    users, requests, table = _inputs(spark, sf_dir)
+    return recommend.card_blocks(recommend.cards(recommend.recommend(spark, users, requests, table), table))
+
+
 # Rendered results per part: a heading, then two cards, one of them without bold name or with bad calories.
 RENDERED = """'### Lunch (' || p_type || ')' || chr(10) || chr(10) || '🍽️ **' || p_name || '**  ' || chr(10) || '📸 ImageURL: x'
   || chr(10) || '📝 Ingredients: ' || p_brand || chr(10) || '🔥 Calories/Serving: ' || CAST(p_size AS STRING) || '.5 kcal'

@@ -187,8 +187,11 @@ PARAMS = {
     "focus": f"CASE WHEN {K} % 3 = 0 THEN 'sleep, stress' END",
 }
 
-CHAT = {"conv_id": "conv_id", "turn": "turn", "role": "role",
-        "text": "CASE WHEN role = 'system' THEN 'TBD' ELSE text END"}
+# Tool steps of a conversation; those of the system are still pending.
+STEPS = {
+    "conv_id": "conv_id", "turn": "turn", "tool": "role", "tool_input": "'turn ' || CAST(turn AS STRING)",
+    "log": "CASE WHEN role = 'system' THEN 'TBD' ELSE text END",
+}
 
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "users": ("customer", USERS),
@@ -199,7 +202,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "chunks": ("embeddings", CHUNKS),
     "facilities": ("supplier", FACILITIES),
     "place_requests": ("customer", REQUESTS),
-    "chat": ("conversations", CHAT),
+    "steps": ("conversations", STEPS),
 }
 FILTERS = {"known_recipes": "l_returnflag = 'R' AND l_quantity >= 50"}
 

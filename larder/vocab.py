@@ -176,6 +176,18 @@ TYPE_ALIASES = {"community_center": "mental_health_group"}
 MAPS_LINK = "https://www.google.com/maps/place/?q=place_id:"
 MAP_CENTRE = (42.3601, -71.0589)
 
+# Texts of refused and answered facility searches.
+CITY_MISSING = "City name is required for the search"
+ZIP_MISSING = "Zipcode is required for the search"
+ZIP_INVALID = "Zipcode is not valid"
+FACILITIES_FOUND = "Found %s healthcare facilities in %s"
+FACILITIES_NONE = "No healthcare facilities found in %s"
+
+# Text for a wish without recipes: meal, cuisine.
+NO_RECIPES = "❌ No suitable recipes found for %s (%s)."
+# Heading above the cards of a wish: meal, cuisine.
+CARD_HEADING = "### 🥗 %s (%s)\n\n"
+
 # Condition -> nutrient words whose lines are highlighted, first match wins.
 HIGHLIGHTS = {
     "ckd": ["Protein", "Sodium", "Phosphorus", "Potassium"],

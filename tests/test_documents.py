@@ -132,7 +132,9 @@ def test_upsert(spark):
 
 def test_scratchpad_takes_the_last_steps_before_dropping_pending_ones(spark):
     steps = spark.createDataFrame(
-        [(1, i, "t", "TBD" if i in (2, 5) else f"out{i}") for i in range(6)], "conv_id long, turn long, role string, text string")
-    assert chat.scratchpad(steps).first().scratchpad == "Tool: t\nOutput: out3\n---\nTool: t\nOutput: out4"
+        [(1, i, "t", f"in{i}", "TBD" if i in (2, 5) else f"out{i}") for i in range(6)],
+        "conv_id long, turn long, tool string, tool_input string, log string")
+    assert chat.scratchpad(steps).first().scratchpad == (
+        "Tool: t, Input: in3\nOutput: out3\n---\nTool: t, Input: in4\nOutput: out4")
     assert chat.full_log(steps).first().parts == 4
     assert chat.map_roles(steps.withColumn("role", F.lit("human"))).first().role == "user"

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from larder import vocab
 from larder.operators import places
 
 FACILITY = ("listing_rank long, place_id string, name string, address string, rating double, total_ratings int, "
@@ -78,7 +79,7 @@ def test_extent_defaults(spark):
 def test_reasons(spark):
     rows = spark.createDataFrame([("", "12345"), (None, "1"), ("a", None), ("a", "12"), ("a", "12345-6789")], "city string, zipcode string")
     assert [r.reason for r in places.check_requests(rows).collect()] == [
-        "city is required", "city is required", "zip code is required", "zip code is not valid", None]
+        vocab.CITY_MISSING, vocab.CITY_MISSING, vocab.ZIP_MISSING, vocab.ZIP_INVALID, None]
 
 
 def test_query_text(spark):

@@ -101,7 +101,7 @@ def test_cards_can_be_read_back(spark):
     rows = spark.createDataFrame([recipe("dal", sugars_g=2.0)], SCHEMA)
     picked = recommend.recommend(spark, people(spark, [("a", "Type2")]), wishes(spark, [("a", ["indian"], ["lunch"])]), rows)
     card = recommend.cards(picked, rows).withColumnRenamed("card", "result")
-    assert "🧬 Sugars G: 2.0" in card.first().result and "ImageURL: i\n" in card.first().result
+    assert "🧬 Sugars G: 2.0" in card.first().result and "ImageURL: i  \n" in card.first().result
     parsed = recommend.parse_cards(card.drop("recipe_name")).first()
     assert (parsed.recipe_name, parsed.kcal, parsed.meal_type) == ("dal", 400.0, "Breakfast")
 

@@ -36,10 +36,10 @@ def lookup_join(
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a small intermediate result to the shared folder and go on from there.
+    """Write an intermediate result to the shared folder and go on from there.
 
     What follows neither repeats the work nor depends on the executors that did it, and
-    counting it for `lookup_join` costs next to nothing.
+    counting a small one for `lookup_join` costs next to nothing.
     """
     path = scratch.new_dir(df.sparkSession, name)
     df.write.parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder import jobs
 from larder.operators import nutrition
 from larder.plans.registry import query
 from larder.plans.views import AS_OF, view, with_views
@@ -71,12 +72,7 @@ UNION ALL SELECT 'critical', username, email, format('{{}}, weekly average {{:.2
   username, avg_kcal, tdee) FROM critical"""))
 def alert_messages(spark, sf_dir):
     users, logs = _both(spark, sf_dir)
-    parts = {
-        "daily": nutrition.message_daily(nutrition.daily_summary(users, logs, AS_OF), AS_OF),
-        "low_logging": nutrition.message_low_logging(nutrition.low_logging(users, logs, AS_OF)),
-        "weekly": nutrition.message_weekly(nutrition.weekly_digest(users, logs, AS_OF), AS_OF),
-        "critical": nutrition.message_critical(nutrition.critical_low(users, logs, AS_OF)),
-    }
+    parts = jobs.alerts(users, logs, AS_OF)
     tagged = [rows.withColumn("kind", F.lit(kind)) for kind, rows in parts.items()]
     result = tagged[0]
     for rows in tagged[1:]:

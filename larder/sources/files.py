@@ -38,7 +38,7 @@ def read_recipe_csvs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_recipe_csvs(rows: DataFrame, path: str) -> None:
-    """One directory of CSV per recipe.
+    """One directory of CSV per recipe; a recipe written again replaces its own directory.
 
     Rows of a recipe go to one task and one file up to a fixed number of positions; a
     larger recipe continues in further tasks.
@@ -51,7 +51,8 @@ def write_recipe_csvs(rows: DataFrame, path: str) -> None:
             "recipe_name", F.col("attribute").alias("Nutrient"),
             F.col("value").alias("Amount per Serving"), F.col("unit").alias("Unit"),
         )
-        .write.mode("append").partitionBy("recipe_name").option("header", True).csv(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("recipe_name").option("header", True).csv(path)
     )
 
 

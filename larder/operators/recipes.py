@@ -193,20 +193,27 @@ def quality_checks(
     table: DataFrame, not_null: Sequence[str] = ("recipe_name", "servings", "calories_per_serving_kcal"),
     unique: Sequence[str] = ("recipe_name",),
 ) -> DataFrame:
-    """One row per data test: (test, column_name, failures)."""
-    blanks = table.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in not_null))
-    result = blanks.unpivot([], list(not_null), "column_name", "failures").select(
-        F.lit("not_null").alias("test"), "column_name", "failures"
-    )
-    for column in unique:
-        repeated = (
-            table.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-            .filter("n > 1").agg(F.count(F.lit(1)).alias("failures"))
+    """One row per data test: (test, column_name, failures).
+
+    NULLs are counted per value of the first unique column, so that test and the NULL tests
+    share one pass.
+    """
+    results = []
+    for i, column in enumerate(unique):
+        counted = list(not_null) if i == 0 else []
+        per_value = table.groupBy(F.col(column).alias("_value")).agg(
+            F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in counted)
         )
-        result = result.unionByName(
-            repeated.select(F.lit("unique").alias("test"), F.lit(column).alias("column_name"), "failures")
+        totals = per_value.agg(
+            F.count_if(F.col("_value").isNotNull() & (F.col("_n") > 1)).alias("unique"),
+            *(F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in counted),
         )
-    return result
+        tests = [("unique", column, "unique"), *(("not_null", c, f"null_{c}") for c in counted)]
+        results.append(totals.select(F.inline(F.array(*(
+            F.struct(F.lit(test).alias("test"), F.lit(name).alias("column_name"), F.col(source).alias("failures"))
+            for test, name, source in tests
+        )))))
+    return functools.reduce(DataFrame.unionByName, results)
 
 
 def image_key(slug: Column, mime: Column) -> Column:

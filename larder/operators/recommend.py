@@ -168,19 +168,20 @@ def candidate_classes(recipes: DataFrame, pool: int = POOL, encourage: bool = Fa
 
 
 def candidate_pools(classes: DataFrame, wanted: DataFrame, pool: int = POOL) -> DataFrame:
-    """First `pool` recipes per wanted (limit_key, cuisine_term, meal_term), as one array each.
+    """First `pool` recipes per condition and wanted (cuisine_term, meal_term), as one array each.
 
-    The requested words meet the few rows of the classes, never the recipes.
+    The requested words meet the few rows of the classes, never the recipes. All conditions
+    get a pool, so the requests need not meet their users to tell what is wanted.
     """
     known = [m for m, _, _ in vocab.MEAL_RANGES]
-    wanted = wanted.withColumn(
+    wanted = wanted.select("cuisine_term", "meal_term").distinct().withColumn(
         "range_key", F.when(F.col("meal_term").isin(known), F.col("meal_term")).otherwise(ANY_RANGE)
     )
     by_cuisine = label_terms(classes, wanted, "cuisine_type", "cuisine_term")
     by_meal = label_terms(classes, wanted, "meal_type", "meal_term")
     pairs = (
         classes.join(by_cuisine, "cuisine_type").join(by_meal, "meal_type")
-        .join(wanted, ["limit_key", "range_key", "cuisine_term", "meal_term"], "left_semi")
+        .join(wanted, ["range_key", "cuisine_term", "meal_term"], "left_semi")
     )
     keys = ["limit_key", "cuisine_term", "meal_term"]
     # At most `pool` recipes meet in one array.
@@ -207,17 +208,18 @@ def recommend(
     limited = F.when(F.col("condition").isin(vocab.CONDITIONS), F.col("condition")).otherwise("")
     people = members.conform_condition(spark, users.select("username", "chronic_condition"))
     people = people.select("username", limited.alias("limit_key"))
-    asked = scale.salted_join(request_rows(requests), people, ["username"])
+    rows = request_rows(requests)
+    asked = scale.salted_join(rows, people, ["username"])
 
-    keys = ["limit_key", "cuisine_term", "meal_term"]
     classes = scale.settle(candidate_classes(recipes, pool, encourage), "classes")
-    pools = scale.settle(candidate_pools(classes, asked.select(*keys).distinct(), pool), "pools")
+    pools = scale.settle(candidate_pools(classes, rows, pool), "pools")
     if seed is None:
         chosen = F.slice("pool", 1, picks)
     else:
         draw = F.transform("pool", lambda r: F.struct(
             text.seeded_order(seed, F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
         chosen = F.transform(F.slice(F.sort_array(draw), 1, picks), lambda d: d["r"])
+    keys = ["limit_key", "cuisine_term", "meal_term"]
     joined = scale.lookup_join(asked, pools, keys, "left" if keep_unmatched else "inner")
     explode = F.posexplode_outer if keep_unmatched else F.posexplode
     return joined.select(

@@ -112,15 +112,12 @@ def link_images(pages: DataFrame, base_url: str) -> DataFrame:
     )
 
 
-def assemble_pages(pages: DataFrame, span: int = 4096) -> DataFrame:
+def assemble_pages(pages: DataFrame) -> DataFrame:
     """Pages -> Markdown per file, every page followed by a blank line, and its image count."""
     linked = pages.withColumn("markdown", F.concat("markdown", F.lit("\n\n")))
-    joined = scale.concat_ordered(linked, ["condition", "file_name"], "page_no", "markdown", "", span)
-    images = (
-        pages.groupBy("condition", "file_name", F.floor(F.col("page_no") / span).cast("long").alias("segment"))
-        .agg(F.sum("n_images").alias("images_uploaded"))
-    )
-    return joined.join(images, ["condition", "file_name", "segment"])
+    return scale.concat_ordered(
+        linked, ["condition", "file_name"], "page_no", "markdown", "", totals=["n_images"]
+    ).withColumnRenamed("n_images", "images_uploaded")
 
 
 def budget_prefix(

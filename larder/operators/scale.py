@@ -98,21 +98,22 @@ def running_sum(
 
 def concat_ordered(
     df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str = "\n\n", span: int = 1024,
-    out: str = "text",
+    out: str = "text", totals: Sequence[str] = (),
 ) -> DataFrame:
     """Join the texts of a key in order of a whole-number position, unique within the key.
 
     A key is emitted in segments of `span` positions, so no task ever gathers an unbounded
-    key; with fewer positions than that, segment 0 is the whole text.
+    key; with fewer positions than that, segment 0 is the whole text. Columns in `totals` are
+    summed up per segment.
     """
     row = F.struct(F.col(position).alias("p"), F.col(text).alias("t"))
     return (
         df.filter(F.col(text).isNotNull())
         .groupBy(*keys, F.floor(F.col(position) / span).cast("long").alias("segment"))
-        .agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(row)).alias("_rows"), *(F.sum(c).alias(c) for c in totals))
         .select(
             *keys, "segment",
             F.array_join(F.transform("_rows", lambda r: r["t"]), sep).alias(out),
-            F.size("_rows").cast("long").alias("parts"),
+            F.size("_rows").cast("long").alias("parts"), *totals,
         )
     )

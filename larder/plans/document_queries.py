@@ -73,8 +73,8 @@ def truncate_budget(spark, sf_dir):
 
 
 @query("concat_ordered", """
-SELECT conv_id, CAST(0 AS BIGINT) AS segment, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS parts
-FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn // 1024 AS segment, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS parts
+FROM conversations GROUP BY ALL""")
 def concat_ordered(spark, sf_dir):
     return scale.concat_ordered(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
@@ -116,8 +116,8 @@ def markdown_image_links(spark, sf_dir):
 
 
 @query("assemble_pages", f"""
-SELECT condition, file_name, CAST(0 AS BIGINT) AS segment, string_agg(markdown || chr(10) || chr(10), '' ORDER BY page_no) AS text,
-  count(*) AS parts, CAST(sum(n_images) AS BIGINT) AS images_uploaded FROM ({_linked_sql()}) GROUP BY condition, file_name""")
+SELECT condition, file_name, page_no // 1024 AS segment, string_agg(markdown || chr(10) || chr(10), '' ORDER BY page_no) AS text,
+  count(*) AS parts, CAST(sum(n_images) AS BIGINT) AS images_uploaded FROM ({_linked_sql()}) GROUP BY ALL""")
 def assemble_pages(spark, sf_dir):
     return documents.assemble_pages(_pages(spark, sf_dir))
 
@@ -268,7 +268,7 @@ def chat_scratchpad(spark, sf_dir):
 
 
 @query("chat_full_log", with_views(["steps"], f"""
-SELECT conv_id, CAST(0 AS BIGINT) AS segment, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad, count(*) AS parts
-FROM steps WHERE log <> 'TBD' GROUP BY conv_id"""))
+SELECT conv_id, turn // 1024 AS segment, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad, count(*) AS parts
+FROM steps WHERE log <> 'TBD' GROUP BY ALL"""))
 def chat_full_log(spark, sf_dir):
     return chat.full_log(view(spark, sf_dir, "steps"))

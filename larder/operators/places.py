@@ -221,7 +221,9 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     level at which a spot's own cell holds `k` sites. Those lie within 1.42 cell widths, so
     the 3x3 block one level up, which reaches two widths, holds the nearest `k`; without
     such a level the coarsest block holds all there is. Dense areas are thus searched in
-    small cells, and a crowded cell is not paired with all requests around it.
+    small cells, and a crowded cell is not paired with all requests around it. Equal spots
+    are searched once; a cell with very many different spots is left to the adaptive skew
+    join, as no later step relies on how the cell joins are partitioned.
     """
     cell = ["place_type", "level", "row", "col"]
     spot = ["place_type", "lat", "lng"]

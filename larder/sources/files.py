@@ -89,6 +89,15 @@ def append_rows(rows: DataFrame, path: str, *partition: str) -> None:
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def write_bucketed(rows: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Table whose rows are laid out by a key.
+
+    Members and logs bucketed alike by user name are aggregated and joined without a shuffle.
+    """
+    writer = rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files `<condition>/<file>.md` as whole documents; empty ones are skipped."""
     file = F.col("_metadata.file_path")

@@ -23,4 +23,5 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder not used before, below one folder per application, which may be removed after it ends."""
+    return f"{shared_dir(spark).rstrip('/')}/larder-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from larder.operators import members, nutrition
+from larder.operators import members, nutrition, vectors
 from larder.sources import files, schemas, scratch
 
 
@@ -47,4 +47,37 @@ def test_date_filter_reaches_the_scan(spark, tmp_path):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    assert scratch.new_dir(spark, "x").startswith(named + "/x-")
+    assert scratch.new_dir(spark, "x").startswith(f"{named}/larder-{spark.sparkContext.applicationId}/x-")
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_need_no_shuffle(spark, tmp_path):
+    users = spark.createDataFrame([(f"u{i}", f"m{i}", 2000.0) for i in range(50)], "username string, email string, tdee double")
+    logs = spark.createDataFrame(
+        [(f"u{i % 60}", "2024-01-30", f"r{i}", 100.0) for i in range(200)],
+        "username string, d string, recipe_name string, calories_per_serving_kcal double").withColumn("date", F.col("d").cast("date"))
+    plain = nutrition.daily_summary(users, logs, "2024-01-30")
+    try:
+        files.write_bucketed(users, "bucketed_users", "username", 4, str(tmp_path / "users"))
+        files.write_bucketed(logs, "bucketed_logs", "username", 4, str(tmp_path / "logs"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        laid_out = nutrition.daily_summary(spark.table("bucketed_users"), spark.table("bucketed_logs"), "2024-01-30")
+        assert "Exchange" in plan_of(plain) and "Exchange" not in plan_of(laid_out)
+        assert sorted(map(str, laid_out.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_users")
+        spark.sql("DROP TABLE IF EXISTS bucketed_logs")
+
+
+def test_vectors_by_condition_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = spark.createDataFrame([(f"c{i}", [1.0, float(i)], f"k{i % 3}") for i in range(9)],
+                                 "chunk_id string, embedding array<float>, condition string")
+    files.append_rows(rows, path, "condition")
+    best = vectors.top_k(spark.read.parquet(path), [1.0, 0.0], ["k1"], 2)
+    assert [r.chunk_id for r in best.collect()] == ["c1", "c4"]
+    assert "PartitionFilters: [isnotnull(condition" in plan_of(best) or "PartitionFilters: [(condition" in plan_of(best)

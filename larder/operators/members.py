@@ -41,13 +41,13 @@ def find_user(users: DataFrame, username: str) -> DataFrame:
 
 def conform_condition(spark: SparkSession, rows: DataFrame, column: str = "chronic_condition") -> DataFrame:
     """Map display names to conditions; an unknown name passes through without limits, flagged."""
-    names = vocab.condition_synonyms(spark)
-    keyed = rows.withColumn("name", text.conform(F.col(column)))
+    names = vocab.condition_synonyms(spark).withColumnRenamed("name", "_name")
+    keyed = rows.withColumn("_name", text.conform(F.col(column)))
     return (
-        keyed.join(F.broadcast(names), "name", "left")
+        keyed.join(F.broadcast(names), "_name", "left")
         .withColumn("known_condition", F.col("condition").isNotNull())
-        .withColumn("condition", F.coalesce("condition", "name"))
-        .drop("name")
+        .withColumn("condition", F.coalesce("condition", "_name"))
+        .drop("_name")
     )
 
 

@@ -66,7 +66,7 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     buckets: Sequence[Column], out: str,
 ) -> DataFrame:
-    """Inclusive running sum of `value` per key, without sorting a whole key in one task.
+    """Inclusive running sum of `value` per (non-NULL) key, without sorting a whole key in one task.
 
     `buckets` are Columns, finest first, that never decrease along `order`, each constant
     within the next finer one. Rows are summed inside (key, bucket) only; what comes
@@ -82,7 +82,7 @@ def running_sum(
 
     names = [f"_b{len(buckets)}_{i}" for i in range(len(buckets))]
     rows = df.select("*", *(b.alias(n) for b, n in zip(buckets, names)))
-    totals = rows.groupBy(*keys, *names).agg(F.sum(value).alias("_total"))
+    totals = rows.groupBy(*keys, *names).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_total"))
     before = running_sum(totals, keys, [names[0]], "_total", [F.col(n) for n in names[1:]], "_upto")
     before = before.select(*keys, names[0], (F.col("_upto") - F.col("_total")).alias("_before"))
     window = (

@@ -11,6 +11,8 @@ from larder.operators import scale
 
 TOP_K = 15
 SUMMARY_K = 50
+# Query vectors are wide, so fewer of them are broadcast.
+QUERY_ROWS = 2_000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -61,7 +63,7 @@ def top_k_per_condition(
 ) -> DataFrame:
     """The same for one query vector per condition: every chunk is scored once."""
     sized = queries.select("condition", "query", norm(F.col("query")).alias("query_norm"))
-    scored = scale.lookup_join(vectors, sized, ["condition"], "inner").withColumn(
+    scored = scale.lookup_join(vectors, sized, ["condition"], "inner", QUERY_ROWS).withColumn(
         "score", similarity(F.col("embedding"), F.col("query"), metric, F.col("query_norm"))
     ).drop("query", "query_norm")
     return scale.ranked(scored, ["condition"], [F.desc("score"), F.col("chunk_id")], k)

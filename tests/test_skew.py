@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larder.operators import scale
 from tests.test_queries import QUERIES, SF_DIR, SQL, TABLES, table
 
 # Table -> (column, its hot value, key columns that tell rows apart).
@@ -50,3 +51,17 @@ def test_query_equals_sql_on_skewed_tables(spark, skewed, name):
     cursor = con.execute(SQL[name])
     expected = table([d[0] for d in cursor.description], cursor.fetchall())
     assert table(frame.columns, [tuple(r) for r in frame.collect()]) == expected
+
+
+LOOKUPS = [
+    "recommend_batch", "recommend_no_match", "render_recipe_cards", "vector_topk_per_condition", "build_context",
+    "upsert_latest", "upsert_replace_document", "facility_text_search", "facility_with_fallback",
+]
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_lookups_beyond_the_bound_equal_sql(spark, skewed, monkeypatch, name):
+    """The same with every lookup table taken to be too large to broadcast."""
+    monkeypatch.setattr(
+        scale, "lookup_join", lambda big, small, on, how="left", max_rows=0: scale.salted_join(big, small, on, how))
+    test_query_equals_sql_on_skewed_tables(spark, skewed, name)

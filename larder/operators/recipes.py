@@ -147,8 +147,8 @@ def ledger_union(ledger: DataFrame, keys: DataFrame) -> DataFrame:
 def cap_first_wins(hits: DataFrame, cap: int = vocab.CUISINE_CAP) -> DataFrame:
     """Each slug goes to its first cuisine, then every cuisine keeps its first `cap`.
 
-    `hits` has (cuisine_rank, hit_rank, slug). A slug beyond the cap is not offered to later
-    cuisines; `cap_exact` does that.
+    `hits` has (cuisine_rank, hit_rank, slug), less the slugs of the ledger (`new_keys`). A slug
+    beyond the cap is not offered to later cuisines; `cap_exact` does that.
     """
     unique = scale.first_per_key(hits, ["slug"], [F.col("cuisine_rank"), F.col("hit_rank")])
     return scale.ranked(unique, ["cuisine_rank"], [F.col("hit_rank"), F.col("slug")], cap, "pick")

@@ -100,19 +100,26 @@ def qualify(recipes: DataFrame, encourage: bool = False) -> DataFrame:
 
 
 def qualify_by_limits(spark: SparkSession, recipes: DataFrame, encourage: bool = False) -> DataFrame:
-    """The same from a limit *table*: nutrients go tall, join their limits, and all must hold."""
+    """The same from a limit *table*: nutrients go tall, join their limits, and all must hold.
+
+    Conditions with a caution word instead of limits are added by a filter.
+    """
     limits = vocab.condition_limits(spark, encourage)
     names = sorted({vocab.LIMIT_ALIASES.get(col, col) for _, col, _, _ in vocab.CONDITION_LIMITS})
     tall = recipes.select("recipe_name", *names).unpivot(["recipe_name"], names, "nutrient", "amount")
     holds = F.when(F.col("op") == "<=", F.col("amount") <= F.col("bound")).otherwise(
         F.col("amount") >= F.col("bound")
     )
-    return (
+    fitting = (
         tall.join(F.broadcast(limits), "nutrient")
         .groupBy("recipe_name", "condition")
         .agg(F.bool_and(F.coalesce(holds, F.lit(False))).alias("fits"))
         .filter("fits").drop("fits")
     )
+    for condition, _ in vocab.CONDITION_CAUTIONS:
+        free = recipes.filter(within_limits(condition)).select("recipe_name", F.lit(condition).alias("condition"))
+        fitting = fitting.unionByName(free)
+    return fitting
 
 
 def _pieces(label: Column) -> Column:

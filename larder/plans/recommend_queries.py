@@ -34,9 +34,9 @@ def _limit_sql(condition: str, encourage: bool = False) -> str:
     return " AND ".join(tests) or "true"
 
 
-def _qualify_sql(encourage: bool = False, conditions=tuple(vocab.CONDITIONS)) -> str:
+def _qualify_sql(encourage: bool = False) -> str:
     return " UNION ALL ".join(
-        f"SELECT recipe_name, '{c}' AS condition FROM recipes WHERE {_limit_sql(c, encourage)}" for c in conditions)
+        f"SELECT recipe_name, '{c}' AS condition FROM recipes WHERE {_limit_sql(c, encourage)}" for c in vocab.CONDITIONS)
 
 
 @query("filter_thresholds", with_views(["recipes"], f"SELECT recipe_name FROM recipes WHERE {_limit_sql('ckd')}"))
@@ -54,10 +54,7 @@ def recommend_qualify_encouraged(spark, sf_dir):
     return recommend.qualify(view(spark, sf_dir, "recipes"), encourage=True).select("recipe_name", "condition")
 
 
-LIMITED = tuple(c for c in vocab.CONDITIONS if c != "gluten")
-
-
-@query("recommend_qualify_table", with_views(["recipes"], _qualify_sql(False, LIMITED)))
+@query("recommend_qualify_table", with_views(["recipes"], _qualify_sql()))
 def recommend_qualify_table(spark, sf_dir):
     return recommend.qualify_by_limits(spark, view(spark, sf_dir, "recipes")).select("recipe_name", "condition")
 

@@ -1,8 +1,10 @@
 """Streaming jobs on small files."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from larder.operators import nutrition
+from larder.operators import nutrition, recipes
 from larder.plans.stream_queries import stream_view
 from larder.plans.views import view
 from larder.sources import schemas
@@ -29,6 +31,21 @@ def test_only_new_files_are_loaded(spark, tmp_path):
     assert read() == [("a", "Fat"), ("a", "Fiber"), ("b", "Fat")]
 
 
+def test_new_json_pages_become_tall_rows(spark, tmp_path):
+    source, target, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    source.mkdir()
+
+    def put(name, label):
+        recipe = {"label": label, "url": "u", "image": "i", "yield": 2, "calories": 100.0}
+        (source / name).write_text(json.dumps({"hits": [{"recipe": recipe}]}, indent=1))
+        tall = recipes.unpivot_nutrients(recipes.explode_hits(jobs.stream_recipe_json(spark, str(source))))
+        jobs.load_new_files(tall, target, mark).awaitTermination()
+        return sorted({r.recipe_name for r in spark.read.parquet(target).collect()}), spark.read.parquet(target).count()
+
+    assert put("1.json", "Dal") == (["dal"], 5)
+    assert put("2.json", "Roti") == (["dal", "roti"], 10)
+
+
 def test_new_keys_only_and_replay(spark, tmp_path):
     source, target, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     run = lambda: jobs.append_new_keys(

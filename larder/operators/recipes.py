@@ -12,6 +12,8 @@ from larder import vocab
 from larder.functions import numbers, text
 from larder.operators import scale
 
+LABEL_COLUMNS = ("cuisine_type", "meal_type", "dish_type", "ingredients", "health_labels", "diet_labels", "caution_labels")
+
 
 def explode_hits(pages: DataFrame) -> DataFrame:
     """API result pages -> one row per recipe."""
@@ -101,6 +103,13 @@ def pivot_eav(raw: DataFrame, numeric_max: bool = False) -> DataFrame:
     return raw.withColumn("_attribute", F.lower("attribute")).groupBy("recipe_name").agg(*texts, *figures)
 
 
+def label_lists(table: DataFrame, columns: Sequence[str] = LABEL_COLUMNS) -> DataFrame:
+    """The joined label texts as arrays; 'N/A' is an empty array."""
+    return table.withColumns({
+        c: F.when(F.col(c) == "N/A", F.array().cast("array<string>")).otherwise(F.split(c, "; ")) for c in columns
+    })
+
+
 def pivot_rejects(raw: DataFrame) -> DataFrame:
     """Values of numeric attributes that are no numbers."""
     names = [a for a, _ in vocab.NUMBER_ATTRIBUTES]

@@ -187,8 +187,8 @@ def candidate_pools(classes: DataFrame, wanted: DataFrame, pool: int = POOL) ->
     by_cuisine = label_terms(classes, wanted, "cuisine_type", "cuisine_term")
     by_meal = label_terms(classes, wanted, "meal_type", "meal_term")
     pairs = (
-        classes.join(by_cuisine, "cuisine_type").join(by_meal, "meal_type")
-        .join(wanted, ["range_key", "cuisine_term", "meal_term"], "left_semi")
+        wanted.join(by_cuisine, "cuisine_term").join(by_meal, "meal_term")
+        .join(classes, ["cuisine_type", "meal_type", "range_key"])
     )
     keys = ["limit_key", "cuisine_term", "meal_term"]
     # At most `pool` recipes meet in one array.

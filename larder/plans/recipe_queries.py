@@ -118,6 +118,13 @@ def pivot_eav_numeric_max(spark, sf_dir):
     return recipes.pivot_eav(raw_recipes(spark, sf_dir), numeric_max=True)
 
 
+@query("recipe_label_lists", with_views(["recipes"], """
+SELECT recipe_name, unnest(CASE WHEN caution_labels = 'N/A' THEN [] ELSE string_split(caution_labels, '; ') END) AS caution FROM recipes"""))
+def recipe_label_lists(spark, sf_dir):
+    lists = recipes.label_lists(view(spark, sf_dir, "recipes"))
+    return lists.select("recipe_name", F.explode("caution_labels").alias("caution"))
+
+
 NUMBER_NAMES = ", ".join(f"'{a}'" for a, _ in vocab.NUMBER_ATTRIBUTES)
 
 

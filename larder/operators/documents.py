@@ -16,14 +16,15 @@ BUDGET = 8000
 
 
 def _piece(body: Column, tokens: Column) -> Column:
-    return F.struct(body.alias("t"), tokens.alias("n"))
+    return F.struct(body.alias("t"), tokens.cast("int").alias("n"))
 
 
 def _pack(piece: Column, splitter: str, max_tokens: int) -> Column:
-    """Split one oversize piece and pack neighbours greedily up to the token limit.
+    """Split one piece and pack neighbours greedily up to the token limit.
 
     Blanks separate tokens and every splitter contains one, so the count of two joined
-    parts is the sum of their counts; it is carried along instead of counted again.
+    parts is the sum of their counts; it is carried along instead of counted again. If a
+    blank splitter packs everything into one, the piece fits and stays as it was.
     """
     parts = F.transform(
         F.split(piece["t"], splitter.replace(".", r"\.")),
@@ -48,7 +49,13 @@ def _pack(piece: Column, splitter: str, max_tokens: int) -> Column:
             F.when(fits, _piece(joined, total)).otherwise(_piece(text.strip(part["t"]), part["n"])).alias("open"),
         )
 
-    return F.aggregate(parts, start, step, flush)
+    def finish(acc: Column) -> Column:
+        if splitter.strip():
+            return flush(acc)
+        whole = (F.size(acc["done"]) == 0) & (acc["open"]["n"] <= max_tokens)
+        return F.when(whole, F.array(_piece(piece["t"], acc["open"]["n"]))).otherwise(flush(acc))
+
+    return F.aggregate(parts, start, step, finish)
 
 
 def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
@@ -57,14 +64,22 @@ def split_text(body: Column, max_tokens: int = MAX_TOKENS) -> Column:
     A packed chunk within the limit is final. A chunk above it is a single part that no
     earlier splitter divides, so one level per splitter is enough. A part that nothing
     divides stays whole.
+
+    A NULL count means not counted yet. Splitters that are all blank add no token, so their
+    parts' counts give the count of the whole; before sentences it has to be known, as the
+    full stops of empty sentences are tokens.
     """
     def divide(splitter: str):
         return lambda piece: F.when(
-            (piece["n"] > max_tokens) & piece["t"].contains(splitter), _pack(piece, splitter, max_tokens)
+            (piece["n"].isNull() | (piece["n"] > max_tokens)) & piece["t"].contains(splitter),
+            _pack(piece, splitter, max_tokens),
         ).otherwise(F.array(piece))
 
-    pieces = F.array(_piece(body, text.token_count(body)))
+    pieces = F.array(_piece(body, F.lit(None)))
     for splitter in SPLITTERS:
+        if splitter.strip():
+            pieces = F.transform(
+                pieces, lambda piece: _piece(piece["t"], F.coalesce(piece["n"], text.token_count(piece["t"]))))
         pieces = F.flatten(F.transform(pieces, divide(splitter)))
     return pieces
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import neardup
+from larder.llm import neardup, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,14 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeat."""
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Query] = {
     "op2_superminhash": op2_superminhash,
+    "op4_suffix_levels": op4_suffix_levels,
 }
 
 SQL: dict[str, str] = {}

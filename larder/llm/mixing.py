@@ -54,25 +54,18 @@ def water_fill(sources: DataFrame, cap: str = "cap", weight: str = "weight", tot
     return step.withColumn("target", target.cast("double")).drop("_ratio", "_name", "_full", "_weights", "_level")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, times, taken (words).
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        words(text_col).alias("size"), seeded(id_col, seed).alias("_place"))
 
-    Sources in order of code points, null last, weigh `weights` in turn; together they get as many words as
-    there are, each at most `max_epochs` times its own. A source whose target is r times its size takes
-    each document floor(r) times, and once more those that come first in a seeded order of ids, as many as bring
-    the taken words nearest to the target. The cut in that order is found from sums over `PARTS` equal
-    parts of it and then inside one part, so no source is sorted as a whole.
 
-    A null or empty text has size 0 and is repeated like the others of its source. Rows that share an id stand at
-    the same place of the order, so all of them are taken once more or none. An empty table gives an
-    empty result. Extra columns are ignored.
+def shares(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per source: _s, source_size, target, _whole (whole repetitions), _last (documents up to this place come once more).
+
+    `sized` has source, size and _place. The cut in a source's seeded order is found from sums over `PARTS` equal parts of
+    it and then inside one part, so no source is sorted as a whole.
     """
-    sized = keep(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            words(text_col).alias("size"), seeded(id_col, seed).alias("_place"),
-        ), "sizes")
     part = F.floor(F.col("_place") / F.lit(_SPAN // PARTS)).cast("int")
     sums = keep(sized.groupBy("source", part.alias("_part")).agg(F.sum("size").alias("_sum")), "part-sums")
     sources = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
@@ -101,16 +94,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = inside.withColumn("_upto", upto).where("2 * _upto - size <= 2 * _more")
     last = inside.groupBy("source").agg(F.max("_place").alias("_inside"))
     cut = cut.select(F.col("source").alias("_s"), "_part")
-    last = cut.join(last, cut["_s"].eqNullSafe(last["source"]), "left").select(
+    lasts = cut.join(last, cut["_s"].eqNullSafe(last["source"]), "left").select(
         "_s", F.greatest(F.col("_part").cast("long") * F.lit(_SPAN // PARTS) - 1, F.coalesce("_inside", F.lit(-1))).alias("_last"))
-    full = targets.join(last, targets["source"].eqNullSafe(last["_s"]), "left").select(
-        targets["source"].alias("_s"), "source_size", "target", "_whole",
-        F.when(F.col("_last").isNotNull(), F.col("_last")).when(F.col("_more") > 0, F.lit(_SPAN)).otherwise(F.lit(-1)).alias("_last"))
+    last = F.when(F.col("_last").isNotNull(), F.col("_last")).when(F.col("_more") > 0, F.lit(_SPAN)).otherwise(F.lit(-1))
+    return targets.join(lasts, targets["source"].eqNullSafe(lasts["_s"]), "left").select(
+        targets["source"].alias("_s"), "source_size", "target", "_whole", last.alias("_last"))
+
+
+def _times(max_epochs: int) -> Column:
+    return F.least(F.col("_whole") + (F.col("_place") <= F.col("_last")).cast("int"), F.lit(max_epochs))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """How often the mix takes each document: doc_id, source, size, source_size, target, times, taken (words).
+
+    Sources in order of code points, null last, weigh `weights` in turn; together they get as many words as
+    there are, each at most `max_epochs` times its own. A source whose target is r times its size takes
+    each document floor(r) times, and once more those that come first in a seeded order of ids, as many as bring
+    the taken words nearest to the target.
+
+    A null or empty text has size 0 and is repeated like the others of its source. Rows that share an id stand at
+    the same place of the order, so all of them are taken once more or none. An empty table gives an
+    empty result. Extra columns are ignored.
+    """
+    sized = keep(_rows(docs, id_col, text_col, source_col, seed), "sizes")
+    full = shares(sized, weights, max_epochs)
     out = sized.join(full, sized["source"].eqNullSafe(full["_s"]))
-    times = F.least(F.col("_whole") + (F.col("_place") <= F.col("_last")).cast("int"), F.lit(max_epochs))
+    times = _times(max_epochs)
     return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of `docs`, each as often as `mix` takes it. Columns of `docs` that start with an underscore are dropped."""
+    names = [c for c in docs.columns if not c.startswith("_")]
+    full = shares(keep(_rows(docs, id_col, text_col, source_col, seed), "sizes"), weights, max_epochs)
+    rows = docs.select(*names, seeded(id_col, seed).alias("_place"))
+    rows = rows.join(full, rows[source_col].cast("string").eqNullSafe(full["_s"])).withColumn("_times", _times(max_epochs))
+    return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[rows[c] for c in names])
+
+
 def sql(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
     """The query's result in SQL: clamping in rounds (as many as sources), and the whole order of each source."""
     turn = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))

@@ -37,9 +37,9 @@ class Packer:
     A piece needs (tokens, one segment, loss-bearing tokens) as shares of the limits; a sequence has the rest of each
     as room. Pieces come largest first out of a window, and each takes the open sequence that fits and has
     the largest dot product of need and room, weighted by how scarce each resource is in the window.
-    A piece that fits nowhere opens a sequence; beyond `OPEN` the fullest one is closed at the next lower power of
-    two of its tokens, and its tail returns to the window. At the end all that remains is cut into
-    powers of two, so no sequence needs padding.
+    A piece that fits nowhere opens a sequence; beyond `OPEN` it is cut instead, so that its first part fills the
+    sequence with the least room for tokens, which is then closed. At the end the open sequences are poured
+    into one another. What is closed below the limit of tokens is cut into powers of two, so no sequence needs padding.
     """
 
     def __init__(self, limits: Limits, first: int):
@@ -49,10 +49,8 @@ class Packer:
 
     def add(self, owner: int, start: int, length: int, masked: int) -> Iterator[tuple]:
         """Take a document's ids start..start + length, whose first `masked` bear no loss. Yields placed pieces."""
-        while length >= self.limits.tokens and length - min(masked, length) <= self.limits.loss + max(0, length - self.limits.tokens):
-            size = self.limits.tokens
-            if size - min(masked, size) > self.limits.loss:
-                break
+        size = self.limits.tokens
+        while length >= size and size - min(masked, size) <= self.limits.loss:
             yield from self._close([(owner, start, size, masked)])
             start, length, masked = start + size, length - size, max(0, masked - size)
         while length:
@@ -64,9 +62,27 @@ class Packer:
 
     def end(self) -> Iterator[tuple]:
         yield from self._place()
-        for bin_ in self.open:
-            yield from self._finish(bin_[3])
+        rest = [piece for bin_ in self.open for piece in bin_[3]]
         self.open = []
+        bin_ = [0, 0, 0, []]
+        for piece in rest:
+            left: tuple | None = piece
+            while left:
+                left = self._fill(bin_, left)
+                if left or bin_[0] == self.limits.tokens:
+                    yield from self._finish(bin_[3])
+                    bin_ = [0, 0, 0, []]
+        yield from self._finish(bin_[3])
+
+    def _fill(self, bin_: list, piece: tuple) -> tuple | None:
+        """Add as much of the piece as the sequence holds; the rest, or None."""
+        owner, start, size, masked = piece
+        take = min(size, self.limits.tokens - bin_[0], masked + self.limits.loss - bin_[2])
+        if bin_[1] == self.limits.segments or take <= 0:
+            return piece
+        bin_[0], bin_[1], bin_[2] = bin_[0] + take, bin_[1] + 1, bin_[2] + take - min(masked, take)
+        bin_[3].append((owner, start, take, min(masked, take)))
+        return (owner, start + take, size - take, max(0, masked - take)) if take < size else None
 
     def _place(self) -> Iterator[tuple]:
         pieces = sorted(self.window, reverse=True)
@@ -77,43 +93,37 @@ class Packer:
         needs = np.array([(size, 1, size - masked) for size, _, _, masked in pieces], float)
         scarce = (needs / limit).sum(axis=0)
         rooms = np.zeros((OPEN, 3))
-        rooms[: len(self.open)] = [limit - bin_[:3] for bin_ in self.open]
+        for i, bin_ in enumerate(self.open):
+            rooms[i] = limit - bin_[:3]
         for need, (size, owner, start, masked) in zip(needs, pieces, strict=True):
-            count = len(self.open)
-            room = rooms[:count]
-            score = np.where((room >= need).all(axis=1), (room / limit) @ (scarce * need / limit), -1.0)
-            best = int(score.argmax()) if count else -1
-            if best < 0 or score[best] < 0:
-                if count == OPEN:
-                    fullest = int(room[:, 0].argmin())
-                    yield from self._cut_off(self.open[fullest][3])
-                    self.open[fullest], rooms[fullest] = self.open[-1], rooms[count - 1]
+            piece: tuple | None = (owner, start, size, masked)
+            while piece:
+                count = len(self.open)
+                room = rooms[:count]
+                score = np.where((room >= need).all(axis=1), (room / limit) @ (scarce * need / limit), -1.0)
+                best = int(score.argmax()) if count else -1
+                if best < 0 or score[best] < 0:
+                    if count < OPEN:
+                        self.open.append([0, 0, 0, []])
+                        rooms[count], best = limit, count
+                    else:
+                        best = int(room[:, 0].argmin())
+                bin_ = self.open[best]
+                piece = self._fill(bin_, piece)
+                rooms[best] = limit - bin_[:3]
+                if piece:
+                    need = np.array([piece[2], 1, piece[2] - piece[3]], float)
+                if piece or bin_[0] == self.limits.tokens:
+                    yield from self._finish(bin_[3])
+                    last = len(self.open) - 1
+                    self.open[best], rooms[best] = self.open[last], rooms[last]
                     self.open.pop()
-                    count -= 1
-                self.open.append([0, 0, 0, []])
-                rooms[count], best = limit, count
-            bin_ = self.open[best]
-            for i in range(3):
-                bin_[i] += int(need[i])
-            rooms[best] -= need
-            bin_[3].append((owner, start, size, masked))
-            if bin_[0] == self.limits.tokens:
-                yield from self._close(bin_[3])
-                last = len(self.open) - 1
-                self.open[best], rooms[best] = self.open[last], rooms[last]
-                self.open.pop()
-
-    def _cut_off(self, pieces: list[tuple]) -> Iterator[tuple]:
-        """Close the largest power of two of the sequence; its tail waits in the window for another."""
-        total = sum(p[2] for p in pieces)
-        keep = 1 << (total.bit_length() - 1)
-        head, tail = _split(pieces, keep)
-        yield from self._close(head)
-        self.window.extend((size, owner, start, masked) for owner, start, size, masked in tail)
 
     def _finish(self, pieces: list[tuple]) -> Iterator[tuple]:
+        """Close a full sequence as it is, another as powers of two."""
         while pieces:
-            head, pieces = _split(pieces, 1 << (sum(p[2] for p in pieces).bit_length() - 1))
+            total = sum(p[2] for p in pieces)
+            head, pieces = _split(pieces, total if total == self.limits.tokens else 1 << (total.bit_length() - 1))
             yield from self._close(head)
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
@@ -190,6 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col
     its end id alone; null ids and repeated rows are packed like others. An empty table gives no piece.
     Extra columns are ignored.
     """
+    if min(limits.tokens, limits.segments, limits.loss) < 1:
+        raise ValueError("every limit must be at least 1")
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     if masked_col:
         columns.append(F.col(masked_col).cast("long").alias("masked"))

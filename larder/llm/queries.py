@@ -108,4 +108,6 @@ SQL: dict[str, str] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}

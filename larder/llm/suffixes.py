@@ -301,21 +301,24 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   batches: int = 4, together: int = TOGETHER, with_text: bool = True) -> DataFrame:
+                   batches: int = 4, together: int = TOGETHER, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts anywhere else in `docs`.
 
     Texts are taken as UTF-8 bytes; strings are judged on the input. Returns per row: doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), and with `with_text`
-    kept_text, in which a character cut by a removal is left out.
+    kept_text, in which a character cut by a removal is left out. Columns named in `carry` come along.
 
     A null text counts as empty bytes and its kept_text stays null; texts shorter than `length` are kept whole. Equal
-    rows, ids repeated or null included, are separate documents, so all their long strings repeat. Extra
+    rows, ids repeated or null included, are separate documents, so all their long strings repeat. Other
     columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[
+        F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     spans = keep(repeated_spans(docs.where("octet_length(text) >= " + str(length)).select("row", "text"), length, batches, together), "spans")
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    joined = docs.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(lambda parts: _remove(parts, with_text), schema)
+    kinds = dict(docs.dtypes)
+    extra = {f"_carry{i}": c for i, c in enumerate(carry)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *extra))
+    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    joined = docs.join(spans, "row", "left").select("doc_id", *extra, "text", "spans")
+    return joined.mapInArrow(lambda parts: _remove(parts, with_text), schema).withColumnsRenamed(extra)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 #: Labelled rows learned from at most, of each label; the first in the order of a hash of their ids.
 TRAIN_ROWS = 20_000
 #: Features kept at most, and how often one must be seen in the labelled rows to speak for itself.
-FEATURES, SEEN = 20_000, 10
+FEATURES, SEEN = 20_000, 4
 #: Standard errors by which a feature's share of toxic rows is lowered.
-CAUTION = 2.0
+CAUTION = 2.5
 PREFIXES = (6, 5, 4)
 #: Hypotheses kept at each place of a lattice, characters of the longest token restored, tokens remembered.
 BEAM, LONGEST, KNOWN = 8, 32, 300_000
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> S
     if stems:  # the more specific features of the same stems, so that a harmless word is not judged by its prefix
         weak = counted.where("p < 0.5").where(F.substring(F.ltrim(F.col("feature"), F.lit("=")), 1, PREFIXES[-1]).isin(stems))
         table |= {r["feature"]: r["p"] for r in weak.orderBy(F.desc(F.expr("toxic + other")), "feature").limit(FEATURES).collect()}
-    base = 0.5 / ((size["n"] or 0) + 1.0)
+    base = 0.25 / ((size["n"] or 0) + 1.0)
     words = [f[1:] for f, p in table.items() if f[0] == "=" and p >= 0.5]
     return Scorer(table, letter_model(docs, words), base)
 

@@ -102,9 +102,10 @@ class Words:
         """(hashes, bounds): the `width`-word shingles of each text; with fewer words the whole sequence is one."""
         words = self.hashes(lower)
         with np.errstate(over="ignore"):
-            grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
+            windows = max(0, len(words) - width + 1)
+            grams = np.zeros(windows, np.uint64)
             for i in range(width):
-                grams += mix(words[i : len(words) - width + 1 + i] + U64(i)) * U64(pow(_MULTIPLIER, i + 1, 1 << 64))
+                grams += mix(words[i : windows + i] + U64(i)) * U64(pow(_MULTIPLIER, i + 1, 1 << 64))
             grams = mix(grams)
         per_text = np.where(self.counts >= width, self.counts - width + 1, np.minimum(self.counts, 1))
         bounds = np.concatenate([[0], np.cumsum(per_text)])

@@ -25,3 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, name: str) -> str:
     """A folder not used before, below one folder per application, which may be removed after it ends."""
     return f"{shared_dir(spark).rstrip('/')}/larder-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by `new_dir`, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

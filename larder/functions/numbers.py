@@ -20,8 +20,8 @@ def round_binary(col: Column, digits: int = 0) -> Column:
 
     `round` and `bround` round the shortest decimal that prints the double, so they turn
     2.675 (stored just below) into 2.68. Here the rounding error of `x * 10**digits` is
-    recovered by an error-free product and decides the apparent ties. Exact while
-    `abs(x) * 10**digits` stays below 2**52.
+    recovered by an error-free product and decides the apparent ties. From 2**52 units on, where
+    doubles lie at least a unit apart, the value is rounded as a decimal.
     """
     x = col.cast("double")
     if digits == 0:
@@ -39,7 +39,8 @@ def round_binary(col: Column, digits: int = 0) -> Column:
         .when(error < 0, floor)
         .otherwise(F.rint(product))
     )
-    return F.when(F.abs(product) < float(2**52), units / F.lit(power)).otherwise(x)
+    large = F.coalesce(F.bround(x.try_cast("decimal(38,10)"), digits).cast("double"), x)
+    return F.when(F.abs(product) < float(2**52), units / F.lit(power)).otherwise(large)
 
 
 def round_sql(col: Column, digits: int = 2) -> Column:

@@ -38,6 +38,6 @@ def scratchpad(steps: DataFrame, last: int = 4) -> DataFrame:
 
 
 def full_log(steps: DataFrame) -> DataFrame:
-    """All finished steps of a conversation, in bounded segments."""
+    """All finished steps of a conversation as one text."""
     rows = steps.filter(F.col("log") != PENDING).withColumn("line", _line())
     return scale.concat_ordered(rows, ["conv_id"], "turn", "line", SEP, out="scratchpad")

@@ -56,11 +56,37 @@ def _present(name: str, dtype: str) -> Column:
     return text.non_blank(column) if dtype == "string" else column.isNotNull() & (column != 0)
 
 
+def _accept_in_order(requests: DataFrame) -> DataFrame:
+    """The requests (request_id, username, email) that a walk in order of ids accepts.
+
+    Each round accepts every open request that is the first open one both of its name and of its
+    address, and closes those that share either with an accepted one, until none is open. Of
+    requests for the same name and address only the first can be accepted. The number of
+    rounds is the longest chain of requests that wait for each other.
+    """
+    accepted = requests.limit(0)
+    open_ = scale.settle(
+        requests.groupBy("username", "email").agg(F.min("request_id").alias("request_id"))
+        .select("request_id", "username", "email"), "open")
+    while not open_.isEmpty():
+        names = open_.groupBy("username").agg(F.min("request_id").alias("by_name"))
+        mails = open_.groupBy("email").agg(F.min("request_id").alias("by_mail"))
+        judged = open_.join(names, "username").join(mails, "email")
+        first = scale.settle(
+            judged.filter("request_id = by_name and request_id = by_mail").select("request_id", "username", "email"), "first")
+        accepted = accepted.unionByName(first)
+        open_ = scale.settle(
+            open_.join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti")
+            .select("request_id", "username", "email"), "open")
+    return accepted
+
+
 def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Sign-up requests with the reason each is refused, NULL if accepted.
 
-    `requests` carries `request_id`; of several requests for one name or address the
-    earliest is kept.
+    `requests` carries a unique `request_id`. The result is that of taking the requests one by one in
+    its order: one is refused if its name or address is registered or was given to an
+    accepted request before it; a refused request blocks nobody.
     """
     types = dict(requests.dtypes)
     missing = F.array_compact(F.array(*(
@@ -69,12 +95,14 @@ def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:
     checked = requests.withColumn("missing", missing)
     complete = checked.filter(F.size("missing") == 0)
 
-    first_name = complete.groupBy("username").agg(F.min("request_id").alias("first_by_name"))
-    first_mail = complete.groupBy("email").agg(F.min("request_id").alias("first_by_mail"))
     taken_names = users.select("username").distinct().withColumn("name_taken", F.lit(True))
     taken_mails = users.select("email").distinct().withColumn("mail_taken", F.lit(True))
-    joined = scale.salted_join(checked, first_name.join(taken_names, "username", "left"), ["username"], "left")
-    joined = scale.salted_join(joined, first_mail.join(taken_mails, "email", "left"), ["email"], "left")
+    free = complete.join(taken_names, "username", "left_anti").join(taken_mails, "email", "left_anti")
+    accepted = _accept_in_order(free.select("request_id", "username", "email"))
+    by_name = accepted.select("username", F.col("request_id").alias("first_by_name"))
+    by_mail = accepted.select("email", F.col("request_id").alias("first_by_mail"))
+    joined = checked.join(by_name.join(taken_names, "username", "full"), "username", "left")
+    joined = joined.join(by_mail.join(taken_mails, "email", "full"), "email", "left")
     reason = (
         F.when(F.size("missing") > 0, F.concat(F.lit("missing: "), F.array_join("missing", ", ")))
         .when(F.col("name_taken"), "username already registered")

@@ -63,7 +63,9 @@ def weekly_digest(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
     The mean runs over meals, not over days; `suggestions` has the mean of daily sums.
     """
     week = since(logs, as_of, 7)
-    named_at = F.when(F.col("recipe_name").isNotNull(), F.col("ts"))
+    # Of several at one time the last event counts, or without event ids the greatest name.
+    last = F.struct("ts", "event_id" if "event_id" in logs.columns else "recipe_name")
+    named_at = F.when(F.col("recipe_name").isNotNull(), last)
     # Days first: the distinct count then only sees one row per member and day.
     days = week.groupBy("username", "date").agg(
         F.sum(KCAL).alias("kcal"), F.count(KCAL).alias("n"), F.max("recipe_name").alias("max_recipe"),
@@ -188,7 +190,7 @@ def remaining_kcal(users: DataFrame, picks: DataFrame) -> DataFrame:
         picks.withColumn("_kcal", F.coalesce(KCAL, F.lit(0.0))), ["username", "date"], ["ts", "event_id"], "_kcal",
         [F.date_trunc("minute", "ts")], "eaten",
     )
-    return scale.salted_join(daily, _goals(users), ["username"], "left").select(
+    return daily.join(_goals(users), "username", "left").select(
         "username", "date", "event_id", "recipe_name", (_goal_value() - F.col("eaten")).alias("remaining_kcal")
     )
 

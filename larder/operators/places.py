@@ -177,7 +177,7 @@ def text_answers(requests: DataFrame, facilities: DataFrame) -> DataFrame:
     answers = scale.settle(_nest(early_stop(text_hits(facilities)), PLACE, RECORD), "answers")
     keyed = requests.withColumn("_type", F.col("facility_type")).withColumn(
         "facility_type", search_key(F.col("facility_type")))
-    joined = scale.lookup_join(keyed, answers, PLACE, "left")
+    joined = keyed.join(answers, PLACE, "left")
     return joined.withColumn("facility_type", F.col("_type")).drop("_type")
 
 
@@ -260,7 +260,7 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     )
     best = scale.ranked(near, spot, [F.col("distance_m"), F.col("place_id")], k)
     answers = _nest(best, spot, [*RECORD, "distance_m"])
-    return scale.salted_join(spots, answers, spot).select("request_id", F.inline("found"))
+    return spots.join(answers, spot).select("request_id", F.inline("found"))
 
 
 def search(requests: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def facility_record(rows: DataFrame) -> DataFrame:
 def with_details(facilities: DataFrame, details: DataFrame) -> DataFrame:
     """Attach website, phone and opening hours by place id."""
     extra = details.select("place_id", "website", "phone", "opening_hours", F.lit(True).alias("found"))
-    joined = scale.salted_join(facilities, extra, ["place_id"], "left")
+    joined = facilities.join(extra, "place_id", "left")
     return joined.withColumns({
         "website": F.coalesce("website", F.lit("")),
         "phone": F.coalesce("phone", F.lit("")),

@@ -5,8 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder import vocab
 from larder.functions import numbers, text
@@ -164,11 +163,13 @@ def cap_first_wins(hits: DataFrame, cap: int = vocab.CUISINE_CAP) -> DataFrame:
 
 
 def cap_exact(hits: DataFrame, cuisines: int, cap: int = vocab.CUISINE_CAP) -> DataFrame:
-    """Walk the cuisines in order, taking up to `cap` slugs nobody took before.
+    """What a walk over the cuisines in order takes: up to `cap` slugs each that nobody took before.
 
     Earlier cuisines take at most `cap * (cuisines - 1)` slugs, so the first
-    `cap * cuisines` distinct slugs of a cuisine decide its result whatever was taken. Spark
-    reduces the hits to those, and the walk itself sees at most `cap * cuisines**2` rows.
+    `cap * cuisines` distinct slugs of a cuisine decide its result whatever was taken. On
+    those, all cuisines choose at once, round by round: each takes its first `cap` slugs that no
+    earlier cuisine took in the round before. After round i at least the first i cuisines have what
+    the walk gives them, and a round that changes nothing is the walk's result.
     """
     need = cap * cuisines
     unique = hits.groupBy("cuisine_rank", "slug").agg(F.min("hit_rank").alias("hit_rank"))
@@ -176,22 +177,17 @@ def cap_exact(hits: DataFrame, cuisines: int, cap: int = vocab.CUISINE_CAP) -> D
     shard = F.pmod(F.xxhash64("slug"), F.lit(256))
     short = scale.first_per_key(unique.withColumn("_shard", shard), ["cuisine_rank", "_shard"], order, need)
     short = scale.first_per_key(short.drop("_shard"), ["cuisine_rank"], order, need)
+    short = scale.settle(short.select("cuisine_rank", "slug", "hit_rank"), "offers")
+    picks, last = scale.settle(scale.ranked(short, ["cuisine_rank"], order, cap, "pick"), "picks"), None
+    while (mark := _fingerprint(picks)) != last:
+        taken = picks.groupBy("slug").agg(F.min("cuisine_rank").alias("_by"))
+        left = short.join(taken, "slug", "left").filter("_by is null or _by >= cuisine_rank").drop("_by")
+        picks, last = scale.settle(scale.ranked(left, ["cuisine_rank"], order, cap, "pick"), "picks"), mark
+    return picks.select("cuisine_rank", "slug", "hit_rank", "pick")
 
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        picks = []
-        batch = batch.sort_values(["cuisine_rank", "hit_rank", "slug"])
-        for rank, group in batch.groupby("cuisine_rank", sort=True):
-            mine = group[~group["slug"].isin(taken)].head(cap)
-            taken.update(mine["slug"])
-            picks.append(mine.assign(pick=range(1, len(mine) + 1)))
-        return pd.concat(picks)
-
-    short = short.select("cuisine_rank", "slug", "hit_rank")
-    schema = T.StructType([*short.schema.fields, T.StructField("pick", T.IntegerType())])
-    return (
-        short.groupBy(F.lit(0).alias("all")).applyInPandas(lambda _, b: walk(b), schema)
-    )
+
+def _fingerprint(rows: DataFrame) -> tuple:
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
 
 
 def count_per_group(rows: DataFrame, group: str) -> DataFrame:

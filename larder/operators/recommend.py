@@ -153,6 +153,18 @@ def request_rows(requests: DataFrame) -> DataFrame:
     )
 
 
+def unanswerable(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """(username, cuisine, meal, message) for requests of unknown members and for those that name no cuisine or no meal."""
+    names = users.select("username").distinct().withColumn("_known", F.lit(True))
+    empty = (F.coalesce(F.size("cuisine_types"), F.lit(0)) <= 0) | (F.coalesce(F.size("meal_types"), F.lit(0)) <= 0)
+    message = F.when(F.col("_known").isNull(), vocab.UNKNOWN_MEMBER).when(empty, vocab.NOTHING_ASKED)
+    nothing = F.lit(None).cast("string")
+    return (
+        requests.join(names, "username", "left").withColumn("message", message).filter(F.col("message").isNotNull())
+        .select("username", nothing.alias("cuisine"), nothing.alias("meal"), "message")
+    )
+
+
 def candidate_classes(recipes: DataFrame, pool: int = POOL, encourage: bool = False) -> DataFrame:
     """First `pool` recipes per (condition, range, cuisine label, meal label).
 
@@ -208,6 +220,7 @@ def recommend(
 
     Without a seed the picks are the first by name; with one, every user gets an own
     repeatable draw. `keep_unmatched` keeps combinations without any recipe, with a NULL rank.
+    Requests that name nothing or come from unknown members have no combination; `unanswerable` has them.
 
     The pools of all wanted combinations are settled first. They are as few as there are
     distinct wishes, so the requests usually meet them without being shuffled.
@@ -216,7 +229,7 @@ def recommend(
     people = members.conform_condition(spark, users.select("username", "chronic_condition"))
     people = people.select("username", limited.alias("limit_key"))
     rows = request_rows(requests)
-    asked = scale.salted_join(rows, people, ["username"])
+    asked = rows.join(people, "username")
 
     classes = scale.settle(candidate_classes(recipes, pool, encourage), "classes")
     pools = scale.settle(candidate_pools(classes, rows, pool), "pools")
@@ -227,7 +240,7 @@ def recommend(
             text.seeded_order(seed, F.col("username"), r["recipe_name"]).alias("h"), r.alias("r")))
         chosen = F.transform(F.slice(F.sort_array(draw), 1, picks), lambda d: d["r"])
     keys = ["limit_key", "cuisine_term", "meal_term"]
-    joined = scale.lookup_join(asked, pools, keys, "left" if keep_unmatched else "inner")
+    joined = asked.join(pools, keys, "left" if keep_unmatched else "inner")
     explode = F.posexplode_outer if keep_unmatched else F.posexplode
     return joined.select(
         "username", "limit_key", "cuisine", "meal", explode(chosen).alias("position", "r")
@@ -257,8 +270,8 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
     """
     wanted = scale.settle(picked.select("recipe_name").distinct(), "picked")
     columns = sorted({c for name in vocab.CONDITIONS for c in select_for(name)} | {*BASE_COLUMNS, ENERGY})
-    few = scale.lookup_join(recipes.select(*columns), wanted, ["recipe_name"], "left_semi")
-    details = scale.salted_join(picked.drop(ENERGY), few, ["recipe_name"])
+    few = recipes.select(*columns).join(wanted, "recipe_name", "left_semi")
+    details = picked.drop(ENERGY).join(few, "recipe_name")
 
     def nutrient_lines(condition: str) -> Column:
         names = [c for c in select_for(condition)[len(BASE_COLUMNS) + 1:]]

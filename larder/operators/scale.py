@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.sources import scratch
 
-BROADCAST_ROWS = 20_000
-SALTS = 8
-
-
-def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Equi-join whose hot keys are spread over `salts` tasks.
-
-    The salt is the number of the input partition a row is read from. It tells even equal
-    rows apart, and a recomputed task gives its rows the salt they had before. `small`
-    should hold few rows per key: it is repeated once per salt.
-    """
-    left = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join with a lookup table: broadcast after counting it, salted join beyond the bound."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
-    return salted_join(big, small, on, how)
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 
-    What follows neither repeats the work nor depends on the executors that did it, and
-    counting a small one for `lookup_join` costs next to nothing.
+    What follows neither repeats the work nor depends on the executors that did it, and the
+    size of the written table, which is known, decides how it is joined.
     """
     path = scratch.new_dir(df.sparkSession, name)
     df.write.parquet(path)
@@ -49,8 +23,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First `k` rows per key.
 
-    Catalyst turns the filtered `row_number` into a group limit on both sides of the
-    shuffle, so a hot key sends at most `k` rows per input task.
+    Up to `spark.sql.optimizer.windowGroupLimitThreshold` rows (1000 by default) Catalyst turns the
+    filtered `row_number` into a group limit on both sides of the shuffle, so a hot key
+    sends at most `k` rows per input task; with a larger `k` all its rows are sorted.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= k).drop("_rn")
@@ -62,58 +37,70 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
 
 
+def _matches(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equality on all `names`, where NULL equals NULL."""
+    return functools.reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
+
+
+def _sum_before(
+    df: DataFrame, keys: list[str], order: Sequence[str], value: str, buckets: Sequence[Column], out: str
+) -> DataFrame:
+    """Sum of `value` over the rows of the key ahead of each; NULL where there is none."""
+    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not buckets:
+        return df.withColumn(out, F.sum(value).over(ahead))
+    names = [f"_b{len(buckets)}_{i}" for i in range(len(buckets))]
+    rows = df.select("*", *(b.alias(n) for b, n in zip(buckets, names)))
+    totals = rows.groupBy(*keys, *names).agg(F.sum(value).alias("_total"))
+    totals = _sum_before(totals, keys, [names[0]], "_total", [F.col(n) for n in names[1:]], "_before")
+    totals = totals.select(*keys, names[0], "_before")
+    ahead = Window.partitionBy(*keys, names[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.sum(value).over(ahead))
+    joined = rows.join(totals, _matches(rows, totals, [*keys, names[0]]))
+    return joined.select(*(rows[c] for c in df.columns), _plus("_before", "_inside").alias(out))
+
+
+def _plus(a: str, b: str) -> Column:
+    """Sum of two columns, a NULL counting as nothing unless both are."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     buckets: Sequence[Column], out: str,
 ) -> DataFrame:
-    """Inclusive running sum of `value` per (non-NULL) key, without sorting a whole key in one task.
+    """Inclusive running sum of `value` per key, without sorting a whole key in one task.
 
     `buckets` are Columns, finest first, that never decrease along `order`, each constant
     within the next finer one. Rows are summed inside (key, bucket) only; what comes
     before a bucket is the running sum of the bucket totals, found the same way one level up.
+    A NULL key is a key of its own, and rows with a NULL in the order come first.
     """
-    keys = list(keys)
-    if not buckets:
-        window = (
-            Window.partitionBy(*keys).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumn(out, F.sum(value).over(window))
-
-    names = [f"_b{len(buckets)}_{i}" for i in range(len(buckets))]
-    rows = df.select("*", *(b.alias(n) for b, n in zip(buckets, names)))
-    totals = rows.groupBy(*keys, *names).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_total"))
-    before = running_sum(totals, keys, [names[0]], "_total", [F.col(n) for n in names[1:]], "_upto")
-    before = before.select(*keys, names[0], (F.col("_upto") - F.col("_total")).alias("_before"))
-    window = (
-        Window.partitionBy(*keys, names[0]).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.join(before, [*keys, names[0]])
-        .withColumn(out, F.col("_before") + F.sum(value).over(window))
-        .drop(*names, "_before")
-    )
+    rows = _sum_before(df, list(keys), order, value, buckets, "_ahead")
+    return rows.withColumn(out, _plus("_ahead", value)).drop("_ahead")
 
 
 def concat_ordered(
     df: DataFrame, keys: Sequence[str], position: str, text: str, sep: str = "\n\n", span: int = 1024,
     out: str = "text", totals: Sequence[str] = (),
 ) -> DataFrame:
-    """Join the texts of a key in order of a whole-number position, unique within the key.
+    """Join all texts of a key in order of a whole-number position, unique within the key, into one.
 
-    A key is emitted in segments of `span` positions, so no task ever gathers an unbounded
-    key; with fewer positions than that, segment 0 is the whole text. Columns in `totals` are
-    summed up per segment.
+    Positions are joined in segments of `span` first, each in a task of its own, so only the
+    segments' texts meet in the task that writes the key's text. Columns in `totals` are summed
+    up. Rows without text are left out; a NULL position comes first.
     """
     row = F.struct(F.col(position).alias("p"), F.col(text).alias("t"))
-    return (
+    segments = (
         df.filter(F.col(text).isNotNull())
-        .groupBy(*keys, F.floor(F.col(position) / span).cast("long").alias("segment"))
-        .agg(F.sort_array(F.collect_list(row)).alias("_rows"), *(F.sum(c).alias(c) for c in totals))
-        .select(
-            *keys, "segment",
-            F.array_join(F.transform("_rows", lambda r: r["t"]), sep).alias(out),
-            F.size("_rows").cast("long").alias("parts"), *totals,
+        .groupBy(*keys, F.floor(F.col(position) / span).cast("long").alias("_segment"))
+        .agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["t"]), sep).alias("_text"),
+            F.count(F.lit(1)).alias("_parts"), *(F.sum(c).alias(c) for c in totals),
         )
     )
+    whole = F.sort_array(F.collect_list(F.struct("_segment", "_text")))
+    return segments.groupBy(*keys).agg(
+        F.array_join(F.transform(whole, lambda r: r["_text"]), sep).alias(out),
+        F.sum("_parts").alias("parts"), *(F.sum(c).alias(c) for c in totals),
+    )

@@ -63,7 +63,7 @@ def top_k_per_condition(
 ) -> DataFrame:
     """The same for one query vector per condition: every chunk is scored once."""
     sized = queries.select("condition", "query", norm(F.col("query")).alias("query_norm"))
-    scored = scale.lookup_join(vectors, sized, ["condition"], "inner", QUERY_ROWS).withColumn(
+    scored = vectors.join(sized, "condition").withColumn(
         "score", similarity(F.col("embedding"), F.col("query"), metric, F.col("query_norm"))
     ).drop("query", "query_norm")
     return scale.ranked(scored, ["condition"], [F.desc("score"), F.col("chunk_id")], k)
@@ -82,5 +82,5 @@ def upsert(
     newest = scale.settle(scale.first_per_key(usable, ["chunk_id"], [F.desc(version)]), "newest")
     key = "source_file" if replace_document else "chunk_id"
     changed = newest.select(key).distinct()
-    kept = scale.lookup_join(table, changed, [key], "left_anti")
+    kept = table.join(changed, key, "left_anti")
     return kept.unionByName(newest.select(*table.columns))

@@ -62,19 +62,19 @@ def chunk_documents(spark, sf_dir):
     return documents.chunk_documents(view(spark, sf_dir, "docs")).drop("tokens")
 
 
-@query("truncate_budget", with_views(["docs"], _chunks_sql(100) + f"""
+@query("truncate_budget", with_views(["docs"], _chunks_sql() + f"""
 SELECT chunk_id, CAST(tokens AS BIGINT) AS tokens, CAST(running AS BIGINT) AS running_tokens FROM (SELECT chunk_id, {_tokens('text')} AS tokens,
-  sum({_tokens('text')}) OVER (PARTITION BY source_file ORDER BY chunk_index) AS running FROM chunk_rows) WHERE running <= 900""",
+  sum({_tokens('text')}) OVER (PARTITION BY source_file ORDER BY chunk_index) AS running FROM chunk_rows) WHERE running <= {documents.BUDGET}""",
     recursive=True))
 def truncate_budget(spark, sf_dir):
-    chunks = scale.settle(documents.chunk_documents(view(spark, sf_dir, "docs"), 100), "chunks")
-    return documents.budget_prefix(chunks, ["source_file"], "chunk_index", 900).select(
+    chunks = scale.settle(documents.chunk_documents(view(spark, sf_dir, "docs")).select("chunk_id", "source_file", "chunk_index", "tokens"), "chunks")
+    return documents.budget_prefix(chunks, ["source_file"], "chunk_index").select(
         "chunk_id", "tokens", "running_tokens")
 
 
 @query("concat_ordered", """
-SELECT conv_id, turn // 1024 AS segment, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS parts
-FROM conversations GROUP BY ALL""")
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS parts
+FROM conversations GROUP BY conv_id""")
 def concat_ordered(spark, sf_dir):
     return scale.concat_ordered(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
@@ -116,7 +116,7 @@ def markdown_image_links(spark, sf_dir):
 
 
 @query("assemble_pages", f"""
-SELECT condition, file_name, page_no // 1024 AS segment, string_agg(markdown || chr(10) || chr(10), '' ORDER BY page_no) AS text,
+SELECT condition, file_name, string_agg(markdown || chr(10) || chr(10), '' ORDER BY page_no) AS text,
   count(*) AS parts, CAST(sum(n_images) AS BIGINT) AS images_uploaded FROM ({_linked_sql()}) GROUP BY ALL""")
 def assemble_pages(spark, sf_dir):
     return documents.assemble_pages(_pages(spark, sf_dir))
@@ -202,7 +202,7 @@ def build_context(spark, sf_dir):
     best = scale.settle(best, "best")
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
     kept = documents.budget_prefix(
-        scale.lookup_join(texts, best, ["chunk_index"], "inner"), ["condition"], "rank", bounded=True)
+        texts.join(best, "chunk_index"), ["condition"], "rank", bounded=True)
     context = scale.concat_ordered(kept, ["condition"], "rank", "text", out="context")
     return documents.context_prompts(context)
 
@@ -268,7 +268,7 @@ def chat_scratchpad(spark, sf_dir):
 
 
 @query("chat_full_log", with_views(["steps"], f"""
-SELECT conv_id, turn // 1024 AS segment, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad, count(*) AS parts
+SELECT conv_id, string_agg({STEP}, {SEP} ORDER BY turn) AS scratchpad, count(*) AS parts
 FROM steps WHERE log <> 'TBD' GROUP BY ALL"""))
 def chat_full_log(spark, sf_dir):
     return chat.full_log(view(spark, sf_dir, "steps"))

@@ -95,13 +95,26 @@ MISSING = " || ".join(
 
 def _signup(spark, sf_dir):
     requests = load(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {a}" for a, e in SIGNUP.items()))
-    return requests, view(spark, sf_dir, "users").filter("last_name = 'BUILDING'")
+    return requests, view(spark, sf_dir, "users").selectExpr(*(f"{e} AS {a}" for a, e in KNOWN.items()))
 
 
-SIGNUP_CHECK = f"""WITH req AS ({SIGNUP_SQL}), known AS (SELECT username, email FROM users WHERE last_name = 'BUILDING'),
+# Every member is registered; of two thirds under a name and address no request asks for.
+KNOWN = {
+    "username": "CASE WHEN CAST(substr(username, 2) AS BIGINT) % 3 = 0 THEN username ELSE 'r' || username END",
+    "email": "CASE WHEN CAST(substr(username, 2) AS BIGINT) % 3 = 0 THEN email ELSE 'r' || email END",
+}
+KNOWN_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in KNOWN.items()) + " FROM users"
+
+SIGNUP_CHECK = f"""WITH req AS ({SIGNUP_SQL}), known AS ({KNOWN_SQL}),
 checked AS (SELECT *, substr({MISSING}, 3) AS missing FROM req),
-ranked AS (SELECT *, min(CASE WHEN missing = '' THEN request_id END) OVER (PARTITION BY username) AS by_name,
-  min(CASE WHEN missing = '' THEN request_id END) OVER (PARTITION BY email) AS by_mail FROM checked),
+free AS (SELECT request_id, username, email FROM checked WHERE missing = ''
+  AND username NOT IN (SELECT username FROM known) AND email NOT IN (SELECT email FROM known)),
+walk AS (SELECT list_reduce(list({{'ids': [request_id], 'names': [username], 'mails': [email]}} ORDER BY request_id), lambda a, x:
+  CASE WHEN list_contains(a.names, x.names[1]) OR list_contains(a.mails, x.mails[1]) THEN a
+  ELSE {{'ids': a.ids || x.ids, 'names': a.names || x.names, 'mails': a.mails || x.mails}} END) AS w FROM free),
+ranked AS (SELECT c.*, n.id AS by_name, m.id AS by_mail FROM checked c
+  LEFT JOIN (SELECT unnest(w.names) AS username, unnest(w.ids) AS id FROM walk) n ON n.username = c.username
+  LEFT JOIN (SELECT unnest(w.mails) AS email, unnest(w.ids) AS id FROM walk) m ON m.email = c.email),
 judged AS (SELECT *, CASE WHEN missing <> '' THEN 'missing: ' || missing
   WHEN username IN (SELECT username FROM known) THEN 'username already registered'
   WHEN email IN (SELECT email FROM known) THEN 'email already registered'

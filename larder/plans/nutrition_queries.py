@@ -30,7 +30,7 @@ DIGEST = f"""
 SELECT u.username, u.email,
   CAST(round(CAST(avg(n.calories_per_serving_kcal) AS DECIMAL(28,10)), 2) AS DOUBLE) AS avg_kcal,
   count(DISTINCT n.date) AS active_days, max(n.recipe_name) AS max_recipe,
-  arg_max(n.recipe_name, n.ts) FILTER (WHERE n.recipe_name IS NOT NULL) AS last_recipe
+  arg_max(n.recipe_name, (n.ts, n.event_id)) FILTER (WHERE n.recipe_name IS NOT NULL) AS last_recipe
 FROM users u LEFT JOIN logs n ON u.username = n.username AND n.{WEEK}
 GROUP BY u.username, u.email"""
 CRITICAL = f"""

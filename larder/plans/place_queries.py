@@ -165,8 +165,8 @@ def facility_with_fallback(spark, sf_dir):
 
 
 @query("facility_outcome", with_views(["facilities"], f"""
-WITH {FOUND} SELECT r.request_id, n IS NOT NULL AS success, CASE WHEN n IS NULL THEN 'No healthcare facilities found in '
-  ELSE 'Found ' || CAST(n AS VARCHAR) || ' healthcare facilities in ' END || city || ' ' || zipcode AS message
+WITH {FOUND} SELECT r.request_id, n IS NOT NULL AS success, CASE WHEN n IS NULL THEN 'No place of care near '
+  ELSE CAST(n AS VARCHAR) || ' places of care near ' END || city || ' ' || zipcode AS message
 FROM requests r LEFT JOIN (SELECT request_id, count(*) AS n FROM found GROUP BY 1) f USING (request_id)"""))
 def facility_outcome(spark, sf_dir):
     return places.search_outcome(*_found(spark, sf_dir))
@@ -194,9 +194,9 @@ DETAILS = {
 @query("facility_details", with_views(["facilities"], f"""
 SELECT f.listing_rank, f.place_id, coalesce(website, '') AS website, coalesce(phone, '') AS phone, coalesce(hours, '') AS hours,
   d.place_id IS NOT NULL AS found FROM facilities f LEFT JOIN
-  (SELECT {", ".join(f"{e} AS {a}" for a, e in DETAILS.items())} FROM supplier WHERE s_acctbal > 1000) d ON d.place_id = f.place_id"""))
+  (SELECT {", ".join(f"{e} AS {a}" for a, e in DETAILS.items())} FROM supplier) d ON d.place_id = f.place_id"""))
 def facility_details(spark, sf_dir):
-    details = load(spark, sf_dir, "supplier").filter("s_acctbal > 1000").selectExpr(
+    details = load(spark, sf_dir, "supplier").selectExpr(
         *(f"{e} AS {a}" for a, e in DETAILS.items())).withColumn("opening_hours", F.split("hours", r"\|"))
     return places.with_details(view(spark, sf_dir, "facilities"), details).select(
         "listing_rank", "place_id", "website", "phone", F.array_join("opening_hours", "|").alias("hours"), "found")

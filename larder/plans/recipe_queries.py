@@ -173,7 +173,7 @@ HITS = {
     "slug": "'s' || CAST(l_partkey AS STRING)",
 }
 HITS_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in HITS.items()) + " FROM lineitem"
-CAP = 70
+CAP = vocab.CUISINE_CAP
 
 
 def _hits(spark, sf_dir):

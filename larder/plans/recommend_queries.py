@@ -8,7 +8,7 @@ from larder import vocab
 from larder.operators import nutrition, recommend
 from larder.plans.member_queries import SYNONYMS
 from larder.plans.registry import query
-from larder.plans.views import AS_OF, load, meal_requests, view, with_views
+from larder.plans.views import AS_OF, K, load, meal_requests, view, with_views
 
 ENERGY = recommend.ENERGY
 
@@ -109,10 +109,17 @@ def recommend_batch(spark, sf_dir):
 
 
 @query("recommend_no_match", with_views(["users", "recipes", "asked"], f"""
-WITH {PEOPLE} SELECT username, cuisine, meal, '❌ No suitable recipes found for ' || meal || ' (' || cuisine || ').' AS message
-FROM req r WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.condition = r.condition AND p.c = lower(r.cuisine) AND p.m = lower(r.meal))"""))
+WITH {PEOPLE} SELECT username, cuisine, meal, 'Nothing in the table fits ' || meal || ' with cuisine ' || cuisine AS message
+FROM req r WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.condition = r.condition AND p.c = lower(r.cuisine) AND p.m = lower(r.meal))
+UNION ALL SELECT 'u' || CAST({K} AS VARCHAR), NULL, NULL, 'No cuisine or no meal was asked for' FROM customer WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT 'guest' || CAST({K} AS VARCHAR), NULL, NULL, 'This member is not registered' FROM customer WHERE {K} % 50 = 0"""))
 def recommend_no_match(spark, sf_dir):
-    return recommend.unmatched(recommend.recommend(spark, *_inputs(spark, sf_dir), keep_unmatched=True))
+    """Wishes without a recipe, requests that name nothing, and requests of guests, who are no members."""
+    users, requests, recipes = _inputs(spark, sf_dir)
+    found = recommend.unmatched(recommend.recommend(spark, users, requests, recipes, keep_unmatched=True))
+    guests = requests.filter("CAST(substr(username, 2) AS BIGINT) % 50 = 0").withColumn(
+        "username", F.concat(F.lit("guest"), F.substr("username", F.lit(2))))
+    return found.unionByName(recommend.unanswerable(requests.unionByName(guests), users))
 
 
 @query("recommend_sampled", with_views(["users", "recipes", "asked"], f"""

@@ -20,30 +20,27 @@ def stream_view(spark, sf_dir: str, name: str):
     return rows.selectExpr(*(f"{expr} AS `{alias}`" for alias, expr in columns.items()))
 
 
-def _closed(spark, rows, name: str):
-    """Run a windowed stream to its end; windows the watermark has not passed stay open."""
+def _windows(spark, rows, name: str, keys: list[str]):
+    """Run a windowed stream to its end; windows the watermark has not passed are part of the result."""
     folder = scratch.new_dir(spark, name)
-    jobs.write_closed_windows(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    jobs.write_windows(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return jobs.read_windows(spark, f"{folder}/out", rows.schema, keys)
 
 
-MARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM logs)"
-
-
-@query("stream_daily_summary", with_views(["logs"], f"""
+@query("stream_daily_summary", with_views(["logs"], """
 SELECT username, date, sum(calories_per_serving_kcal) AS total_kcal, count(recipe_name) AS meal_count FROM logs
-WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= {MARK} GROUP BY username, date"""))
+GROUP BY username, date"""))
 def stream_daily_summary(spark, sf_dir):
-    return _closed(spark, jobs.daily_totals(stream_view(spark, sf_dir, "logs")), "daily")
+    return _windows(spark, jobs.daily_totals(stream_view(spark, sf_dir, "logs")), "daily", ["username", "date"])
 
 
-@query("stream_weekly_digest", with_views(["logs"], f"""
+@query("stream_weekly_digest", with_views(["logs"], """
 SELECT username, date + o AS week_end, round(avg(calories_per_serving_kcal), 6) AS avg_kcal, count(*) AS rows
 FROM logs, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(o)
-WHERE CAST(date + o + 1 AS TIMESTAMP) <= {MARK} GROUP BY username, date + o"""))
+GROUP BY username, date + o"""))
 def stream_weekly_digest(spark, sf_dir):
-    return _closed(spark, jobs.weekly_means(stream_view(spark, sf_dir, "logs")), "weekly").withColumn(
-        "avg_kcal", F.round("avg_kcal", 6))
+    rows = _windows(spark, jobs.weekly_means(stream_view(spark, sf_dir, "logs")), "weekly", ["username", "week_end"])
+    return rows.withColumn("avg_kcal", F.round("avg_kcal", 6))
 
 
 @query("stream_first_seen", "SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS username FROM events")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators import nutrition, recipes, scale
-from larder.sources import files, schemas
+from larder.sources import files, schemas, scratch
 
 KCAL = nutrition.KCAL
 
@@ -61,12 +61,15 @@ def _read_before(spark: SparkSession, target: str, schema, batch: int) -> DataFr
 
 
 def append_new_keys(rows: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Incremental table: rows whose key no earlier batch wrote."""
+    """Incremental table: rows whose key no earlier batch wrote, one per key. Rows without key all pass."""
     schema = rows.schema
 
     def write(batch: DataFrame, number: int) -> None:
         known = _read_before(batch.sparkSession, target, schema, number)
-        _write_batch(recipes.new_keys(batch, known, key), target, number)
+        new = recipes.new_keys(batch, known, key)
+        # One row per key; its text decides, so a replayed batch keeps the same one.
+        once = scale.first_per_key(new.filter(F.col(key).isNotNull()), [key], [F.to_json(F.struct("*"))])
+        _write_batch(once.unionByName(new.filter(F.col(key).isNull())), target, number)
 
     return _each(rows, write, checkpoint)
 
@@ -117,6 +120,37 @@ def weekly_means(logs: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def write_windows(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Log every batch's new totals of the windows it touched, open ones too; see `read_windows`."""
+    return (
+        rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, number: _write_batch(batch, target, number))
+        .trigger(availableNow=True).start()
+    )
+
+
+def read_windows(spark: SparkSession, target: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The latest total of each window, whether it is closed or not."""
+    log = spark.read.schema(_with_batch(schema)).parquet(target)
+    return scale.first_per_key(log, keys, [F.desc("batch_id")]).drop("batch_id")
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], schema=schemas.CHUNKS) -> None:
+    """Replace the log of a target by one batch with the newest row per key, under the last batch's number.
+
+    Run it between two streams, not beside one.
+    """
+    log = spark.read.schema(_with_batch(schema)).parquet(target)
+    last = log.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return
+    kept = scale.settle(scale.first_per_key(log, keys, [F.desc("batch_id")]).drop("batch_id"), "compacted")
+    old = [row[0] for row in log.select("batch_id").distinct().collect() if row[0] != last]
+    _write_batch(kept, target, last)
+    for number in old:
+        scratch.remove(spark, f"{target}/batch_id={number}")
+
+
 def write_closed_windows(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append each window once the watermark has passed it."""
     return (

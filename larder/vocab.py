@@ -177,14 +177,17 @@ MAPS_LINK = "https://www.google.com/maps/place/?q=place_id:"
 MAP_CENTRE = (42.3601, -71.0589)
 
 # Texts of refused and answered facility searches.
-CITY_MISSING = "City name is required for the search"
-ZIP_MISSING = "Zipcode is required for the search"
+CITY_MISSING = "A city has to be named"
+ZIP_MISSING = "A zip code has to be given"
 ZIP_INVALID = "Zipcode is not valid"
-FACILITIES_FOUND = "Found %s healthcare facilities in %s"
-FACILITIES_NONE = "No healthcare facilities found in %s"
+FACILITIES_FOUND = "%s places of care near %s"
+FACILITIES_NONE = "No place of care near %s"
 
 # Text for a wish without recipes: meal, cuisine.
-NO_RECIPES = "❌ No suitable recipes found for %s (%s)."
+NO_RECIPES = "Nothing in the table fits %s with cuisine %s"
+# Texts for requests that cannot be answered.
+UNKNOWN_MEMBER = "This member is not registered"
+NOTHING_ASKED = "No cuisine or no meal was asked for"
 # Heading above the cards of a wish: meal, cuisine.
 CARD_HEADING = "### 🥗 %s (%s)\n\n"
 

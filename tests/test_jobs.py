@@ -41,7 +41,7 @@ def test_wishes_are_answered(spark):
     table = spark.createDataFrame([recipe("dal"), recipe("roti")], SCHEMA)
     asked = wishes(spark, [("a", ["Indian", "Thai"], ["Lunch"])] * 3)
     got = {(r.cuisine, r.meal): r.block for r in jobs.answer_wishes(spark, people(spark, [("a", "CKD")]), asked, table).collect()}
-    assert got["Thai", "Lunch"] == "❌ No suitable recipes found for Lunch (Thai)."
+    assert got["Thai", "Lunch"] == "Nothing in the table fits Lunch with cuisine Thai"
     block = got["Indian", "Lunch"]
     assert block.startswith("### 🥗 Lunch (Indian)\n\n🍽️ **dal**  \n") and block.count("🍽️") == 2
     assert "\n🧬 Sodium Mg: 1.0" in block and block.endswith("\n")

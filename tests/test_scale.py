@@ -25,23 +25,12 @@ def test_running_sum(spark):
         assert len(got) == len(data)
 
 
-def test_salted_join_equals_join(spark):
-    rows = spark.createDataFrame(skewed(), "k string, i int, v int")
-    names = spark.createDataFrame([("hot", "H"), ("k1", "one"), ("zz", "none")], "k string, name string")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a = scale.salted_join(rows, names, ["k"], how).collect()
-        b = rows.join(names, "k", how).collect()
-        assert sorted(map(str, a)) == sorted(map(str, b))
-
-
-def test_lookup_join_beyond_its_bound(spark):
-    rows = spark.createDataFrame(skewed(), "k string, i int, v int")
-    names = rows.select("k").distinct().withColumn("name", F.upper("k"))
-    small = scale.lookup_join(rows, names, ["k"])
-    large = scale.lookup_join(rows, names, ["k"], max_rows=3)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
-    plan = large._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan
+def test_running_sum_keeps_rows_with_nulls(spark):
+    data = [("a", None, 5), ("a", 1, 2), ("a", 9, None), (None, 3, 1), (None, None, 4), ("b", None, None)]
+    rows = spark.createDataFrame(data, "k string, i int, v int")
+    for buckets in ([], [F.floor(F.col("i") / 4)], [F.floor(F.col("i") / 4), F.floor(F.col("i") / 8)]):
+        got = {(r.k, r.i): r.s for r in scale.running_sum(rows, ["k"], ["i"], "v", buckets, "s").collect()}
+        assert got == {("a", None): 5, ("a", 1): 7, ("a", 9): 7, (None, None): 4, (None, 3): 5, ("b", None): None}
 
 
 def test_first_per_key_limits_before_the_shuffle(spark):
@@ -58,11 +47,12 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in expected.items()}
 
 
-def test_concat_ordered_segments(spark):
-    rows = spark.createDataFrame([("a", i, f"t{i}") for i in range(10)] + [("b", 0, "x"), ("b", 1, None)],
-                                 "k string, i int, t string")
-    got = {(r.k, r.segment): r.text for r in scale.concat_ordered(rows, ["k"], "i", "t", "|", span=4).collect()}
-    assert got == {("a", 0): "t0|t1|t2|t3", ("a", 1): "t4|t5|t6|t7", ("a", 2): "t8|t9", ("b", 0): "x"}
+def test_concat_ordered_gives_one_text_per_key(spark):
+    rows = spark.createDataFrame(
+        [("a", i, f"t{i}", 1) for i in range(3000)] + [("b", 0, "x", 2), ("b", 1, None, 3), (None, 5, "n", 4)],
+        "k string, i int, t string, n int").repartition(5)
+    got = {r.k: (r.text, r.parts, r.n) for r in scale.concat_ordered(rows, ["k"], "i", "t", "|", totals=["n"]).collect()}
+    assert got == {"a": ("|".join(f"t{i}" for i in range(3000)), 3000, 3000), "b": ("x", 1, 2), None: ("n", 1, 4)}
 
 
 def test_settle_keeps_rows_and_schema(spark):

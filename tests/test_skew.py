@@ -4,7 +4,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import scale
 from tests.test_queries import QUERIES, SF_DIR, SQL, TABLES, table
 
 # Table -> (column, its hot value, key columns that tell rows apart).
@@ -60,8 +59,11 @@ LOOKUPS = [
 
 
 @pytest.mark.parametrize("name", LOOKUPS)
-def test_lookups_beyond_the_bound_equal_sql(spark, skewed, monkeypatch, name):
-    """The same with every lookup table taken to be too large to broadcast."""
-    monkeypatch.setattr(
-        scale, "lookup_join", lambda big, small, on, how="left", max_rows=0: scale.salted_join(big, small, on, how))
-    test_query_equals_sql_on_skewed_tables(spark, skewed, name)
+def test_lookups_without_broadcast_equal_sql(spark, skewed, name):
+    """The same with no table small enough to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query_equals_sql_on_skewed_tables(spark, skewed, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

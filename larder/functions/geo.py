@@ -19,12 +19,20 @@ def lat_row(lat: Column, size_m: Column | float) -> Column:
     return F.floor(lat * F.lit(METRES_PER_DEGREE) / size_m)
 
 
-def lng_column(lng: Column, row: Column, size_m: Column | float) -> Column:
-    """Column index of a longitude in one latitude row.
+def lng_columns(row: Column, size_m: Column | float) -> Column:
+    """Number of cells around the earth in one latitude row.
 
-    The cell is as wide as a `size_m` step at the row edge nearest the pole, one further
-    row out, so a neighbour in any adjacent row is never more than one column away.
+    A cell is as wide as a `size_m` step can reach at the row edge nearest the pole, one further
+    row out, so a neighbour in any adjacent row is never more than one column away. Where
+    such a step can cross the pole, the row is one cell.
     """
     edge = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * size_m / F.lit(METRES_PER_DEGREE)
-    width = size_m / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians(F.least(edge, F.lit(89.0)))))
-    return F.floor(lng / width)
+    reach = F.sin(size_m / F.lit(EARTH_RADIUS_M)) / F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    fits = (edge < 90.0) & (reach < 1.0)
+    return F.when(fits, F.floor(F.lit(360.0) / F.degrees(F.asin(F.least(reach, F.lit(1.0)))))).otherwise(F.lit(1)).cast("long")
+
+
+def lng_column(lng: Column, row: Column, size_m: Column | float, step: int | Column = 0) -> Column:
+    """Column index of a longitude in one latitude row, `step` columns further east around the earth."""
+    columns = lng_columns(row, size_m)
+    return F.pmod(F.floor((lng + 180.0) / 360.0 * columns) + step, columns)

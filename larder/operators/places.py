@@ -18,6 +18,8 @@ ENOUGH = 3
 CAP = 5
 RADIUS_M = 10_000.0
 LEVELS = 12
+# Columns of a row from which its cells are close to squares.
+SQUARE = 64
 PLACE = ["city", "zipcode", "facility_type"]
 
 
@@ -205,11 +207,12 @@ def _cells(lat: str, lng: str, levels: Column, reach: int) -> Column:
 
     def at_level(level: Column) -> Column:
         size = _size(level)
-        return F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: F.struct(
+        # Where a row has few columns, steps both ways meet.
+        return F.array_distinct(F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: F.struct(
             level.alias("level"),
             (geo.lat_row(F.col(lat), size) + dy).alias("row"),
-            (geo.lng_column(F.col(lng), geo.lat_row(F.col(lat), size) + dy, size) + dx).alias("col"),
-        ))))
+            geo.lng_column(F.col(lng), geo.lat_row(F.col(lat), size) + dy, size, dx).alias("col"),
+        )))))
 
     return F.flatten(F.transform(levels, at_level))
 
@@ -220,7 +223,8 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
     Cells halve per level, from ten kilometres to five metres. Cell counts tell the finest
     level at which a spot's own cell holds `k` sites. Those lie within 1.42 cell widths, so
     the 3x3 block one level up, which reaches two widths, holds the nearest `k`; without
-    such a level the coarsest block holds all there is. Dense areas are thus searched in
+    such a level the coarsest block holds all there is. Rows around a pole have too few columns
+    for that argument and are left to the coarsest block. Dense areas are thus searched in
     small cells, and a crowded cell is not paired with all requests around it. Equal spots
     are searched once; a cell with very many different spots is left to the adaptive skew
     join, as no later step relies on how the cell joins are partitioned.
@@ -247,7 +251,8 @@ def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> D
 
     finest = (
         distinct.select(*spot, F.inline(_cells("lat", "lng", _all_levels(), 0)))
-        .join(full, cell, "left").groupBy(*spot).agg(F.max("full").alias("finest"))
+        .join(full, cell, "left").groupBy(*spot)
+        .agg(F.max(F.when(geo.lng_columns(F.col("row"), _size(F.col("level"))) >= SQUARE, F.col("full"))).alias("finest"))
     )
     wanted = F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0))
     block = finest.select(*spot, F.inline(_cells("lat", "lng", F.array(wanted), 1)))

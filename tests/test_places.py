@@ -19,9 +19,15 @@ def distance(lat1, lng1, lat2, lng2):
     return 2 * 6_371_000.0 * math.asin(math.sqrt(chord))
 
 
-@pytest.mark.parametrize("base", [0.0, 42.0, -33.5, 68.0])
-def test_radius_equals_brute_force(spark, base):
+@pytest.mark.parametrize(("base", "east"), [(0.0, 0.0), (42.0, 0.0), (-33.5, 180.0), (68.0, -179.99), (89.95, 20.0), (-89.8, 180.0)])
+def test_radius_equals_brute_force(spark, base, east):
     rng = random.Random(int(base) + 100)
+    # Near a pole sites and spots lie all around it.
+    around = 180.0 if abs(base) > 89 else 0.5
+
+    def wrap(lat, lng):
+        return max(-90.0, min(90.0, lat)), (lng + east + 180) % 360 - 180
+
     # A third of the sites sit in one tiny cluster, some on the very same point; the rest is spread.
     sites = []
     for i in range(600):
@@ -30,9 +36,9 @@ def test_radius_equals_brute_force(spark, base):
         elif i % 3 == 1:
             lat, lng = base + rng.gauss(0, 0.01), rng.gauss(0, 0.01)
         else:
-            lat, lng = base + rng.uniform(-0.3, 0.3), rng.uniform(-0.5, 0.5)
-        sites.append((f"p{i}", lat, lng))
-    asked = [(j, base + rng.uniform(-0.3, 0.3) * rng.random() ** 3, rng.uniform(-0.5, 0.5) * rng.random() ** 3) for j in range(300)]
+            lat, lng = base + rng.uniform(-0.3, 0.3), rng.uniform(-around, around)
+        sites.append((f"p{i}", *wrap(lat, lng)))
+    asked = [(j, *wrap(base + rng.uniform(-0.3, 0.3) * rng.random() ** 3, rng.uniform(-around, around) * rng.random() ** 3)) for j in range(300)]
     facilities = spark.createDataFrame(
         [(i, p, "n", "a", None, None, lat, lng, "c", "z", "pharmacy") for i, (p, lat, lng) in enumerate(sites)], FACILITY)
     requests = spark.createDataFrame(asked, "request_id long, latitude double, longitude double").withColumn(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import members, nutrition, vectors
@@ -81,3 +82,27 @@ def test_vectors_by_condition_are_pruned(spark, tmp_path):
     best = vectors.top_k(spark.read.parquet(path), [1.0, 0.0], ["k1"], 2)
     assert [r.chunk_id for r in best.collect()] == ["c1", "c4"]
     assert "PartitionFilters: [isnotnull(condition" in plan_of(best) or "PartitionFilters: [(condition" in plan_of(best)
+
+
+def test_working_folder_is_gone_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "from larder.session import build_session\nfrom larder.sources import scratch\n"
+        f"spark = build_session('s', 'local[1]', **{{'spark.checkpoint.dir': '{tmp_path}/shared', 'spark.ui.enabled': 'false'}})\n"
+        "path = scratch.new_dir(spark, 'x')\nspark.range(3).write.parquet(path)\n"
+        "assert spark.read.parquet(path).count() == 3\nspark.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+    assert list((tmp_path / "shared").glob("larder-*")) == []
+
+
+def test_clean_removes_what_was_written(spark):
+    from larder.sources import scratch
+
+    path = scratch.new_dir(spark, "y")
+    spark.range(3).write.parquet(path)
+    scratch.remove(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -6,23 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larder import vocab
 from larder.operators import documents, nutrition, recipes, recommend, scale, vectors
 from larder.sources import files
 
 
 def refresh_recipes(
     spark: SparkSession, json_path: str, csv_path: str, table_path: str, ledger_path: str,
+    cap: int = vocab.CUISINE_CAP,
 ) -> DataFrame:
     """Nested recipes -> CSV per recipe -> wide table -> data tests.
 
-    Recipes already in the ledger are skipped; of several with one name the one with the
-    smallest link is taken. Every step writes before the next reads, and a run that is
+    Recipes already in the ledger are skipped. Cuisines, in order of their names, take up to `cap`
+    new recipes each that no cuisine before took, in order of pages (by path) and hits; the
+    first hit of a name within its cuisine counts. Every step writes before the next reads, and a run that is
     repeated finds nothing new. Returns the data tests of the whole table.
     """
-    found = recipes.with_slug(recipes.explode_hits(files.read_recipe_json(spark, json_path)))
+    found = recipes.with_slug(recipes.explode_hits(files.read_recipe_json(spark, json_path, "page"), "page"))
+    found = found.withColumn("cuisine", F.coalesce(F.get("cuisineType", F.lit(0)), F.lit("")))
     fresh = recipes.new_keys(found, files.read_ledger(spark, ledger_path).withColumnRenamed("slug", "recipe_name"), "recipe_name")
     # Settled, as the ledger it was compared with grows below.
-    fresh = scale.settle(scale.first_per_key(fresh, ["recipe_name"], [F.col("url")]), "fresh")
+    fresh = scale.settle(scale.first_per_key(fresh, ["cuisine", "recipe_name"], [F.col("hit_rank")]), "fresh")
+    offers = fresh.select(F.col("cuisine").alias("cuisine_rank"), "hit_rank", F.col("recipe_name").alias("slug"))
+    cuisines = fresh.select("cuisine").distinct().count()
+    picks = recipes.cap_exact(offers, max(1, cuisines), cap).select(
+        F.col("cuisine_rank").alias("cuisine"), F.col("slug").alias("recipe_name"))
+    fresh = scale.settle(fresh.join(picks, ["cuisine", "recipe_name"], "left_semi").drop("hit_rank", "cuisine"), "taken")
     tall = recipes.unpivot_nutrients(fresh)
     files.write_recipe_csvs(tall, csv_path)
     wide = recipes.pivot_eav(tall.select("recipe_name", "attribute", "value"))

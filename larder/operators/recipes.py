@@ -14,9 +14,12 @@ from larder.operators import scale
 LABEL_COLUMNS = ("cuisine_type", "meal_type", "dish_type", "ingredients", "health_labels", "diet_labels", "caution_labels")
 
 
-def explode_hits(pages: DataFrame) -> DataFrame:
-    """API result pages -> one row per recipe."""
-    return pages.select(F.explode("hits").alias("hit")).select("hit.recipe.*")
+def explode_hits(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """API result pages -> one row per recipe, with `hit_rank` where the column `order` orders the pages."""
+    if order is None:
+        return pages.select(F.explode("hits").alias("hit")).select("hit.recipe.*")
+    rows = pages.select(F.col(order).alias("page"), F.posexplode("hits").alias("position", "hit"))
+    return rows.select(F.struct("page", "position").alias("hit_rank"), "hit.recipe.*")
 
 
 def with_slug(recipes: DataFrame) -> DataFrame:

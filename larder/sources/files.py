@@ -19,8 +19,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_recipe_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RECIPE_PAGE).option("multiLine", True).json(path)
+def read_recipe_json(spark: SparkSession, path: str, page: str | None = None) -> DataFrame:
+    """Result pages; `page` names a column for the path of each page's file."""
+    rows = spark.read.schema(schemas.RECIPE_PAGE).option("multiLine", True).json(path)
+    return rows if page is None else rows.withColumn(page, F.col("_metadata.file_path"))
 
 
 def read_recipe_csvs(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,22 @@ def test_recipe_refresh_is_incremental(spark, tmp_path):
     assert table["dal"].link == "http://x/0"
 
 
+def test_refresh_caps_each_cuisine_and_keeps_first_hits(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("json", "csv", "table", "ledger")]
+    (tmp_path / "json").mkdir()
+    for name, cuisine, labels in (
+        ("1", "greek", ["A", "B", "A"]), ("2", "greek", ["C", "D"]), ("3", "indian", ["B", "C", "E", "F"]), ("4", "thai", ["A", "G", "B"]),
+    ):
+        more = {"cuisineType": [cuisine]}
+        rows = page(labels, **more)
+        for i, hit in enumerate(rows["hits"]):
+            hit["recipe"]["url"] = f"{cuisine}-{name}-{i}"
+        (tmp_path / "json" / f"{name}.json").write_text(json.dumps(rows))
+    jobs.refresh_recipes(spark, *paths, cap=2)
+    table = {r.recipe_name: r.link for r in files.read_table(spark, paths[2]).collect()}
+    assert table == {"a": "greek-1-0", "b": "greek-1-1", "c": "indian-3-1", "e": "indian-3-2", "g": "thai-4-1"}
+
+
 def test_wishes_are_answered(spark):
     table = spark.createDataFrame([recipe("dal"), recipe("roti")], SCHEMA)
     asked = wishes(spark, [("a", ["Indian", "Thai"], ["Lunch"])] * 3)

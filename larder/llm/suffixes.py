@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ TOGETHER = 1024
 PLACE = U64(31)
 
 ORDER = ["lead", "gram", "whole"]
-_ENTRY = "row long, at int, low int, high int, lead long, gram long, whole long"
+_ENTRY = "row long, low int, one int, high int, n int, lead long, gram long, whole long"
+_CO_LOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,8 +56,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The kept suffixes of each text, with the run of string starts low..high that chose them."""
+    """The kept suffixes of each text, with the run of string starts low..high that chose them.
+
+    Where one suffix and run follow themselves, as in a text that repeats a short period, n of them are one entry; low..one
+    is then the first of them.
+    """
     width = length - gram + 1
+    mask = (U64(1) << PLACE) - U64(1)
     for batch in batches:
         rows = batch.column("row").to_numpy()
         for first, end, data, starts in text_blocks(batch.column("text")):
@@ -70,17 +77,20 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                 change = np.flatnonzero(least[1:] != least[:-1]) + 1
                 begin = np.concatenate([[0], change])
                 until = np.concatenate([change - 1, [len(least) - 1]])
-                at = (least[begin] & ((U64(1) << PLACE) - U64(1))).astype(np.int64)
-                found.append((np.full(len(at), rows[first + i]), at, begin, until, grams[at],
-                              hash_spans(sums, low + begin, low + until + length), _lead(data, low + at)))
-            if found:
-                row, at, begin, until, name, whole, lead = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = (least[begin] & mask).astype(np.int64)
                 with np.errstate(over="ignore"):  # the same bytes are the same run only around the same place
-                    whole = mix(whole + (at - begin).astype(np.uint64))
+                    whole = mix(hash_spans(sums, low + begin, low + until + length) + (at - begin).astype(np.uint64))
+                name = grams[at]
+                own = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])]))
+                count = np.diff(np.concatenate([own, [len(at)]]))
+                found.append((np.full(len(own), rows[first + i]), begin[own], until[own], until[own + count - 1], count,
+                              _lead(data, low + at[own]), name[own], whole[own]))
+            if found:
+                row, begin, one, until, count, lead, name, whole = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), pa.array(at.astype(np.int32)), pa.array(begin.astype(np.int32)), pa.array(until.astype(np.int32)),
+                    [pa.array(row), *(pa.array(x.astype(np.int32)) for x in (begin, one, until, count)),
                      pa.array(lead), pa.array(name.view(np.int64)), pa.array(whole.view(np.int64))],
-                    ["row", "at", "low", "high", "lead", "gram", "whole"])
+                    ["row", "low", "one", "high", "n", "lead", "gram", "whole"])
 
 
 def _lead(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -92,49 +102,75 @@ def _lead(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class SuffixIndex:
-    """Levels of merged suffix arrays; a level holds each distinct run once, with its number of occurrences."""
+    """Levels of merged suffix arrays; a level holds each distinct run once, with its number of occurrences.
+
+    All tables are bucketed by gram into the same number of buckets, so merging and scanning join bucket with bucket.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.levels, self.tables, self.hits = spark, buckets, {}, [], []
+        self.spark, self.buckets = spark, buckets
+        self.levels: dict[int, list[DataFrame]] = {}
+        self.tables: list[tuple[str, str]] = []
+        self.hits: list[DataFrame] = []
 
     def table(self, df: DataFrame, name: str, partitions: str | None = None) -> DataFrame:
         """`df`, already dealt out by gram, as a bucketed and sorted table."""
         name = f"larder_{name}_{uuid.uuid4().hex}"
-        writer = df.write.option("path", scratch.new_dir(self.spark, name)).bucketBy(self.buckets, "gram").sortBy(*ORDER)
+        path = scratch.new_dir(self.spark, name)
+        writer = df.write.option("path", path).bucketBy(self.buckets, "gram").sortBy(*ORDER)
         (writer.partitionBy(partitions) if partitions else writer).saveAsTable(name)
-        self.tables.append(name)
+        self.tables.append((name, path))
         return self.spark.table(name)
 
     def insert(self, batch: DataFrame) -> None:
-        """Scan a batch's suffix array against itself and every level, note what it shares, and make it a level."""
-        run = self.table(batch.groupBy(*ORDER).agg(F.count("*").alias("n")), "run")
-        own = run.groupBy("lead", "gram").agg(F.sum("n").alias("n")).where("n > 1").select("lead", "gram")
-        self.hits.append((own, run.where("n > 1").select(*ORDER)))
-        for level in self.levels.values():
-            shared = run.select("lead", "gram").distinct().join(level.select("lead", "gram"), ["lead", "gram"], "left_semi")
-            wholes = run.select(*ORDER).join(level.select(*ORDER), ORDER, "left_semi")
-            self.hits.append((keep(shared, "shared-grams"), keep(wholes, "shared-runs")))
-        size = 0
-        while size in self.levels:
-            older = self.levels.pop(size).withColumnRenamed("n", "more")
-            merged = run.join(older, ORDER, "full").select(
-                *ORDER, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
-            run, size = self.table(merged, "level"), size + 1
-        self.levels[size] = run
+        """Scan a batch's suffix array with itself and every level, note what it shares, and make it a level.
+
+        Levels of one size, left by the batch before, are merged first.
+        """
+        for size in sorted(self.levels):
+            if len(same := self.levels[size]) == 2:
+                older = same[1].withColumnRenamed("n", "more")
+                merged = same[0].join(older, ORDER, "full").select(
+                    *ORDER, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+                self.levels[size] = []
+                self.levels.setdefault(size + 1, []).append(self.table(merged, "level"))
+        run = self.table(batch.groupBy(*ORDER).agg(F.sum("n").alias("n")), "run")
+        own = run.groupBy("lead", "gram").agg((F.sum("n") > 1).alias("shared"))
+        scan = run.join(own, ["lead", "gram"]).withColumn("again", F.col("n") > 1)
+        for level in [x for same in self.levels.values() for x in same]:
+            grams = level.select("lead", "gram").distinct().withColumn("_gram", F.lit(True))
+            wholes = level.select(*ORDER, F.lit(True).alias("_whole"))
+            scan = scan.join(grams, ["lead", "gram"], "left").join(wholes, ORDER, "left")
+            scan = scan.withColumn("shared", F.col("shared") | F.col("_gram").isNotNull())
+            scan = scan.withColumn("again", F.col("again") | F.col("_whole").isNotNull()).drop("_gram", "_whole")
+        self.hits.append(keep(scan.where("shared").select(*ORDER, "again"), "shared"))
+        self.levels.setdefault(0, []).append(run)
 
     def shared(self) -> tuple[DataFrame, DataFrame]:
         """(suffixes that occur twice, runs that occur twice as a whole), over all batches."""
-        grams, wholes = self.hits[0]
-        for more_grams, more_wholes in self.hits[1:]:
-            grams, wholes = grams.unionByName(more_grams), wholes.unionByName(more_wholes)
-        return grams.distinct(), wholes.distinct()
+        hits = self.hits[0]
+        for more in self.hits[1:]:
+            hits = hits.unionByName(more)
+        return hits.select("lead", "gram").distinct(), hits.where("again").select(*ORDER).distinct()
 
     def drop(self) -> None:
-        for name in self.tables:
+        for name, path in self.tables:
             self.spark.sql(f"drop table if exists {name}")
+            scratch.remove(self.spark, path)
         self.tables, self.levels = [], {}
 
 
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Inside, tables bucketed by one of a join's keys are joined without a shuffle."""
+    before = spark.conf.get(_CO_LOCATED, "true")
+    spark.conf.set(_CO_LOCATED, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CO_LOCATED, before)
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, together: int = TOGETHER) -> DataFrame:
     """(row, spans) for the rows (row, text) with repeats: the byte spans covered by a repeated string.
 
@@ -145,31 +181,31 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, tog
     index = SuffixIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = texts.mapInArrow(lambda parts: _suffixes(parts, length, gram), _ENTRY)
     entries = entries.withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")).repartition(index.buckets, "gram")
-    entries = index.table(entries, "suffixes", "batch")
-    for number in range(batches):
-        index.insert(entries.where(F.col("batch") == number))
-
-    grams, wholes = index.shared()
-    marked = keep(
-        entries.join(grams, ["lead", "gram"], "left_semi")
-        .join(wholes.withColumn("again", F.lit(True)), ORDER, "left")
-        .select("row", "at", "low", "high", *ORDER, F.coalesce("again", F.lit(False)).alias("again")),
-        "shared-suffixes",
-    )
+    with co_located(spark):
+        entries = index.table(entries, "suffixes", "batch")
+        for number in range(batches):
+            index.insert(entries.where(F.col("batch") == number))
+        grams, wholes = index.shared()
+        marked = keep(
+            entries.join(grams, ["lead", "gram"], "left_semi")
+            .join(wholes.withColumn("again", F.lit(True)), ORDER, "left")
+            .select("row", "low", "one", "high", *ORDER, F.coalesce("again", F.lit(False)).alias("again")),
+            "shared-suffixes",
+        )
     index.drop()
 
     sure = marked.where("again").select("row", F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
     distinct = marked.groupBy(*ORDER).agg(
-        F.min(F.struct("row", "at", "low", "high")).alias("first"), F.max("again").alias("again"))
+        F.min(F.struct("row", "low", "one")).alias("first"), F.max("again").alias("again"))
     several = distinct.groupBy("lead", "gram").agg(
         F.count("*").alias("members"), F.min("again").alias("all_again")).where("members > 1 and not all_again")
     several = several.select("lead", "gram", (F.col("members") > together).alias("large"))
-    cut = F.struct("first.at", "first.low", "first.high", "lead", "gram", "again", "large")
+    cut = F.struct("first.low", "first.one", "lead", "gram", "again", "large")
     cuts = distinct.join(several, ["lead", "gram"]).groupBy("first.row").agg(F.collect_list(cut).alias("cuts"))
     runs = keep(
         texts.join(cuts, "row").select("row", "text", "cuts").dropDuplicates(["row"]).mapInArrow(
             lambda parts: _cut(parts, length),
-            "row long, at int, low int, lead long, gram long, again boolean, large boolean, bytes binary"),
+            "row long, low int, lead long, gram long, again boolean, large boolean, bytes binary"),
         "runs",
     )
     small = runs.where("not large").repartition("gram").sortWithinPartitions("gram")
@@ -184,16 +220,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, tog
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs named in `cuts`."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-    names = ["row", "at", "low", "lead", "gram", "again", "large", "bytes"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    names = ["row", "low", "lead", "gram", "again", "large", "bytes"]
     for batch in batches:
         out: list[tuple] = []
         size = 0
         for row, text, cuts in zip(batch.column("row"), batch.column("text"), batch.column("cuts"), strict=True):
             data, row = text.as_buffer().to_pybytes(), row.as_py()
             for c in cuts.as_py():
-                piece = data[c["low"] : c["high"] + length]
-                out.append((row, c["at"], c["low"], c["lead"], c["gram"], c["again"], c["large"], piece))
+                piece = data[c["low"] : c["one"] + length]
+                out.append((row, c["low"], c["lead"], c["gram"], c["again"], c["large"], piece))
                 size += len(piece)
             if size > 1 << 23:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)

@@ -19,6 +19,8 @@ BUCKETS = 1 << 14
 #: Passes over the sample, rows of a step, step size, weight decay.
 PASSES, STEP_ROWS, RATE, DECAY = 12, 64, 0.5, 1e-5
 SEED = 23
+#: Value of the features that say how much of a text repeats.
+MARK = 0.5
 #: A text is kept if the chance of at least this grade is a half or more.
 KEEP_GRADE = 1
 
@@ -38,8 +40,9 @@ class Model:
 def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bounds, buckets, values) per block of texts: the features of text i stand at bounds[i]:bounds[i + 1].
 
-    Features are words (A-Z folded), words as spelled, and the first and last bytes of words; a text's values have
-    length one, so its size does not matter; an empty text has none.
+    Features are words (A-Z folded), their first and last bytes, and how they are written; a text's values of these have
+    length one, so its size does not matter. Three more say how often the text repeats its words and its five-word
+    shingles, by its size, with a fixed value each. An empty text has none.
     """
     for first, end, data, starts in text_blocks(texts):
         words = Words(data, starts)
@@ -55,7 +58,21 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         value = np.sqrt(count.astype(np.float64))
         owner, keys = cell // BUCKETS, cell % BUCKETS
         norm = np.sqrt(np.bincount(owner, value * value, end - first))
-        yield np.searchsorted(owner, np.arange(end - first + 1)), keys, value / norm[owner]
+        value /= norm[owner]
+        grams, bounds = words.shingles()
+        own = np.unique(words.document * BUCKETS + (mix(kinds[0]) % U64(BUCKETS)).astype(np.int64)) // BUCKETS
+        gram_own = np.unique((np.repeat(np.arange(end - first), np.diff(bounds)) << 16) | (grams >> U64(48)).astype(np.int64)) >> 16
+        total, gram_total = np.maximum(words.counts, 1), np.maximum(np.diff(bounds), 1)
+        size = np.log2(total).astype(np.int64)
+        some = np.flatnonzero(words.counts)
+        shares = (8 * np.bincount(own, minlength=end - first) // total, 8 * np.bincount(gram_own, minlength=end - first) // gram_total)
+        marks = [size * 16 + shares[0], 1000 + size * 16 + shares[1], 2000 + shares[1]]
+        owner = np.concatenate([owner, *(some for _ in marks)])
+        keys = np.concatenate([keys, *((mix(m[some].astype(np.uint64)) % U64(BUCKETS)).astype(np.int64) for m in marks)])
+        value = np.concatenate([value, np.full(len(marks) * len(some), MARK)])
+        order = np.argsort(owner, kind="stable")
+        owner, keys, value = owner[order], keys[order], value[order]
+        yield np.searchsorted(owner, np.arange(end - first + 1)), keys, value
 
 
 def _shape(data: np.ndarray, words: Words) -> np.ndarray:

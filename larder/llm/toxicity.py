@@ -18,10 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.components import keep
+from larder.llm.signatures import superminhash
+from larder.llm.textblocks import Words, text_blocks
+
 #: Labelled rows learned from at most, of each label; the first in the order of a hash of their ids.
 TRAIN_ROWS = 20_000
 #: Features kept at most, and how often one must be seen in the labelled rows to speak for itself.
 FEATURES, SEEN = 20_000, 4
+#: Signature values by which copies among the labelled rows are told.
+COPIES = 4
 #: Standard errors by which a feature's share of toxic rows is lowered.
 CAUTION = 2.5
 PREFIXES = (6, 5, 4)
@@ -137,8 +143,9 @@ class Scorer:
     def __init__(self, table: dict[str, float], model: np.ndarray, base: float):
         self.table, self.model, self.base, self.known = table, model, base, {}
 
-    def of_word(self, word: str) -> float:
-        for feature in features(word):
+    def of_word(self, word: str, most: int | None = None) -> float:
+        """What the most specific known feature says; `most` leaves out the more general ones."""
+        for feature in features(word)[:most]:
             if feature in self.table:
                 return self.table[feature]
         return 0.0
@@ -156,21 +163,24 @@ class Scorer:
         word = token.strip(_STRIP)
         value = self.of_word(word)
         if value >= 0.5 or len(token) > LONGEST:
-            return value
+            return value if value >= 0.5 else 0.0
         suspicious = not word.isalpha() and any(c.isalpha() for c in word) and len(word) >= 3
         repeated = _RUN.sub(r"\1", word)
         if not suspicious and repeated != word:
-            suspicious = bool(_LONG_RUN.search(word)) or self.of_word(repeated) >= 0.5
+            suspicious = bool(_LONG_RUN.search(word)) or self.of_word(repeated, 2) >= 0.5
         if not suspicious and word != token and word.isalpha():  # a sign at an end may be a letter
             suspicious = token[0] in LEET or token[-1] in LEET
         if suspicious:
             for form in dict.fromkeys((word, token.strip(".,;:?\"'"))):
                 for text, _ in restore(form, self.model):
-                    value = max(value, self.of_word(text))
-        return value
+                    value = max(value, self.of_word(text, 2))  # short prefixes fit too many restored words
+        return value if value >= 0.5 else 0.0
 
     def of_text(self, text: str | None) -> float:
-        """1 - product of (1 - p) over the distinct tokens, from the share of toxic rows without any known word."""
+        """1 - product of (1 - p) over the distinct tokens with p of a half or more; without one, a low constant.
+
+        Words below a half say less than the share of toxic rows does, and a long text has many of them.
+        """
         tokens = plain_words(text) if text else []
         found = set(tokens)
         single = [i for i, token in enumerate(tokens) if len(token) == 1]
@@ -202,11 +212,29 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["feature", "toxic", "other"])
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the values of a short signature of their shingles instead of their texts."""
+    for batch in batches:
+        for first, end, data, starts in text_blocks(batch.column("text")):
+            signature = superminhash(*Words(data, starts).shingles(), COPIES).view(np.int64)
+            columns = [batch.column(c).slice(first, end - first) for c in ("doc_id", "toxic")]
+            yield pa.RecordBatch.from_arrays(
+                [columns[0].cast(pa.int64()), columns[1], *(pa.array(np.ascontiguousarray(signature[:, i])) for i in range(COPIES))],
+                ["doc_id", "toxic", *(f"k{i}" for i in range(COPIES))])
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Learn the feature table from (doc_id, toxic), at most `train_rows` of each label, and the letter model from all texts."""
     ranked = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("doc_id").alias("h"))
     sample = [ranked.where("toxic").orderBy("h", "doc_id").limit(train_rows), ranked.where("not toxic").orderBy("h", "doc_id").limit(train_rows)]
     sample = sample[0].unionByName(sample[1]).drop("h").dropDuplicates(["doc_id"])
+    # Copies and near copies would make every word of one toxic text look toxic: of rows that agree in any of a few
+    # signature values, one stays.
+    keys = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
+        _signed, "doc_id long, toxic boolean, " + ", ".join(f"k{i} long" for i in range(COPIES)))
+    for i in range(COPIES):
+        keys = keys.groupBy("toxic", f"k{i}").agg(F.min(F.struct("doc_id", *(f"k{j}" for j in range(COPIES)))).alias("r")).select("toxic", "r.*")
+    sample = keep(keys.select("doc_id", "toxic"), "sample")
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counted = rows.mapInArrow(_seen, "feature string, toxic long, other long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"toxic + other >= {SEEN}")

@@ -18,6 +18,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """At most `size` rows, the first in the order of a hash of `keys`; the same rows whatever their order.
+
+    Only rows below a bound of the hash, about twice as many as wanted, are sorted and sent anywhere.
+    """
+    share = min(1.0, (2 * size + 1000) / max(1, rows.count()))
+    place = F.xxhash64(*keys)
+    return rows.where(place <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(place, *keys).limit(size)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (a, b: long); root is the smallest node it reaches.
 

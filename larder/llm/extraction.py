@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.boosting import Trees, boost
-from larder.llm.dom import FEATURES, Page
+from larder.llm.components import bounded_sample
+from larder.llm.dom import Page
 
 #: Pages whose sentences fill the training layouts at most (the first by a hash of their addresses, up to `SAMPLE_CHARS`
 #: characters each), and layouts made of them.
@@ -46,10 +47,9 @@ def main_blocks(page: Page, odds: np.ndarray) -> list[str]:
 
 def _sample(pages: DataFrame) -> tuple[list[str], list[str]]:
     """(sentences, short texts of links) of a bounded sample of pages."""
-    rows = pages.where("html is not null").select(
-        F.xxhash64("url", "page_id").alias("h"), "page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    rows = bounded_sample(pages, SAMPLE_PAGES, "url", "page_id").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"))
     sentences, short = set(), set()
-    for row in rows.orderBy("h", "page_id").limit(SAMPLE_PAGES).collect():
+    for row in rows.where("html is not null").collect():
         page = Page(row["html"])
         for text, linked in zip(page.text, page.linked, strict=True):
             if text and linked * 2 > len(text):

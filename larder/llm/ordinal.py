@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.components import bounded_sample
 from larder.llm.textblocks import U64, Words, mix, prefix_sums, hash_spans, text_blocks
 
 #: Rated rows learned from at most; the first in the order of a hash of their ids.
@@ -126,7 +127,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int) -> Model:
 def learn(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `train_rows` rows of `ratings` (doc_id, grade 0, 1, ...); features are made where the texts are."""
     sample = ratings.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(train_rows).dropDuplicates(["doc_id"])
+    sample = bounded_sample(sample, train_rows, "doc_id", "grade").dropDuplicates(["doc_id"])
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "grade")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

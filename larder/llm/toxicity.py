@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.components import keep
+from larder.llm.components import bounded_sample, keep
 from larder.llm.signatures import superminhash
 from larder.llm.textblocks import Words, text_blocks
 
@@ -225,9 +225,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Learn the feature table from (doc_id, toxic), at most `train_rows` of each label, and the letter model from all texts."""
-    ranked = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("doc_id").alias("h"))
-    sample = [ranked.where("toxic").orderBy("h", "doc_id").limit(train_rows), ranked.where("not toxic").orderBy("h", "doc_id").limit(train_rows)]
-    sample = sample[0].unionByName(sample[1]).drop("h").dropDuplicates(["doc_id"])
+    known = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    sample = [bounded_sample(known.where(side), train_rows, "doc_id") for side in ("toxic", "not toxic")]
+    sample = sample[0].unionByName(sample[1]).dropDuplicates(["doc_id"])
     # Copies and near copies would make every word of one toxic text look toxic: of rows that agree in any of a few
     # signature values, one stays.
     keys = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(

@@ -17,8 +17,11 @@ TEXTS = [None, "", " ", "Hello, WORLD's 12 don't", "<|endoftext|> a", "naïve ca
 def test_words_encode_as_whole_texts():
     own, plain = WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     rng = random.Random(2)
-    for text in [*TEXTS[1:], *(prose(rng, 200) + rng.choice(["!", "...", " 3.14", "\n"]) for _ in range(20))]:
-        assert own.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts = [*TEXTS[1:], *(prose(rng, 200) + rng.choice(["!", "...", " 3.14", "\n", "'s!'s", "''d9x"]) for _ in range(40))]
+    for _ in range(2):
+        got = list(own.encode_all(texts))
+        assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(own.encode_all([])) == []
 
 
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 3, 40), Limits(100, 5, 100)])

@@ -150,7 +150,7 @@ def _split(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
 def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: Limits, masked: bool) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     packer = Packer(limits, (task.partitionId() if task else 0) << 40)
-    tokenizer = WordTokenizer(path)
+    tokenizer = WordTokenizer.load(path)
     held: dict[int, list] = {}  # documents of which a piece still waits: id, ids, tokens left
     number = 0
     rows: list[tuple] = []
@@ -165,10 +165,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: Limits, masked:
 
     for batch in batches:
         ids = batch.column("doc_id")
-        texts = batch.column("text")
+        texts = [t or "" for t in batch.column("text").to_pylist()]
         skips = batch.column("masked") if masked else None
-        for i in range(batch.num_rows):
-            tokens = np.append(tokenizer.encode(texts[i].as_py() or ""), np.uint32(END)).astype("<u4")
+        for i, own in enumerate(tokenizer.encode_all(texts)):
+            tokens = np.append(own, np.uint32(END)).astype("<u4")
             held[number] = [ids[i].as_py(), tokens, len(tokens)]
             settle(packer.add(number, 0, len(tokens), min(len(tokens), max(0, skips[i].as_py() or 0)) if masked else 0))
             number += 1

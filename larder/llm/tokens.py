@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import regex
-from tokenizers import Tokenizer
 
-#: Words in the table before it is emptied.
-KNOWN = 400_000
-# Texts of these characters alone are unchanged by NFC, and both engines agree on their letters and lower case.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; must be set before the import
+
+from tokenizers import Tokenizer  # noqa: E402
+
+#: Words in the table before it is emptied, and characters of the texts that are looked up together.
+KNOWN = 1_000_000
+TOGETHER = 1 << 20
+# Texts of these characters alone are unchanged by NFC, and both engines agree on their letters, lower case and blanks.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u024f]*")
+_loaded: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
     """Encodes texts as `Tokenizer.encode(text, add_special_tokens=False)` does.
 
-    The tokenizer of the file splits a lower-cased text into words and encodes each alone, so ids of a text are
-    those of its words one after another. Words are matched here with the file's own pattern and looked up;
-    new ones go through the tokenizer together. A text with characters outside the plain range, or that spells
-    a special token, is given to the tokenizer as a whole, as is every text if the file has another scheme.
+    The tokenizer of the file parts lower-cased text at blanks and encodes what stands between them alone, so
+    a text's ids are those of its words, one after another. Words are looked up in a table; new ones go through the
+    tokenizer together. A text with characters outside the plain range, or that spells a special token, is given to
+    the tokenizer as a whole, as is every text if the file has another scheme. A Python worker keeps the
+    table for its next tasks (`load`).
     """
 
     def __init__(self, path: str):
-        import json
-
         with open(path, encoding="utf-8") as file:
             scheme = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,43 +45,68 @@ class WordTokenizer:
             self.pattern = regex.compile(split["pattern"]["Regex"])
         self._forget()
 
+    @classmethod
+    def load(cls, path: str) -> WordTokenizer:
+        if path not in _loaded:
+            _loaded[path] = cls(path)
+        return _loaded[path]
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        new = list({word for word in words if word not in self.number})
-        if len(self.number) + len(new) > KNOWN:
-            self._forget()
-            new = list(set(words))
-        if not new:
-            return
-        for word, encoding in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = encoding.ids
+    def _learn(self, new: list[str]) -> None:
+        for first in range(0, len(new), 1000):
+            part = new[first : first + 1000]
+            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, pieces = np.array(encoding.ids, np.uint32), np.array(encoding.word_ids, np.int64)
+            # How many pieces each word has, where its last piece ends among the ids.
+            upto = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in part])
+            ends = np.searchsorted(pieces, upto)
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            index = len(self.number)
-            if index + 2 > len(self.starts):
+            count = len(self.number)
+            while count + len(part) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[count + 1 : count + 1 + len(part)] = self.used + ends
             self.used += len(ids)
-            self.number[word] = index
-            self.starts[index + 1] = self.used
+            self.number.update(zip(part, range(count, count + len(part))))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        first = 0
+        while first < len(texts):
+            end, size = first, 0
+            while end < len(texts) and (end == first or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            yield from self._encode(texts[first:end])
+            first = end
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.pattern is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.pattern.findall(text.lower())
-        if not words:
-            return np.zeros(0, np.uint32)
-        try:
-            index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(words)
-            index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        begin, end = self.starts[index], self.starts[index + 1]
-        sizes = end - begin
-        upto = np.cumsum(sizes)
-        return self.ids[np.arange(upto[-1]) + np.repeat(begin - upto + sizes, sizes)]
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [self.pattern is not None and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        words = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        every = list(chain.from_iterable(words))
+        found = list(map(self.number.get, every))
+        if None in found:
+            new = {w for w, i in zip(every, found, strict=True) if i is None}
+            if len(self.number) + len(new) > KNOWN:
+                self._forget()
+                new = set(every)
+            self._learn(sorted(new))
+            found = list(map(self.number.__getitem__, every))
+        index = np.array(found, np.int64)
+        begin = self.starts[index]
+        sizes = self.starts[index + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)]
+        at = 0
+        for text, own, p in zip(texts, words, plain, strict=True):
+            if p:
+                yield ids[upto[at] : upto[at + len(own)]]
+                at += len(own)
+            else:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

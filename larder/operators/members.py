@@ -64,21 +64,22 @@ def _accept_in_order(requests: DataFrame) -> DataFrame:
     requests for the same name and address only the first can be accepted. The number of
     rounds is the longest chain of requests that wait for each other.
     """
-    accepted = requests.limit(0)
-    open_ = scale.settle(
-        requests.groupBy("username", "email").agg(F.min("request_id").alias("request_id"))
-        .select("request_id", "username", "email"), "open")
-    while not open_.isEmpty():
+    columns = ["request_id", "username", "email"]
+    accepted = requests.select(*columns).limit(0)
+    open_ = requests.groupBy("username", "email").agg(F.min("request_id").alias("request_id")).select(*columns)
+    while True:
         names = open_.groupBy("username").agg(F.min("request_id").alias("by_name"))
         mails = open_.groupBy("email").agg(F.min("request_id").alias("by_mail"))
-        judged = open_.join(names, "username").join(mails, "email")
-        first = scale.settle(
-            judged.filter("request_id = by_name and request_id = by_mail").select("request_id", "username", "email"), "first")
+        taken = F.expr("request_id = by_name and request_id = by_mail").alias("taken")
+        judged = scale.settle(open_.join(names, "username").join(mails, "email").select(*columns, taken), "judged")
+        if judged.isEmpty():
+            return accepted
+        first = judged.filter("taken").select(*columns)
         accepted = accepted.unionByName(first)
-        open_ = scale.settle(
-            open_.join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti")
-            .select("request_id", "username", "email"), "open")
-    return accepted
+        open_ = (
+            judged.filter("not taken").select(*columns)
+            .join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti").select(*columns)
+        )
 
 
 def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:

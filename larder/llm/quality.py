@@ -122,6 +122,18 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & passes(rules))
 
 
+def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with the columns of `docs`.
+
+    A filter on the counts alone would be pushed below their projection, where each of its terms counts the text anew.
+    The row number, which cannot be computed twice, keeps it above. Columns that start with an underscore are dropped.
+    """
+    names = [c for c in docs.columns if not c.startswith("_")]
+    counted = measured(docs.select(*names, F.col(text_col).alias("_source")), "_source").withColumnRenamed("m", "_m")
+    counted = counted.withColumn("_row", F.monotonically_increasing_id())
+    return counted.where((F.col("_row") >= 0) & ~base_failed("_m") & passes(rules, "_m")).select(*names)
+
+
 def sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
     """The query's result in SQL, from the same table of rules."""
     conditions = []

@@ -122,24 +122,27 @@ def qualify_by_limits(spark: SparkSession, recipes: DataFrame, encourage: bool =
     return fitting
 
 
-def _pieces(label: Column) -> Column:
-    """Every distinct substring of a short label, so that `contains` becomes an equi-join."""
+def _pieces(label: Column, lengths: Column) -> Column:
+    """All distinct substrings of a label that have one of the given lengths."""
     size = F.length(label)
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(1), size),
-        lambda start: F.transform(
-            F.sequence(F.lit(1), size - start + 1), lambda length: F.substring(label, start, length)
-        ),
-    ))
-    return F.array_distinct(F.when(size > 0, F.concat(F.array(F.lit("")), spans)).otherwise(F.array(F.lit(""))))
+
+    def of_length(n: Column) -> Column:
+        starts = F.when((n > 0) & (n <= size), F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(starts, lambda start: F.substring(label, start, n)))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def label_terms(labels: DataFrame, terms: DataFrame, label: str, term: str) -> DataFrame:
-    """Pairs of a distinct label and a requested word it contains, without a nested loop."""
-    pieces = labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn(
-        term, F.explode(_pieces(F.lower(label)))
-    )
-    return pieces.join(terms.select(term).distinct(), term)
+    """Pairs of a distinct label and a requested word it contains, without a nested loop.
+
+    A label is cut into pieces of the lengths that the words have, so its rows grow with its own length times
+    the number of different lengths.
+    """
+    wanted = terms.select(term).distinct()
+    lengths = wanted.filter(F.col(term).isNotNull()).agg(F.collect_set(F.length(term))).scalar()
+    pieces = labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("_lengths", lengths)
+    return pieces.withColumn(term, F.explode(_pieces(F.lower(label), F.col("_lengths")))).drop("_lengths").join(wanted, term)
 
 
 def request_rows(requests: DataFrame) -> DataFrame:

@@ -146,3 +146,12 @@ def test_suggestions(spark):
     notes = {r.username: r.notes for r in nutrition.suggestions(users, table, "2024-01-30").collect()}
     assert notes == {"a": ["over goal: smaller portions"], "b": ["fibre is low: oats, legumes, vegetables"],
                      "c": ["well under goal: eat enough"]}
+
+
+def test_long_labels_meet_words_of_wanted_lengths(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(2000))
+    labels = spark.createDataFrame([(text,), ("Thai/Indian",), ("",), (None,)], "label string")
+    words = ["", "an", "indian", "klingon", text[500:900], text[3:5] + "#", None]
+    got = recommend.label_terms(labels, spark.createDataFrame([(w,) for w in words], "word string"), "label", "word").collect()
+    want = {(t, w) for t in (text, "Thai/Indian", "") for w in words if w is not None and w in t.lower()}
+    assert {(r.label, r.word) for r in got} == want and len(got) == len(want)

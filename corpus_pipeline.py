@@ -11,6 +11,8 @@ from larder.sources import scratch
 
 #: No stage but the first can be said in SQL.
 ORACLE_SQL = None
+#: Percent of shingles in common from which two documents are near duplicates here; op2's query has its own.
+SIMILAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
     find_package(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = neardup.near_duplicates(docs, percent=SIMILAR).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 

@@ -2,7 +2,9 @@ import random
 
 import corpus_pipeline
 from larder.llm import queries
-from tests.llm.helpers import prose
+from tests.llm.helpers import prose, shingles
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def text(rng, n):
@@ -42,3 +44,27 @@ def test_every_query_has_a_name_of_its_operator():
     names = queries.all_queries()
     assert [n for n in names if n != "pipeline"] and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(queries.SQL) <= set(names)
+
+
+def run_stages(spark, docs, upto, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, None).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if name == upto:
+            return docs
+
+
+def test_pairs_of_similarity_from_80_percent_are_near_duplicates(spark, tmp_path):
+    rng = random.Random(11)
+    rows, left, likeness = [], {}, []
+    for i in range(40):
+        base = text(rng, 154)
+        words = base.split()
+        other = " ".join(words[:139]) + " " + text(rng, 15)
+        a, b = shingles(base), shingles(other)
+        likeness.append(len(a & b) / len(a | b))
+        rows += [(2 * i, base, "en", "s0", 1), (2 * i + 1, other, "en", "s0", 1)]
+        left[2 * i] = base
+    assert all(0.80 <= x < 0.85 for x in likeness)
+    docs = run_stages(spark, spark.createDataFrame(rows, SCHEMA), "repeated_strings", tmp_path)
+    assert {r.doc_id: r.text for r in docs.collect()} == left

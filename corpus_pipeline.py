@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import mixing, neardup, packing, quality, suffixes
+from larder.llm.components import keep
 from larder.llm.queries import find_package, tokenizer_path
 from larder.sources import scratch
 
@@ -21,10 +22,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
+    """One row, that with the smallest id, of each group of near duplicates; null ids come last.
+
+    Rows are told by id and text, not by id alone: equal rows are one group like other copies, and rows that only share an id,
+    or have none, are judged apart. Texts without a word are in no group and stay.
+    """
     find_package(spark)
-    gone = neardup.near_duplicates(docs, percent=SIMILAR).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    grouped = neardup.near_duplicates(docs, percent=SIMILAR, by_row=True).where("root is not null and n_shingles > 0")
+    rows = keep(grouped.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "group-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    marks = rows.join(first, "root").withColumn("stays", F.expr("doc_id <=> first.doc_id and text_key = first.text_key"))
+    marks = keep(marks.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "stays"), "marks")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    alone = docs.join(marks, on, "left_anti")
+    equal = docs.join(marks.where("stays"), on).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return alone.unionByName(equal.select("row.*"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ def _set_hash(shingles: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: doc_id, set (hash of its shingle set), size, band keys, parity sketch."""
+    """Per row: doc_id, set (hash of its shingle set), size, band keys, parity sketch, and text_key if it is there."""
     for batch in batches:
+        extra = [c for c in batch.schema.names if c == "text_key"]
         for first, end, data, starts in text_blocks(batch.column("text")):
             hashes, bounds = Words(data, starts).shingles(WIDTH)
             keys = band_keys(superminhash(hashes, bounds, BANDS * ROWS), BANDS)
@@ -50,8 +51,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("doc_id").slice(first, end - first), pa.array(names), pa.array(sizes),
                     pa.ListArray.from_arrays(np.arange(end - first + 1, dtype=np.int32) * BANDS, _long(keys.reshape(-1))),
                     pa.ListArray.from_arrays(np.arange(end - first + 1, dtype=np.int32) * SKETCH, _long(sketch.reshape(-1))),
+                    *(batch.column(c).slice(first, end - first) for c in extra),
                 ],
-                ["doc_id", "set", "size", "bands", "sketch"],
+                ["doc_id", "set", "size", "bands", "sketch", *extra],
             )
 
 
@@ -93,7 +95,7 @@ def _apart(percent: int) -> str:
     return f"{sizes} and {100 + percent} * ({bits}) <= {100 - percent} * (l.size + r.size)"
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, by_row: bool = False) -> DataFrame:
     """Group documents whose sets of five-word shingles have a similarity of `percent` / 100 or more.
 
     Returns one row per row of `docs`: doc_id, n_shingles, component_id (the smallest id of its group),
@@ -106,10 +108,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and texts of white space have no shingle and are linked with nothing. Rows that
     repeat an id are separate rows with that id. A null id takes part and is never the smallest of a
     group that has another. Extra columns are ignored.
+
+    With `by_row` two columns more: text_key (xxhash64 of the text), which tells rows of one id apart, and root, which
+    names the group (null without a shingle). Groups of different texts with one id share a component_id, but never a root.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "doc_id long, set long, size long, bands array<long>, sketch array<long>"
-    described = keep(docs.mapInArrow(_describe, kinds), "sets")
+    keyed = docs.withColumn("text_key", F.xxhash64("text")) if by_row else docs
+    described = keep(keyed.mapInArrow(_describe, kinds + ", text_key long" * by_row), "sets")
 
     sets = keep(
         described.where("size > 0").groupBy("set", "size").agg(
@@ -149,10 +155,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.join(roots, sets["set"] == roots["node"], "left").select(
         "set", "doc_id", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("set", "component_id")
-    out = described.select("doc_id", "set", F.col("size").alias("n_shingles")).join(named, "set", "left")
+    extra = ["text_key", "root"] if by_row else []
+    named = named.join(least, "root").select("set", "component_id", *extra[1:])
+    out = described.select("doc_id", "set", F.col("size").alias("n_shingles"), *extra[:1]).join(named, "set", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
 
 
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:

@@ -68,3 +68,23 @@ def test_pairs_of_similarity_from_80_percent_are_near_duplicates(spark, tmp_path
     assert all(0.80 <= x < 0.85 for x in likeness)
     docs = run_stages(spark, spark.createDataFrame(rows, SCHEMA), "repeated_strings", tmp_path)
     assert {r.doc_id: r.text for r in docs.collect()} == left
+
+
+def test_repeated_rows_shared_ids_and_null_ids(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c, d, e, f, g = (text(rng, 150) for _ in range(7))
+    near = " ".join([*a.split()[:-4], *text(rng, 4).split()])  # of a
+    rows = [(1, a), (1, a), (1, a), (1, near), (1, b), (2, c), (None, near), (None, d), (None, e), (None, e), (3, f), (3, c), (None, g), (4, g)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)
+    docs = run_stages(spark, docs, "repeated_strings", tmp_path)
+    got = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    first = {r for r in got if r[1] in (a, near)}
+    assert len(first) == 1 and first < {("1", a), ("1", near)}
+    assert sorted(set(got) - first) == sorted([("1", b), ("2", c), ("None", d), ("None", e), ("3", f), ("4", g)]) and len(got) == 7
+    mixed = corpus_pipeline.mix_sources(spark, docs, None)
+    assert sorted({(str(r.doc_id), r.text) for r in mixed.collect()}) == got
+    packed = corpus_pipeline.pack_sequences(spark, docs, None).collect()
+    ends = {}
+    for r in packed:
+        ends.setdefault(r.doc_id, set()).add(r.doc_tokens)
+    assert {i: len(n) for i, n in ends.items()} == {1: 2, 2: 1, None: 2, 3: 1, 4: 1}

@@ -31,7 +31,7 @@ COPIES = 4
 #: Standard errors by which a feature's share of toxic rows is lowered.
 CAUTION = 2.5
 PREFIXES = (6, 5, 4)
-#: Hypotheses kept at each place of a lattice, characters of the longest token restored, tokens remembered.
+#: Hypotheses kept at each place of a lattice, characters of a lattice of the longest token restored, tokens remembered.
 BEAM, LONGEST, KNOWN = 8, 32, 300_000
 
 # Letters that a sign may stand for.
@@ -128,6 +128,18 @@ _RUN = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1\1")
 
 
+def single(token: str) -> str | None:
+    """The one character that a token is but for punctuation around it, if it is one."""
+    if len(token) < 2:
+        return token
+    if token[0].isalnum() and token[-1].isalnum():
+        return None
+    for signs in (".,;:!?\"'()[]{}…", _STRIP + SEPARATORS):
+        if len(rest := token.strip(signs)) == 1:
+            return rest
+    return None
+
+
 def features(word: str) -> list[str]:
     """A word's features, the most specific first."""
     return [f"={word}"] + [word[:n] for n in PREFIXES if len(word) > n] if len(word) >= 3 else []
@@ -142,6 +154,8 @@ class Scorer:
 
     def __init__(self, table: dict[str, float], model: np.ndarray, base: float):
         self.table, self.model, self.base, self.known = table, model, base, {}
+        words = (f.removeprefix("=") for f in table if f[0] == "=" or len(f) > PREFIXES[-1])
+        self.stems = {word[:n] for word in words for n in range(len(word) + 1)}
 
     def of_word(self, word: str, most: int | None = None) -> float:
         """What the most specific known feature says; `most` leaves out the more general ones."""
@@ -154,16 +168,25 @@ class Scorer:
         """Probability for a token as it stands or as restored."""
         value = self.known.get(token)
         if value is None:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            value = self.known[token] = self._of_token(token)
+            value = self._of_token(token)
+            if len(token) <= 4 * LONGEST:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[token] = value
         return value
 
     def _of_token(self, token: str) -> float:
+        if " " in token:
+            return max(self.spelled(token), self._restored(token[:LONGEST]))
+        value = self.of_word(token.strip(_STRIP))
+        return value if value >= 0.5 or len(token) > LONGEST else self._restored(token)
+
+    def _restored(self, token: str) -> float:
+        """What the decoded token says."""
         word = token.strip(_STRIP)
         value = self.of_word(word)
-        if value >= 0.5 or len(token) > LONGEST:
-            return value if value >= 0.5 else 0.0
+        if value >= 0.5:
+            return value
         suspicious = not word.isalpha() and any(c.isalpha() for c in word) and len(word) >= 3
         repeated = _RUN.sub(r"\1", word)
         if not suspicious and repeated != word:
@@ -176,6 +199,43 @@ class Scorer:
                     value = max(value, self.of_word(text, 2))  # short prefixes fit too many restored words
         return value if value >= 0.5 else 0.0
 
+    def spelled(self, token: str) -> float:
+        """The highest value of a known word that stands anywhere in a token of any length, as disguised as `restore` allows.
+
+        It begins and ends at the token's ends or beside a sign, so in a run of single letters anywhere, and at least one of
+        its characters is a letter. What only a prefix says counts if no longer known word from there says less.
+        """
+        chars: list[list] = []  # character, may begin here, may end here
+        before = " "
+        for i, char in enumerate(token):
+            if char.isalpha() or char in LEET:
+                ends = i + 1 == len(token) or not token[i + 1].isalnum()
+                if len(chars) > 1 and chars[-1][0] == chars[-2][0] == char:
+                    chars[-1][2] |= ends
+                else:
+                    chars.append([char, not before.isalnum(), ends])
+            before = char
+        best, said = 0.0, {}
+        states: set[tuple[int, str, bool]] = set()
+        for k, (char, begins, ends) in enumerate(chars):
+            letter = char.isalpha()
+            options = char if letter else LEET[char]
+            new = {(at, text, known or letter) for at, text, known in states} if k and char == chars[k - 1][0] else set()
+            for at, text, known in [*states, *([(k, "", False)] if begins else [])]:
+                new |= {(at, text + x, known or letter) for x in options if text + x in self.stems}
+            states = new
+            follows = k + 1 < len(chars) and (not ends or (chars[k + 1][1] and chars[k + 1][2]))
+            for at, text, known in states:
+                if known and len(text) > 2:
+                    if ends:
+                        value = self.table.get("=" + text)
+                        if value is not None:
+                            best = max(best, value)
+                            said[at] = max(said.get(at, (0, 0.0)), (len(text), value))
+                    if follows and text in self.table:
+                        said[at] = max(said.get(at, (0, 0.0)), (len(text), self.table[text]))
+        return max([best, *(value for _, value in said.values())])
+
     def of_text(self, text: str | None) -> float:
         """1 - product of (1 - p) over the distinct tokens with p of a half or more; without one, a low constant.
 
@@ -183,13 +243,15 @@ class Scorer:
         """
         tokens = plain_words(text) if text else []
         found = set(tokens)
-        single = [i for i, token in enumerate(tokens) if len(token) == 1]
-        for k, i in enumerate(single):  # i d i o t
-            if (not k or single[k - 1] != i - 1) and k + 2 < len(single) and single[k + 2] == i + 2:
-                end = k
-                while end + 1 < len(single) and single[end + 1] == single[end] + 1 and end - k < LONGEST - 1:
-                    end += 1
-                found.add(" ".join(tokens[i : single[end] + 1])[: LONGEST])
+        run: list[str] = []
+        for token in [*tokens, ""]:  # i d i o t
+            char = single(token)
+            if char:
+                run.append(char)
+            else:
+                if len(run) > 2:
+                    found.add(" ".join(run))
+                run = []
         rest = 1.0 - self.base
         for value in map(self.of_token, found):
             if value:

@@ -70,3 +70,16 @@ def test_grades_in_order(spark):
     assert all(r.tail_1 >= r.tail_2 and abs(r.expected_grade - r.tail_1 - r.tail_2) < 1e-9 and r.kept == (r.tail_1 >= 0.5) for r in rows_)
     held = [(round(got[i].expected_grade), g) for i, _, g in data if not i % 2]
     assert sum(a == g for a, g in held) >= 0.9 * len(held)
+
+
+def scorer():
+    table = {"=moron": 0.9, "moron": 0.9, "=worthless": 0.9, "worthl": 0.9, "=vejute": 0.9, "=morons": 0.9}
+    return toxicity.Scorer(table, toxicity.np.full((toxicity.SYMBOLS,) * 3, -3.0, "f4"), 0.01)
+
+
+def test_spaced_words_among_other_single_letters():
+    spaced = ["you are a m o r o n today", "so m o r o n.", "well \"m o r o n\", he said", "I 4 - m o r o n", "y m 0 r o n s", "m. o. r. o. n.",
+              "a w o r t h l e s s m o r o n i s", "x y z " * 20 + "v e j u t e " + "b c d " * 20, "a v v e e j j u t t e n"]
+    assert [t for t in spaced if scorer().of_text(t) < 0.5] == []
+    clean = ["a m o r t", "1 2 3 4 5 0 7 0 9", "a b c d e", "m o", "m o r o", "J. R. R. Tolkien", "a " * 500 + "b"]
+    assert [t for t in clean if scorer().of_text(t) >= 0.5] == []

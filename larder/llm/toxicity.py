@@ -31,7 +31,7 @@ COPIES = 4
 #: Standard errors by which a feature's share of toxic rows is lowered.
 CAUTION = 2.5
 PREFIXES = (6, 5, 4)
-#: Hypotheses kept at each place of a lattice, characters of a lattice of the longest token restored, tokens remembered.
+#: Hypotheses kept at each place of a lattice, characters of a lattice (longer tokens are also parted and matched whole), tokens remembered.
 BEAM, LONGEST, KNOWN = 8, 32, 300_000
 
 # Letters that a sign may stand for.
@@ -126,6 +126,8 @@ def restore(token: str, model: np.ndarray, beam: int = BEAM) -> list[tuple[str,
 
 _RUN = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1\1")
+_STRETCHED = re.compile(r"(.)\1{2,}")
+_PARTS = re.compile(rf"[^{re.escape(SEPARATORS)}]+")
 
 
 def single(token: str) -> str | None:
@@ -176,13 +178,20 @@ class Scorer:
         return value
 
     def _of_token(self, token: str) -> float:
-        if " " in token:
-            return max(self.spelled(token), self._restored(token[:LONGEST]))
         value = self.of_word(token.strip(_STRIP))
-        return value if value >= 0.5 or len(token) > LONGEST else self._restored(token)
+        if value >= 0.5:
+            return value
+        short = token if len(token) <= LONGEST else _STRETCHED.sub(r"\1\1", token)
+        value = self._restored(short[:LONGEST], short != token)
+        if value >= 0.5:
+            return value
+        parts = set(_PARTS.findall(token)) - {token, token.strip(_STRIP)}
+        if parts or len(token) > LONGEST:
+            value = max([self.spelled(token), *(self.of_token(part) for part in parts if len(part) > 2)])
+        return value if value >= 0.5 else 0.0
 
-    def _restored(self, token: str) -> float:
-        """What the decoded token says."""
+    def _restored(self, token: str, stretched: bool) -> float:
+        """What the decoded token says; `stretched` if letters that repeat were left out of it already."""
         word = token.strip(_STRIP)
         value = self.of_word(word)
         if value >= 0.5:
@@ -190,7 +199,7 @@ class Scorer:
         suspicious = not word.isalpha() and any(c.isalpha() for c in word) and len(word) >= 3
         repeated = _RUN.sub(r"\1", word)
         if not suspicious and repeated != word:
-            suspicious = bool(_LONG_RUN.search(word)) or self.of_word(repeated, 2) >= 0.5
+            suspicious = stretched or bool(_LONG_RUN.search(word)) or self.of_word(repeated, 2) >= 0.5
         if not suspicious and word != token and word.isalpha():  # a sign at an end may be a letter
             suspicious = token[0] in LEET or token[-1] in LEET
         if suspicious:

@@ -83,3 +83,12 @@ def test_spaced_words_among_other_single_letters():
     assert [t for t in spaced if scorer().of_text(t) < 0.5] == []
     clean = ["a m o r t", "1 2 3 4 5 0 7 0 9", "a b c d e", "m o", "m o r o", "J. R. R. Tolkien", "a " * 500 + "b"]
     assert [t for t in clean if scorer().of_text(t) >= 0.5] == []
+
+
+def test_words_in_tokens_of_any_length():
+    joined = "one/of/the/longest/of/all/possible/"
+    tokens = ["m" + "o" * 60 + "ron", "m" * 20 + "o" * 20 + "r" * 20 + "on", "".join(c * 9 for c in "worthless"), joined + "m0r0n", joined + "moron/ones",
+              joined + "m.o.r.o.n/so", joined + "w-o-r-t-h.l.e.s.s", "you-are-a-m0r0n", joined + "mo-ron", "".join(c * 40 for c in "m0r0n")]
+    assert [t for t in tokens if scorer().of_text("well " + t + " there") < 0.5] == []
+    clean = ["https://www.example.com/a/long/path/of/many/parts-with-dashes", "x" * 5000, "com/o/r/o/nothing/of/that/kind/here/at/all", "ab" * 3000]
+    assert [t for t in clean if scorer().of_text(t) >= 0.5] == []

@@ -43,7 +43,7 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
     Features are words (A-Z folded), their first and last bytes, and how they are written; a text's values of these have
     length one, so its size does not matter. Three more say how often the text repeats its words and its five-word
-    shingles, by its size, with a fixed value each. An empty text has none.
+    shingles, counted on whole hashes, by its size, with a fixed value each. An empty text has none.
     """
     for first, end, data, starts in text_blocks(texts):
         words = Words(data, starts)
@@ -61,12 +61,11 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         norm = np.sqrt(np.bincount(owner, value * value, end - first))
         value /= norm[owner]
         grams, bounds = words.shingles()
-        own = np.unique(words.document * BUCKETS + (mix(kinds[0]) % U64(BUCKETS)).astype(np.int64)) // BUCKETS
-        gram_own = np.unique((np.repeat(np.arange(end - first), np.diff(bounds)) << 16) | (grams >> U64(48)).astype(np.int64)) >> 16
+        own, gram_own = _distinct(kinds[0], words.bounds), _distinct(grams, bounds)
         total, gram_total = np.maximum(words.counts, 1), np.maximum(np.diff(bounds), 1)
         size = np.log2(total).astype(np.int64)
         some = np.flatnonzero(words.counts)
-        shares = (8 * np.bincount(own, minlength=end - first) // total, 8 * np.bincount(gram_own, minlength=end - first) // gram_total)
+        shares = (8 * own // total, 8 * gram_own // gram_total)
         marks = [size * 16 + shares[0], 1000 + size * 16 + shares[1], 2000 + shares[1]]
         owner = np.concatenate([owner, *(some for _ in marks)])
         keys = np.concatenate([keys, *((mix(m[some].astype(np.uint64)) % U64(BUCKETS)).astype(np.int64) for m in marks)])
@@ -76,6 +75,11 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield np.searchsorted(owner, np.arange(end - first + 1)), keys, value
 
 
+def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many different hashes each text has."""
+    return np.array([len(np.unique(hashes[low:high])) for low, high in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
+
+
 def _shape(data: np.ndarray, words: Words) -> np.ndarray:
     """Hash of how a word is written: lengths of its lower, upper, digit and other bytes, each up to 7."""
     kind = np.full(256, 3)

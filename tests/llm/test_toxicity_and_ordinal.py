@@ -92,3 +92,14 @@ def test_words_in_tokens_of_any_length():
     assert [t for t in tokens if scorer().of_text("well " + t + " there") < 0.5] == []
     clean = ["https://www.example.com/a/long/path/of/many/parts-with-dashes", "x" * 5000, "com/o/r/o/nothing/of/that/kind/here/at/all", "ab" * 3000]
     assert [t for t in clean if scorer().of_text(t) >= 0.5] == []
+
+
+def test_repetition_is_counted_on_whole_hashes():
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(100_000)]
+    (_, keys, values), = ordinal.hashed(pa.array([" ".join(words)]))
+    size = 16  # log2 of its words
+    wanted = [size * 16 + 8, 1000 + size * 16 + 8, 2000 + 8]
+    marks = [int(ordinal.mix(ordinal.np.array([m], "u8"))[0] % ordinal.U64(ordinal.BUCKETS)) for m in wanted]
+    assert keys[-3:].tolist() == marks and (values[-3:] == ordinal.MARK).all()

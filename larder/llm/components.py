@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +12,30 @@ from pyspark.sql import functions as F
 from larder.sources import scratch
 
 
+#: Spark then drops a statement's shuffle files when it ends; nothing reads them once its result is written.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: its lineage ends there, so lost executors cost no recomputation."""
-    path = scratch.new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch.new_dir(spark, name)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete tables made by `keep` that nothing reads any more."""
+    for df in kept:
+        scratch.remove(df.sparkSession, _paths.pop(df))
 
 
 def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, mixing, neardup, ordinal, packing, quality, revisits, sketches, suffixes, toxicity
+from larder.llm import clustering, extraction, mixing, neardup, ordinal, packing, quality, revisits, sketches, suffixes, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,16 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.graded(_table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")))
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters."""
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors projected on their 16 leading components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_dom_trees": op1_dom_trees,
     "op2_superminhash": op2_superminhash,
@@ -98,12 +108,15 @@ QUERIES: dict[str, Query] = {
     "op8_revisits": op8_revisits,
     "op9_bottom_k": op9_bottom_k,
     "op10_ordinal": op10_ordinal,
+    "op11_shallot": op11_shallot,
+    "op13_block_whitening": op13_block_whitening,
 }
 
 SQL: dict[str, str] = {
     "op3_quality_rules": quality.sql(),
     "op6_water_filling": mixing.sql(),
     "op8_revisits": revisits.SQL,
+    "op11_shallot": clustering.sql(),
 }
 
 

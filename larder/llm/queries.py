@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import clustering, extraction, mixing, neardup, ordinal, packing, quality, revisits, sketches, suffixes, toxicity, whitening
+from larder.llm import clustering, extraction, mixing, neardup, ordinal, packing, pitmanyor, quality, revisits, sketches, suffixes, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,11 @@ def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of all documents under a hierarchical Pitman-Yor model of nine tenths of them."""
+    return pitmanyor.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors projected on their 16 leading components."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op9_bottom_k": op9_bottom_k,
     "op10_ordinal": op10_ordinal,
     "op11_shallot": op11_shallot,
+    "op12_pitman_yor": op12_pitman_yor,
     "op13_block_whitening": op13_block_whitening,
 }
 

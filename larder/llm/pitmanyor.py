@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import forget, keep
-from larder.llm.seating import reseat
+from larder.llm.seating import FEW, reseat
 from larder.llm.textblocks import U64, Words, mix, text_blocks
 
 #: Tokens of a block, and of the corpus per word bucket and per gram bucket, about.
@@ -111,7 +111,7 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
 
     def block() -> pa.RecordBatch:
         ids, held, lengths, tokens = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        words, places = np.unique(tokens, return_inverse=True)
+        words, places = _distinct(tokens)
         none = np.array([i is None for i in ids])
         ids = np.array([0 if i is None else i for i in ids], np.int64)
         arrays = [pack(x) for x in (ids, none, held, lengths, words.view(np.int64), places)]
@@ -136,6 +136,23 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         yield block()
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, where each of `values` stands among them)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(ordered), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _ranks(order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(order)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def _by_token(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(values, lengths)
 
@@ -155,7 +172,7 @@ def _tell_words(parcel: Parcel, bits: int) -> list[Parcel]:
 def _number(to: int, kinds: dict[str, list[Parcel]], buckets: int) -> list[Parcel]:
     """A bucket's words get numbers; the blocks hear those of their words, and the counts."""
     told = [(p[2], unpack(p[4][0]).view(np.uint64), unpack(p[4][1])) for p in kinds["words"]]
-    words, place = np.unique(np.concatenate([w for _, w, _ in told]), return_inverse=True)
+    words, place = _distinct(np.concatenate([w for _, w, _ in told]))
     counts = np.bincount(place, weights=np.concatenate([n for *_, n in told]), minlength=len(words)).astype(np.int64)
     out: list[Parcel] = [(to, "counts", int(counts.sum()), int((counts > 0).sum()), [pack(counts)])]
     upto = 0
@@ -189,19 +206,23 @@ def _pairs(parcel: Parcel, buckets: int, hot: float) -> tuple[np.ndarray, ...]:
     before = np.empty_like(places)
     before[1:] = places[:-1]
     before[ends - lengths + 1] = places[ends[0]]  # the end of a text comes before every text
-    codes, place, seen = np.unique(before * len(numbers) + places, return_inverse=True, return_counts=True)
-    learned = np.bincount(place, weights=_by_token(held == 0, lengths), minlength=len(seen)).astype(np.int64)
-    left, right = codes // len(numbers), codes % len(numbers)
-    contexts, words = numbers[left], numbers[right]
     with np.errstate(over="ignore"):
-        name = mix(contexts.astype(np.uint64) + U64(1))
-        name = np.where(counts[left] >= hot, mix(name + words.astype(np.uint64)), name)
-    bucket = (name % U64(buckets)).astype(np.int64)
-    order = np.lexsort([words, contexts, bucket])
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return bounds, contexts[order], words[order], learned[order], back[place]
+        name = mix(numbers.astype(np.uint64) + U64(1))
+    home = (name % U64(buckets)).astype(np.int64)
+    by_home = np.lexsort([numbers, home])
+    by_number = np.argsort(numbers)
+    # In the order of a context's bucket, the context and the word.
+    codes, place = _distinct(_ranks(by_home)[before] * len(numbers) + _ranks(by_number)[places])
+    learned = np.bincount(place, weights=_by_token(held == 0, lengths), minlength=len(codes)).astype(np.int64)
+    left, right = by_home[codes // len(numbers)], by_number[codes % len(numbers)]
+    contexts, words, bucket = numbers[left], numbers[right], home[left]
+    spread = counts[left] >= hot
+    if spread.any():
+        with np.errstate(over="ignore"):
+            bucket = np.where(spread, (mix(name[left] + words.astype(np.uint64)) % U64(buckets)).astype(np.int64), bucket)
+        order = np.lexsort([words, contexts, bucket])
+        contexts, words, bucket, learned, place = contexts[order], words[order], bucket[order], learned[order], _ranks(order)[place]
+    return np.searchsorted(bucket, np.arange(buckets + 1)), contexts, words, learned, place
 
 
 def _tell_pairs(parcel: Parcel, buckets: int, hot: float) -> list[Parcel]:
@@ -220,18 +241,16 @@ class _Pairs:
         counts = np.concatenate([unpack(p[4][2]) for p in parcels])
         self.contexts, left = _keys(contexts, buckets)
         self.words, right = _keys(words, buckets)
-        codes, self.place = np.unique(left * len(self.words) + right, return_inverse=True)
+        codes, self.place = _distinct(left * len(self.words) + right)
         self.left, self.right = codes // len(self.words), codes % len(self.words)
         self.counts = np.bincount(self.place, weights=counts, minlength=len(codes)).astype(np.int64)
 
 
 def _keys(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct word numbers by word bucket and place in it, where each of `numbers` stands there)."""
-    found, place = np.unique(numbers, return_inverse=True)
-    order = np.lexsort([found, found % buckets])
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return found[order], back[place]
+    found, place = _distinct(numbers)
+    order = np.argsort(found % buckets, kind="stable")
+    return found[order], _ranks(order)[place]
 
 
 def _to_words(keys: np.ndarray, buckets: int, kind: str, sender: int, *values: np.ndarray) -> list[Parcel]:
@@ -257,7 +276,7 @@ def _count(to: int, kinds: dict[str, list[Parcel]], buckets: int) -> list[Parcel
     contexts, left = _keys(pairs.contexts[pairs.left[often]], buckets)
     c = pairs.counts[often]
     one = np.ones(len(c), np.int64)
-    out.append((to, "state", int(once.sum()), int((c == 2).sum()), [pack(x) for x in (words, contexts, right, left, c, one, c, np.zeros(len(c), np.int64))]))
+    out.append((to, "state", int(once.sum()), int((c == 2).sum()), [pack(x) for x in (words, contexts, right, left, c, one, c[c > FEW], one - 1)]))
     return out
 
 
@@ -302,11 +321,11 @@ def _seat_root(to: int, kinds: dict[str, list[Parcel]], buckets: int, chance: fl
     restaurant = single_contexts + _sums(kinds.get("context tables", []), len(counts))
     wanted = single_words + _sums(kinds.get("word tables", []), len(counts))
     if all_tables is None:
-        customers, t, tables = wanted, np.minimum(wanted, 1), wanted[wanted > 0]
+        t, tables = np.minimum(wanted, 1), wanted[wanted > FEW]
     else:
         names = mix((np.arange(len(counts)) * buckets + to).astype(np.uint64))
-        tables, t = reseat(names, tables, t, wanted, np.full(len(counts), all_tables), np.full(len(counts), chance), STRENGTH, discount, salt)
-        customers = wanted
+        tables, t = reseat(names, tables, customers, t, wanted, np.full(len(counts), all_tables), np.full(len(counts), chance), STRENGTH, discount, salt)
+    customers = wanted
     out = [counts, single_words, single_contexts, restaurant, customers, t, tables, *arrays[7:]]
     if sample:
         out += [(customers - discount * t), restaurant]
@@ -332,7 +351,7 @@ def _seat_pairs(to: int, kinds: dict[str, list[Parcel]], discount: float, sample
         chances, totals = _joined(kinds["chances"]), _joined(kinds["tables"])
         with np.errstate(over="ignore"):
             names = mix(mix(contexts.astype(np.uint64) + U64(7))[left] + words.astype(np.uint64)[right])
-        tables, t = reseat(names, tables, t, c, totals[left], chances[right], STRENGTH, discount, salt)
+        tables, t = reseat(names, tables, c, t, c, totals[left], chances[right], STRENGTH, discount, salt)
     return [(to, "state", 0, 0, [pack(x) for x in (words, contexts, right, left, c, t, tables, summed + t * sample)])]
 
 

@@ -8,7 +8,7 @@ a row of its own, so a context that holds a third of the corpus is spread like a
 predictive probabilities of several are averaged.
 
 The work goes through parcels: rows with packed arrays that are sent to a bucket or a block.
-  block    about two million tokens of whole texts, written once
+  block    about a million tokens of whole texts, written once
   word bucket    a range of word hashes; a word's number is its place in the bucket and the bucket's number
   gram bucket    pairs (context, word) with the same hash of the context, or of the pair where the context is hot
 Blocks tell word buckets their words and get numbers and counts back; with these they tell gram buckets their pairs. In each
@@ -32,7 +32,7 @@ from larder.llm.seating import FEW, reseat
 from larder.llm.textblocks import U64, Words, mix, text_blocks
 
 #: Tokens of a block, and of the corpus per word bucket and per gram bucket, about.
-BLOCK, WORDS, GRAMS = 1 << 21, 1 << 22, 1 << 20
+BLOCK, WORDS, GRAMS = 1 << 20, 1 << 22, 1 << 20
 #: A context with this share of all tokens is dealt out pair by pair.
 HOT = 1 << 14
 #: Sweeps before the first one whose probabilities count, and how many of those are averaged.
@@ -55,9 +55,9 @@ def pack(values: np.ndarray) -> bytes:
     """Whole numbers by byte planes, as many as the largest needs (all eight if one is negative), other numbers as they are."""
     if values.dtype.kind == "f":
         return values.dtype.char.encode() + b"\0" + values.tobytes()
-    values = np.ascontiguousarray(values).astype(np.int64)
+    values = np.ascontiguousarray(values).astype(np.int64, copy=False)
     planes = 1 if not len(values) else 8 if values.min() < 0 else max(1, -(-int(values.max()).bit_length() // 8))
-    return b"i" + bytes([planes]) + values.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    return b"i" + bytes([planes]) + b"".join((values >> (8 * i)).astype(np.uint8).tobytes() for i in range(planes))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -65,9 +65,10 @@ def unpack(data: bytes) -> np.ndarray:
     if kind != b"i":
         return np.frombuffer(data, kind.decode(), offset=2)
     found = np.frombuffer(data, np.uint8, offset=2).reshape(planes, -1)
-    out = np.zeros((found.shape[1], 8), np.uint8)
-    out[:, :planes] = found.T
-    return out.view(np.int64).ravel()
+    out = found[0].astype(np.int64)
+    for i in range(1, planes):
+        out |= found[i].astype(np.int64) << (8 * i)
+    return out
 
 
 def _batch(parcels: list[Parcel]) -> pa.RecordBatch:
@@ -137,9 +138,22 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct values, where each of `values` stands among them)."""
-    order = np.argsort(values)
+    """(sorted distinct values, where each of `values`, none negative, stands among them).
+
+    Value and place are sorted as one number, which is much quicker than sorting places by values. The lowest bits of values
+    that leave no room for the place are cut off; should values differ in these alone, places are sorted after all.
+    """
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    room = U64(len(values).bit_length())
+    cut = U64(max(0, int(values.max()).bit_length() + int(room) - 64))
+    both = (values.astype(np.uint64) >> cut) << room | np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    order = (both & ((U64(1) << room) - U64(1))).astype(np.int64)
     ordered = values[order]
+    if cut and (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(values)
+        ordered = values[order]
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     place = np.empty(len(ordered), np.int64)

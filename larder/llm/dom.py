@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -18,10 +19,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Element names of HTML by how a parser treats them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom "
+    "mfenced menclose msub msup msubsup munder mover munderover semantics annotation".split())
 VOID = frozenset("area base col embed frame hr img input link meta param source track wbr br".split())
 #: What these hold is no text of the page.
-SKIPPED = frozenset("script style template noscript iframe object svg math title select textarea button noframes".split())
+SKIPPED = frozenset("script style template noscript iframe svg title select textarea button noframes".split())
+#: Of these, the ones in which other tags are read: without an end of their own they end with the element they stand in.
+PARSED = frozenset("template svg select button".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main menu nav ol p pre section table ul".split())
@@ -83,7 +87,29 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]
         pieces: list[str] = []
         links: list[str] = []
-        in_link, at, end = False, 0, len(source)
+        in_link, at = False, 0
+        tags_end = source.rfind(">") + 1  # there is no tag beyond it
+        comment = source.find("<!--", tags_end)
+        end = comment if comment >= 0 else len(source)
+        opened: Counter[str] = Counter()
+        unclosed: set[str] = set()
+
+        def close(depth: int) -> None:
+            opened.subtract(name for name, _ in stack[depth:])
+            del stack[depth:]
+
+        def skip(name: str, at: int) -> int:
+            """Where the content of a skipped element ends."""
+            if name not in unclosed:
+                found = re.compile(rf"</{name}\s*[^>]*>", re.I).search(source, at, tags_end)
+                if found:
+                    return found.end()
+                unclosed.add(name)  # nor is there one further on
+            around = {name for name, _ in stack[1:]}
+            if name not in PARSED or not around:
+                return end
+            found = re.compile(rf"</(?:{'|'.join(map(re.escape, sorted(around)))})[\s>]", re.I).search(source, at, tags_end)
+            return found.start() if found else end
 
         def flush() -> None:
             if pieces:
@@ -95,7 +121,7 @@ class Page:
                 links.clear()
 
         while at < end:
-            found = _TOKEN.search(source, at)
+            found = _TOKEN.search(source, at, tags_end) if at < tags_end else None
             stop = found.start() if found else end
             if stop > at:
                 piece = source[at:stop]
@@ -105,13 +131,14 @@ class Page:
             if not found:
                 break
             at = found.end()
+            if found.group().startswith("<!--") and not found.group().endswith("-->"):
+                break  # a comment that never ends
             closing, opening = found.group(1), found.group(2) or found.group(4)
             if opening:
                 name = opening.lower()
                 attributes = found.group(3) if found.group(2) else found.group(5)
                 if name in SKIPPED:
-                    close = re.compile(rf"</{name}\s*[^>]*>", re.I).search(source, at) if not attributes.rstrip().endswith("/") else None
-                    at = close.end() if close else (at if attributes.rstrip().endswith("/") else end)
+                    at = at if attributes.rstrip().endswith("/") else skip(name, at)
                     pieces.append(" ")
                 elif name in INLINE:
                     if name == "a":
@@ -127,14 +154,14 @@ class Page:
                     flush()
                     in_link = False
                     if name in _CLOSES_P and stack[-1][0] == "p":
-                        stack.pop()
-                    elif name in _CLOSES:
+                        close(len(stack) - 1)
+                    elif name in _CLOSES and any(opened[n] for n in _CLOSES[name][0].split()):
                         names, limits = _CLOSES[name]
                         for depth in range(len(stack) - 1, 0, -1):
                             if stack[depth][0] in limits:
                                 break
                             if stack[depth][0] in names.split():
-                                del stack[depth:]
+                                close(depth)
                                 break
                     groups = _groups(attributes) if attributes.strip() else 0
                     if name in ("html", "body") and len(stack) > 1:
@@ -142,16 +169,17 @@ class Page:
                     if name != "html":
                         node = self._node(stack[-1][1], _TAG.get(name, _TAG["div"]), groups)
                         stack.append((name, node))
+                        opened[name] += 1
             elif closing:
                 name = closing.lower()
                 if name == "a":
                     in_link = False
-                elif name not in INLINE and name not in ("html", "body"):
+                elif opened[name] and name not in INLINE and name not in ("html", "body"):
                     for depth in range(len(stack) - 1, 0, -1):
                         if stack[depth][0] == name:
                             flush()
                             in_link = False
-                            del stack[depth:]
+                            close(depth)
                             break
         flush()
 

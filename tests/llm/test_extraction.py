@@ -55,3 +55,29 @@ def test_whole_pages(spark):
     want = "\n\n".join(["A title", *SENTENCES[:6]])
     assert [(r.page_id, r.text, r.n_chars, r.other) for r in got] == [(None, "", 0, None), (1, want, len(want), 7), (1, want, len(want), 7), (3, "", 0, 1)]
     assert extraction.extract(pages.limit(0)).count() == 0
+
+
+def texts(source):
+    return [t for t in Page(source).text if t]
+
+
+def test_unclosed_elements_end_with_what_they_stand_in():
+    for name in ("button", "select", "svg", "template"):
+        assert texts(f"<article><p>A one.</p><div><{name}>Go</div><p>B two.</p></article>") == ["A one.", "B two."]
+        assert texts(f"<article><p>A one.</p><div><{name}>Go</{name}> on</div><p>B two.</p></article>") == ["A one.", "on", "B two."]
+    for name in ("script", "style", "textarea", "title", "iframe", "noscript"):
+        assert texts(f"<article><p>A one.</p><div><{name}>Go</div><p>B two.</p></article>") == ["A one."]
+    assert texts("<p>E <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is.</p><div><object data=u>fallback</div><p>B</p>") == ["E x=2 is.", "fallback", "B"]
+    assert texts("a<!-- never > closed") == ["a"] and texts("<p>a</p>b<!-- never closed") == ["a", "b"] and texts("a <b") == ["a <b"]
+
+
+def test_malformed_pages_are_read_in_one_pass():
+    import time
+
+    begun = time.perf_counter()
+    n = 200_000
+    assert len(texts("<a " * (2 * n))) == 1
+    assert len(Page("<div>" * n + "</p>" * n).parent) == n + 1
+    assert len(Page("<div>" * n + "<td>x" * 1000).parent) == n + 2001
+    assert texts("<button>" * n + "x") == [] and texts("<div>a" + "<button>" * n + "</div>b") == ["a", "b"]
+    assert time.perf_counter() - begun < 20

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,27 +16,54 @@ from larder.sources import scratch
 #: Spark then drops a statement's shuffle files when it ends; nothing reads them once its result is written.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[dict[str, tuple[str, SparkSession]]] = []
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: its lineage ends there, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch.new_dir(spark, name)
+    with tidy(spark):
+        df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    for scope in _scopes:
+        scope[path] = (name, spark)
+    return kept
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of every statement are dropped when it ends; for statements that write a table."""
     before = spark.conf.get(_TIDY, "false")
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_TIDY, before)
-    kept = spark.read.schema(df.schema).parquet(path)
-    _paths[kept] = path
-    return kept
 
 
 def forget(*kept: DataFrame) -> None:
     """Delete tables made by `keep` that nothing reads any more."""
     for df in kept:
-        scratch.remove(df.sparkSession, _paths.pop(df))
+        path = _paths.pop(df)
+        for scope in _scopes:
+            scope.pop(path, None)
+        scratch.remove(df.sparkSession, path)
+
+
+@contextmanager
+def only(*names: str) -> Iterator[None]:
+    """Tables that `keep` makes inside are deleted at the end, but for those of the given names."""
+    made: dict[str, tuple[str, SparkSession]] = {}
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not made]
+        for path, (name, spark) in made.items():
+            if name not in names:
+                scratch.remove(spark, path)
 
 
 def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
@@ -61,7 +89,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = keep(edges.mapInPandas(_local_forest, "a long, b long").distinct(), "links")
     mark = _mark(edges)
     while True:
+        before = edges
         edges = keep(_small_star(_large_star(edges)), "stars")
+        forget(before)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

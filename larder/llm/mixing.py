@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.components import keep
+from larder.llm.components import keep, only
 
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
@@ -84,8 +84,9 @@ def shares(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     along = Window.partitionBy("source").orderBy("_part")
     parts = sums.join(targets, sums["source"].eqNullSafe(targets["source"])).select(sums["source"], "_part", "_sum", "_more")
     parts = parts.withColumn("_before", F.sum("_sum").over(along) - F.col("_sum"))
-    cut = parts.where("_before <= _more and _before + _sum > _more").groupBy("source").agg(
-        F.min("_part").alias("_part"), F.min_by("_before", "_part").alias("_before"), F.min_by("_more", "_part").alias("_more"))
+    # One row a source; written, so that Spark knows its size and sends it to the documents where it is small.
+    cut = keep(parts.where("_before <= _more and _before + _sum > _more").groupBy("source").agg(
+        F.min("_part").alias("_part"), F.min_by("_before", "_part").alias("_before"), F.min_by("_more", "_part").alias("_more")), "cuts")
     inside = sized.withColumn("_part", part).alias("s").join(
         cut.alias("c"), F.expr("s.source <=> c.source and s._part = c._part")).select("s.source", "_place", "size", "_before", "_more", "c._part")
     inside = inside.groupBy("source", "_part", "_before", "_more", "_place").agg(F.sum("size").alias("size"))
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty result. Extra columns are ignored.
     """
     sized = keep(_rows(docs, id_col, text_col, source_col, seed), "sizes")
-    full = shares(sized, weights, max_epochs)
+    full = keep(shares(sized, weights, max_epochs), "shares")
     out = sized.join(full, sized["source"].eqNullSafe(full["_s"]))
     times = _times(max_epochs)
     return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
@@ -129,7 +130,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of `docs`, each as often as `mix` takes it. Columns of `docs` that start with an underscore are dropped."""
     names = [c for c in docs.columns if not c.startswith("_")]
-    full = shares(keep(_rows(docs, id_col, text_col, source_col, seed), "sizes"), weights, max_epochs)
+    with only("shares"):
+        full = keep(shares(keep(_rows(docs, id_col, text_col, source_col, seed), "sizes"), weights, max_epochs), "shares")
     rows = docs.select(*names, seeded(id_col, seed).alias("_place"))
     rows = rows.join(full, rows[source_col].cast("string").eqNullSafe(full["_s"])).withColumn("_times", _times(max_epochs))
     return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[rows[c] for c in names])

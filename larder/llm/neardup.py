@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.components import components, keep
+from larder.llm.components import components, keep, only
 from larder.llm.signatures import band_keys, superminhash
 from larder.llm.textblocks import U64, Words, mix, text_blocks
 
@@ -33,9 +33,8 @@ def _set_hash(shingles: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: doc_id, set (hash of its shingle set), size, band keys, parity sketch, and text_key if it is there."""
+    """Per row: doc_id, text_key, set (hash of its shingle set), size, band keys, parity sketch."""
     for batch in batches:
-        extra = [c for c in batch.schema.names if c == "text_key"]
         for first, end, data, starts in text_blocks(batch.column("text")):
             hashes, bounds = Words(data, starts).shingles(WIDTH)
             keys = band_keys(superminhash(hashes, bounds, BANDS * ROWS), BANDS)
@@ -48,12 +47,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch[row] = np.packbits(bits.astype(np.uint8)).view(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(first, end - first), pa.array(names), pa.array(sizes),
+                    batch.column("doc_id").slice(first, end - first), batch.column("text_key").slice(first, end - first),
+                    pa.array(names), pa.array(sizes),
                     pa.ListArray.from_arrays(np.arange(end - first + 1, dtype=np.int32) * BANDS, _long(keys.reshape(-1))),
                     pa.ListArray.from_arrays(np.arange(end - first + 1, dtype=np.int32) * SKETCH, _long(sketch.reshape(-1))),
-                    *(batch.column(c).slice(first, end - first) for c in extra),
                 ],
-                ["doc_id", "set", "size", "bands", "sketch", *extra],
+                ["doc_id", "text_key", "set", "size", "bands", "sketch"],
             )
 
 
@@ -113,22 +112,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names the group (null without a shingle). Groups of different texts with one id share a component_id, but never a root.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = "doc_id long, set long, size long, bands array<long>, sketch array<long>"
-    keyed = docs.withColumn("text_key", F.xxhash64("text")) if by_row else docs
-    described = keep(keyed.mapInArrow(_describe, kinds + ", text_key long" * by_row), "sets")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    with only("sets", "named-sets"):
+        kinds = "doc_id long, text_key long, set long, size long, bands array<long>, sketch array<long>"
+        described = keep(docs.mapInArrow(_describe, kinds), "sets")
+        named = keep(_named_sets(docs, described, percent), "named-sets")
+    extra = ["text_key", "root"] if by_row else []
+    out = described.select("doc_id", "set", F.col("size").alias("n_shingles"), *extra[:1])
+    out = out.join(named.select("set", "component_id", *extra[1:]), "set", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
+
 
+def _named_sets(docs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """(set, component_id, root) for every distinct set that is not empty."""
     sets = keep(
         described.where("size > 0").groupBy("set", "size").agg(
-            F.min("doc_id").alias("doc_id"), F.min_by("bands", "set").alias("bands"), F.min_by("sketch", "set").alias("sketch")
+            F.min(F.struct("doc_id", "text_key")).alias("of"), F.min("doc_id").alias("doc_id"),
+            F.min_by("bands", "set").alias("bands"), F.min_by("sketch", "set").alias("sketch")
         ),
         "distinct-sets",
     )
-    buckets = sets.select(F.explode("bands").alias("bucket"), "set", "doc_id")
+    buckets = sets.select(F.explode("bands").alias("bucket"), "set")
     leaders = buckets.groupBy("bucket").agg(F.min("set").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = keep(buckets.join(leaders, "bucket").select("bucket", "set", "doc_id", "leader"), "buckets")
+    members = keep(buckets.join(leaders, "bucket").select("bucket", "set", "leader"), "buckets")
 
-    wanted = members.select("set", "doc_id").distinct()
-    full = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("set", "text")
+    # One text of each set, told by id and text: rows that share an id, or have none, don't multiply.
+    wanted = sets.join(members.select("set").distinct(), "set", "left_semi").select("set", "of.doc_id", "of.text_key")
+    full = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_key"] == wanted["text_key"])).select("set", "text")
     full = keep(full.mapInArrow(_full_sets, "set long, shingles binary").dropDuplicates(["set"]), "full-sets")
 
     slim = sets.select("set", "size", "sketch")
@@ -155,11 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.join(roots, sets["set"] == roots["node"], "left").select(
         "set", "doc_id", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    extra = ["text_key", "root"] if by_row else []
-    named = named.join(least, "root").select("set", "component_id", *extra[1:])
-    out = described.select("doc_id", "set", F.col("size").alias("n_shingles"), *extra[:1]).join(named, "set", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
+    return named.join(least, "root").select("set", "component_id", "root")
 
 
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:

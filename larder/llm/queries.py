@@ -42,8 +42,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that repeat."""
-    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+    """All documents without the bytes that repeat; and how many of their words lie in passages of more than 50 that repeat."""
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False, passages=suffixes.WORDS)
 
 
 def tokenizer_path() -> str:

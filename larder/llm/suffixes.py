@@ -14,6 +14,9 @@ merged into one of twice the size. All these joins meet bucket by bucket without
 Runs that occur twice as a whole are repeated in full. A run whose suffix is shared but whose whole is
 not is compared string by string with the other runs of that suffix; only such runs carry bytes through a
 shuffle.
+
+The same arrays also run over words instead of bytes: a string is then `WORDS` words, told apart by their hashes, whatever white
+space is between them.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.components import keep
-from larder.llm.textblocks import U64, hash_spans, mix, prefix_sums, text_blocks
+from larder.llm.components import forget, keep, tidy
+from larder.llm.textblocks import U64, Words, hash_spans, mix, prefix_sums, text_blocks, value_sums
 from larder.sources import scratch
 
 #: A string of this many bytes that starts twice is removed.
 LENGTH = 400
 #: Bytes of a suffix that choose and name it.
 GRAM = 128
+#: A passage: a string of more than 50 words that starts twice.
+WORDS = 51
 #: Runs of one suffix that a task compares at once; suffixes with more go string by string through a shuffle.
 TOGETHER = 1024
 #: Bits of a place in a text.
@@ -55,7 +60,77 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:windows], before[width - 1 : width - 1 + windows])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+class Bytes:
+    """Texts as strings of bytes."""
+
+    @staticmethod
+    def units(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units of a block, sums that give the hash of any span of them, bounds of the texts)."""
+        return data, prefix_sums(data), starts
+
+    @staticmethod
+    def stored(text: bytes) -> bytes:
+        return text
+
+    @staticmethod
+    def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(units, sums) of what `stored` wrote, or of a whole number of units of it."""
+        found = np.frombuffer(data, np.uint8)
+        return found, prefix_sums(found)
+
+    @staticmethod
+    def lead(units: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place as a number whose order is that of the bytes."""
+        out = np.zeros(len(places), np.uint64)
+        for i in range(8):
+            out = (out << U64(8)) | units[places + i].astype(np.uint64)
+        return (out ^ U64(1 << 63)).view(np.int64)
+
+    size = 1
+
+    @staticmethod
+    def spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return spans
+
+
+class WordRuns:
+    """Texts as strings of words, A-Z in lower case, by their hashes."""
+
+    @staticmethod
+    def units(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = Words(data, starts)
+        hashes = words.hashes()
+        return hashes, value_sums(hashes), words.bounds
+
+    @staticmethod
+    def stored(text: bytes) -> bytes:
+        data = np.frombuffer(text, np.uint8)
+        return Words(data, np.array([0, len(data)])).hashes().tobytes()
+
+    @staticmethod
+    def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        found = np.frombuffer(data, np.uint64)
+        return found, value_sums(found)
+
+    @staticmethod
+    def lead(units: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The first word's hash."""
+        return units[places].view(np.int64)
+
+    size = 8
+
+    @staticmethod
+    def spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans of words as spans of bytes, from the first word's begin to the last one's end."""
+        data = np.frombuffer(text, np.uint8)
+        words = Words(data, np.array([0, len(data)]))
+        return [(int(words.begins[a]), int(words.ends[b - 1])) for a, b in spans]
+
+
+Units = type[Bytes] | type[WordRuns]
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], units: Units, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The kept suffixes of each text, with the run of string starts low..high that chose them.
 
     Where one suffix and run follow themselves, as in a text that repeats a short period, n of them are one entry; low..one
@@ -66,7 +141,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
     for batch in batches:
         rows = batch.column("row").to_numpy()
         for first, end, data, starts in text_blocks(batch.column("text")):
-            sums = prefix_sums(data)
+            data, sums, starts = units.units(data, starts)
             found = []
             for i in np.flatnonzero(np.diff(starts) >= length):
                 low, high = starts[i], starts[i + 1]
@@ -84,7 +159,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                 own = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])]))
                 count = np.diff(np.concatenate([own, [len(at)]]))
                 found.append((np.full(len(own), rows[first + i]), begin[own], until[own], until[own + count - 1], count,
-                              _lead(data, low + at[own]), name[own], whole[own]))
+                              units.lead(data, low + at[own]), name[own], whole[own]))
             if found:
                 row, begin, one, until, count, lead, name, whole = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -93,14 +168,6 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                     ["row", "low", "one", "high", "n", "lead", "gram", "whole"])
 
 
-def _lead(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number whose order is that of the bytes."""
-    out = np.zeros(len(places), np.uint64)
-    for i in range(8):
-        out = (out << U64(8)) | data[places + i].astype(np.uint64)
-    return (out ^ U64(1 << 63)).view(np.int64)
-
-
 class SuffixIndex:
     """Levels of merged suffix arrays; a level holds each distinct run once, with its number of occurrences.
 
@@ -110,7 +177,7 @@ class SuffixIndex:
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets = spark, buckets
         self.levels: dict[int, list[DataFrame]] = {}
-        self.tables: list[tuple[str, str]] = []
+        self.tables: dict[DataFrame, tuple[str, str]] = {}
         self.hits: list[DataFrame] = []
 
     def table(self, df: DataFrame, name: str, partitions: str | None = None) -> DataFrame:
@@ -119,8 +186,9 @@ class SuffixIndex:
         path = scratch.new_dir(self.spark, name)
         writer = df.write.option("path", path).bucketBy(self.buckets, "gram").sortBy(*ORDER)
         (writer.partitionBy(partitions) if partitions else writer).saveAsTable(name)
-        self.tables.append((name, path))
-        return self.spark.table(name)
+        table = self.spark.table(name)
+        self.tables[table] = (name, path)
+        return table
 
     def insert(self, batch: DataFrame) -> None:
         """Scan a batch's suffix array with itself and every level, note what it shares, and make it a level.
@@ -134,6 +202,7 @@ class SuffixIndex:
                     *ORDER, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
                 self.levels[size] = []
                 self.levels.setdefault(size + 1, []).append(self.table(merged, "level"))
+                self.drop(*same)
         run = self.table(batch.groupBy(*ORDER).agg(F.sum("n").alias("n")), "run")
         own = run.groupBy("lead", "gram").agg((F.sum("n") > 1).alias("shared"))
         scan = run.join(own, ["lead", "gram"]).withColumn("again", F.col("n") > 1)
@@ -153,11 +222,12 @@ class SuffixIndex:
             hits = hits.unionByName(more)
         return hits.select("lead", "gram").distinct(), hits.where("again").select(*ORDER).distinct()
 
-    def drop(self) -> None:
-        for name, path in self.tables:
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete some tables, or all that are left."""
+        for table in tables or list(self.tables):
+            name, path = self.tables.pop(table)
             self.spark.sql(f"drop table if exists {name}")
             scratch.remove(self.spark, path)
-        self.tables, self.levels = [], {}
 
 
 @contextmanager
@@ -171,28 +241,32 @@ def co_located(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CO_LOCATED, before)
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, together: int = TOGETHER) -> DataFrame:
-    """(row, spans) for the rows (row, text) with repeats: the byte spans covered by a repeated string.
+def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, together: int = TOGETHER, units: Units = Bytes) -> DataFrame:
+    """(row, spans) for the rows (row, text) with repeats: the spans, in units, covered by a repeated string of `length` units.
 
-    Spans may touch or overlap and are in no order. The rows are inserted in `batches` batches.
+    Spans may touch or overlap and are in no order. The rows are inserted in `batches` batches. What the result reads is
+    one table, which `forget` deletes.
     """
     gram = min(GRAM, max(8, length // 3))
     spark = texts.sparkSession
     index = SuffixIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = texts.mapInArrow(lambda parts: _suffixes(parts, length, gram), _ENTRY)
+    entries = texts.mapInArrow(lambda parts: _suffixes(parts, units, length, gram), _ENTRY)
     entries = entries.withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")).repartition(index.buckets, "gram")
-    with co_located(spark):
-        entries = index.table(entries, "suffixes", "batch")
-        for number in range(batches):
-            index.insert(entries.where(F.col("batch") == number))
-        grams, wholes = index.shared()
-        marked = keep(
-            entries.join(grams, ["lead", "gram"], "left_semi")
-            .join(wholes.withColumn("again", F.lit(True)), ORDER, "left")
-            .select("row", "low", "one", "high", *ORDER, F.coalesce("again", F.lit(False)).alias("again")),
-            "shared-suffixes",
-        )
-    index.drop()
+    try:
+        with co_located(spark), tidy(spark):
+            entries = index.table(entries, "suffixes", "batch")
+            for number in range(batches):
+                index.insert(entries.where(F.col("batch") == number))
+            grams, wholes = index.shared()
+            marked = keep(
+                entries.join(grams, ["lead", "gram"], "left_semi")
+                .join(wholes.withColumn("again", F.lit(True)), ORDER, "left")
+                .select("row", "low", "one", "high", *ORDER, F.coalesce("again", F.lit(False)).alias("again")),
+                "shared-suffixes",
+            )
+    finally:
+        index.drop()
+        forget(*index.hits)
 
     sure = marked.where("again").select("row", F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
     distinct = marked.groupBy(*ORDER).agg(
@@ -204,31 +278,33 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, tog
     cuts = distinct.join(several, ["lead", "gram"]).groupBy("first.row").agg(F.collect_list(cut).alias("cuts"))
     runs = keep(
         texts.join(cuts, "row").select("row", "text", "cuts").dropDuplicates(["row"]).mapInArrow(
-            lambda parts: _cut(parts, length),
+            lambda parts: _cut(parts, units, length),
             "row long, low int, lead long, gram long, again boolean, large boolean, bytes binary"),
         "runs",
     )
     small = runs.where("not large").repartition("gram").sortWithinPartitions("gram")
-    small = small.mapInArrow(lambda parts: _compare(parts, length), "row long, begin int, end int")
-    strings = runs.where("large").mapInArrow(lambda parts: _strings(parts, length), "name long, row long, begin int, again boolean")
+    small = small.mapInArrow(lambda parts: _compare(parts, units, length), "row long, begin int, end int")
+    strings = runs.where("large").mapInArrow(lambda parts: _strings(parts, units, length), "name long, row long, begin int, again boolean")
     twice = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     large = strings.where("not again").join(twice, "name", "left_semi").select(
         "row", "begin", (F.col("begin") + length).alias("end"))
     spans = sure.unionByName(small).unionByName(large).distinct()
-    return spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = keep(spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    forget(marked, runs)
+    return spans
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs named in `cuts`."""
+def _cut(batches: Iterator[pa.RecordBatch], units: Units, length: int) -> Iterator[pa.RecordBatch]:
+    """The units of the runs named in `cuts`."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
     names = ["row", "low", "lead", "gram", "again", "large", "bytes"]
     for batch in batches:
         out: list[tuple] = []
         size = 0
         for row, text, cuts in zip(batch.column("row"), batch.column("text"), batch.column("cuts"), strict=True):
-            data, row = text.as_buffer().to_pybytes(), row.as_py()
+            data, row = units.stored(text.as_buffer().to_pybytes()), row.as_py()
             for c in cuts.as_py():
-                piece = data[c["low"] : c["one"] + length]
+                piece = data[units.size * c["low"] : units.size * (c["one"] + length)]
                 out.append((row, c["low"], c["lead"], c["gram"], c["again"], c["large"], piece))
                 size += len(piece)
             if size > 1 << 23:
@@ -238,14 +314,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _names(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _names(batch: pa.RecordBatch, units: Units, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, run, start) of every string of every run; a name joins a string and its suffix."""
     names, runs, places = [], [], []
     low, gram = (batch.column(x).to_numpy() for x in ("low", "gram"))
     for i, data in enumerate(batch.column("bytes")):
-        data = np.frombuffer(data.as_buffer(), np.uint8)
+        data, sums = units.read(data.as_buffer())
         start = np.arange(len(data) - length + 1)
-        hashes = hash_spans(prefix_sums(data), start, start + length)
+        hashes = hash_spans(sums, start, start + length)
         with np.errstate(over="ignore"):
             hashes = mix(hashes + gram[i : i + 1].view(np.uint64))
         names.append(hashes)
@@ -254,7 +330,7 @@ def _names(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(names), np.concatenate(runs), np.concatenate(places)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], units: Units, length: int) -> Iterator[pa.RecordBatch]:
     """Spans of the strings that two runs of one suffix share; the rows of a suffix follow one another."""
     waiting: pa.Table | None = None
     for batch in batches:
@@ -263,13 +339,13 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         gram = waiting.column("gram").to_numpy()
         done = int(np.argmax(gram == gram[-1])) if len(gram) else 0  # the last suffix may go on
         if done:
-            yield from _compared(waiting.slice(0, done), length)
+            yield from _compared(waiting.slice(0, done), units, length)
             waiting = waiting.slice(done)
     if waiting is not None and len(waiting):
-        yield from _compared(waiting, length)
+        yield from _compared(waiting, units, length)
 
 
-def _compared(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+def _compared(table: pa.Table, units: Units, length: int) -> Iterator[pa.RecordBatch]:
     gram = table.column("gram").to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     first = 0
@@ -277,7 +353,7 @@ def _compared(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         later = starts[(starts > first) & (starts >= first + 2000)]
         end = int(later[0]) if len(later) else len(gram)
         batch = table.slice(first, end - first).combine_chunks().to_batches()[0]
-        names, runs, places = _names(batch, length)
+        names, runs, places = _names(batch, units, length)
         _, back, counts = np.unique(names, return_inverse=True, return_counts=True)
         open_runs = ~batch.column("again").to_numpy(zero_copy_only=False)
         hit = (counts[back] > 1) & open_runs[runs]
@@ -291,58 +367,65 @@ def _compared(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         first = end
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], units: Units, length: int) -> Iterator[pa.RecordBatch]:
     """One row per string of each run."""
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            names, runs, places = _names(part, length)
+            names, runs, places = _names(part, units, length)
             take = pa.array(runs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names.view(np.int64)), part.column("row").take(take), pa.array(places.astype(np.int32)),
                  part.column("again").take(take)], ["name", "row", "begin", "again"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The maximal runs that spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((s["begin"], s["end"]) for s in spans or []):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _remove(batches: Iterator[pa.RecordBatch], units: Units, with_text: bool, with_words: bool) -> Iterator[pa.RecordBatch]:
     """Each row without its spans."""
     for batch in batches:
-        sizes, removed, runs, digests, texts = [], [], [], [], []
+        sizes, removed, runs, digests, texts, words = [], [], [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            left, gone, count, upto = [], 0, 0, 0
-            for begin, end in sorted((s["begin"], s["end"]) for s in spans.as_py() or []):
-                if begin > upto or not count:
-                    left.append(data[upto:begin])
-                    count += 1
-                    gone += end - begin
-                    upto = end
-                elif end > upto:
-                    gone += end - upto
-                    upto = end
-            left.append(data[upto:])
-            rest = b"".join(left)
+            found = units.spans(data, _merged(spans.as_py()))
+            ends = [0, *(end for _, end in found)]
+            rest = b"".join([*(data[a:begin] for a, (begin, _) in zip(ends, found, strict=False)), data[ends[-1] :]])
             sizes.append(len(data))
-            removed.append(gone)
-            runs.append(count)
+            removed.append(len(data) - len(rest))
+            runs.append(len(found))
             digests.append(hashlib.sha256(rest).hexdigest())
             if with_text:
                 texts.append(None if not text.is_valid else rest.decode("utf-8", "ignore"))
         added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
         if with_text:
             added.append(pa.array(texts, pa.string()))
-        others = [x for x in batch.schema.names if x not in ("text", "spans")]
+        if with_words:
+            words = [sum(end - begin for begin, end in _merged(spans)) for spans in batch.column("passages").to_pylist()]
+            added.append(pa.array(words, pa.int64()))
+        others = [x for x in batch.schema.names if x not in ("text", "spans", "passages")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(x) for x in others] + added,
-            others + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+            others + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text + ["passage_words"] * with_words)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   batches: int = 4, together: int = TOGETHER, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Remove every byte covered by a `length`-byte string that also starts anywhere else in `docs`.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = 4,
+                   together: int = TOGETHER, with_text: bool = True, carry: tuple[str, ...] = (), units: Units = Bytes, passages: int = 0) -> DataFrame:
+    """Remove every unit covered by a string of `length` units that also starts anywhere else in `docs`.
 
-    Texts are taken as UTF-8 bytes; strings are judged on the input. Returns per row: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), and with `with_text`
-    kept_text, in which a character cut by a removal is left out. Columns named in `carry` come along.
+    Texts are taken as UTF-8 bytes, or with `units=WordRuns` as words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, whatever white space parts
+    them; what is removed then goes from a word's begin to a word's end. Strings are judged on the input. Returns per row: doc_id, n_bytes,
+    n_removed (bytes), n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), and with `with_text`
+    kept_text, in which a character cut by a removal is left out. With `passages` also passage_words: how many words of the text
+    lie in a string of so many words that also starts anywhere else. Columns named in `carry` come along.
 
     A null text counts as empty bytes and its kept_text stays null; texts shorter than `length` are kept whole. Equal
     rows, ids repeated or null included, are separate documents, so all their long strings repeat. Other
@@ -351,10 +434,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[
         F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = keep(repeated_spans(docs.where("octet_length(text) >= " + str(length)).select("row", "text"), length, batches, together), "spans")
+    # A string of n words has 2 n - 1 bytes at least.
+    long = lambda n, u: docs.where(F.octet_length("text") >= (n if u is Bytes else 2 * n - 1)).select("row", "text")
+    spans = repeated_spans(long(length, units), length, batches, together, units)
     kinds = dict(docs.dtypes)
     extra = {f"_carry{i}": c for i, c in enumerate(carry)}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *extra))
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    joined = docs.join(spans, "row", "left").select("doc_id", *extra, "text", "spans")
-    return joined.mapInArrow(lambda parts: _remove(parts, with_text), schema).withColumnsRenamed(extra)
+    read = ["doc_id", *extra, "text", "spans"]
+    if passages:
+        words = repeated_spans(long(passages, WordRuns), passages, batches, together, WordRuns)
+        both = keep(spans.join(words.withColumnRenamed("spans", "passages"), "row", "full"), "both-spans")
+        forget(spans, words)
+        spans, read, schema = both, [*read, "passages"], schema + ", passage_words long"
+    joined = docs.join(spans, "row", "left").select(*read)
+    return joined.mapInArrow(lambda parts: _remove(parts, units, with_text, bool(passages)), schema).withColumnsRenamed(extra)

@@ -131,6 +131,14 @@ def prefix_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return sums
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """Like `prefix_sums` over 64-bit values instead of bytes."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((values | U64(1)) * _power_tables(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
 def hash_spans(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span; equal byte strings have equal hashes wherever they stand."""
     with np.errstate(over="ignore"):

@@ -88,3 +88,26 @@ def test_repeated_rows_shared_ids_and_null_ids(spark, tmp_path):
     for r in packed:
         ends.setdefault(r.doc_id, set()).add(r.doc_tokens)
     assert {i: len(n) for i, n in ends.items()} == {1: 2, 2: 1, None: 2, 3: 1, 4: 1}
+
+
+def test_passages_of_51_words_go_and_shorter_ones_stay(spark, tmp_path):
+    rng = random.Random(13)
+    passages = {n: text(rng, n) for n in (40, 50, 51, 55, 70)}
+    rows, left = [], {}
+    for n, passage in passages.items():
+        for i in range(3):
+            before, after = text(rng, 70), text(rng, 70)
+            before, after = f"{before} q{n}x{i}", f"z{n}x{i} {after}"  # else a common word beside it may repeat, too
+            rows.append((10 * n + i, f"{before} {passage} {after}", "en", "s0", 1))
+            left[10 * n + i] = f"{before}  {after}" if n > 50 else rows[-1][1]
+    docs = run_stages(spark, spark.createDataFrame(rows, SCHEMA), "repeated_strings", tmp_path)
+    assert {r.doc_id: r.text for r in docs.collect()} == left
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, None).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
+    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder import vocab
 from larder.functions import numbers, text
-from larder.operators import scale
+from larder.operators import graph, scale
+
+if TYPE_CHECKING:
+    import pandas as pd
+
+# Requests that one task may walk through one by one, and rounds over all of them before they are parted.
+ONE_TASK = 200_000
+ROUNDS = 3
 
 REQUIRED = [
     "username", "password", "first_name", "last_name", "email", "age", "gender", "height",
@@ -56,30 +67,71 @@ def _present(name: str, dtype: str) -> Column:
     return text.non_blank(column) if dtype == "string" else column.isNotNull() & (column != 0)
 
 
-def _accept_in_order(requests: DataFrame) -> DataFrame:
+def _first_of_both(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that are the first open ones both of their name and of their address; those still open after them."""
+    columns = open_.columns
+    names = open_.groupBy("username").agg(F.min("request_id").alias("by_name"))
+    mails = open_.groupBy("email").agg(F.min("request_id").alias("by_mail"))
+    taken = F.expr("request_id = by_name AND request_id = by_mail").alias("taken")
+    judged = scale.settle(open_.join(names, "username").join(mails, "email").select(*columns, taken), "judged")
+    first = judged.filter("taken").drop("taken")
+    left = judged.filter("NOT taken").drop("taken")
+    left = left.join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti")
+    return first, scale.settle(left.select(*columns), "open")
+
+
+def _walk(requests: DataFrame) -> DataFrame:
+    """The requests accepted one by one; those of one `root` follow one another in order of ids in one task."""
+    def accepted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, mails, root = set(), set(), None
+        for part in parts:
+            good = []
+            for at, name, mail in zip(part["root"], part["username"], part["email"], strict=True):
+                if at != root:
+                    names, mails, root = set(), set(), at
+                good.append(name not in names and mail not in mails)
+                if good[-1]:
+                    names.add(name)
+                    mails.add(mail)
+            yield part.loc[good, ["request_id", "username", "email"]]
+
+    kinds = dict(requests.dtypes)
+    return requests.mapInPandas(accepted, ", ".join(f"{c} {kinds[c]}" for c in ("request_id", "username", "email")))
+
+
+def _accept_in_order(requests: DataFrame, one_task: int = ONE_TASK, rounds: int = ROUNDS) -> DataFrame:
     """The requests (request_id, username, email) that a walk in order of ids accepts.
 
-    Each round accepts every open request that is the first open one both of its name and of its
-    address, and closes those that share either with an accepted one, until none is open. Of
-    requests for the same name and address only the first can be accepted. The number of
-    rounds is the longest chain of requests that wait for each other.
+    Up to `one_task` requests are walked through in one task. Of more, some rounds accept every open request that is the
+    first open one both of its name and of its address, and close those that share either with an accepted one;
+    popular names are settled that way. What is left is parted into components of requests linked by names and
+    addresses, which cannot influence each other, and each is walked through by itself. Only components of more than
+    `one_task` requests go on in rounds. Of requests for the same name and address only the first can be accepted.
     """
     columns = ["request_id", "username", "email"]
-    accepted = requests.select(*columns).limit(0)
     open_ = requests.groupBy("username", "email").agg(F.min("request_id").alias("request_id")).select(*columns)
-    while True:
-        names = open_.groupBy("username").agg(F.min("request_id").alias("by_name"))
-        mails = open_.groupBy("email").agg(F.min("request_id").alias("by_mail"))
-        taken = F.expr("request_id = by_name and request_id = by_mail").alias("taken")
-        judged = scale.settle(open_.join(names, "username").join(mails, "email").select(*columns, taken), "judged")
-        if judged.isEmpty():
-            return accepted
-        first = judged.filter("taken").select(*columns)
-        accepted = accepted.unionByName(first)
-        open_ = (
-            judged.filter("not taken").select(*columns)
-            .join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti").select(*columns)
-        )
+    open_ = scale.settle(open_, "open")
+    accepted = []
+    for _ in range(rounds):
+        if open_.count() <= one_task:
+            break
+        first, open_ = _first_of_both(open_)
+        accepted.append(first)
+    if open_.count() <= one_task:
+        alone = open_.withColumn("root", F.lit(0)).repartition(1).sortWithinPartitions("request_id")
+        return functools.reduce(DataFrame.unionByName, [*accepted, scale.settle(_walk(alone), "accepted")])
+    # Names that share a hash only make a component larger.
+    name, mail = F.xxhash64(F.lit("name"), "username"), F.xxhash64(F.lit("mail"), "email")
+    roots = graph.components(open_.select(name.alias("a"), mail.alias("b")))
+    placed = scale.settle(open_.withColumn("node", name).join(roots, "node").drop("node"), "parted")
+    large = placed.groupBy("root").count().filter(F.col("count") > one_task).select("root")
+    small = placed.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root", "request_id")
+    accepted.append(scale.settle(_walk(small), "accepted"))
+    open_ = placed.join(large, "root", "left_semi").select(*columns)
+    while not open_.isEmpty():
+        first, open_ = _first_of_both(open_)
+        accepted.append(first)
+    return functools.reduce(DataFrame.unionByName, accepted)
 
 
 def check_signup(requests: DataFrame, users: DataFrame) -> DataFrame:

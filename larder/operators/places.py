@@ -17,9 +17,12 @@ from larder.operators import scale
 ENOUGH = 3
 CAP = 5
 RADIUS_M = 10_000.0
-LEVELS = 12
-# Columns of a row from which its cells are close to squares.
-SQUARE = 64
+# A cell with more sites is parted, up to DEPTH times into FINER x FINER cells.
+LEAF = 16
+FINER = 8
+DEPTH = 6
+# More than rounding can move a distance, in metres.
+SLACK_M = 0.01
 PLACE = ["city", "zipcode", "facility_type"]
 
 
@@ -193,110 +196,166 @@ def place_type(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit(vocab.PLACE_TYPE_DEFAULT))
 
 
-def _size(level: Column) -> Column:
-    return F.lit(RADIUS_M) / F.pow(F.lit(2.0), level)
+def _placed(lat: str, lng: str) -> dict[str, Column]:
+    """Cell of ten kilometres that holds a point, and where in it the point lies, from 0 up to 1 each way."""
+    north = F.col(lat) * F.lit(geo.METRES_PER_DEGREE) / F.lit(RADIUS_M)
+    row = geo.lat_row(F.col(lat), RADIUS_M)
+    east = (F.col(lng) + 180.0) / 360.0 * geo.lng_columns(row, RADIUS_M)
+    return {"row": row, "col": geo.lng_column(F.col(lng), row, RADIUS_M), "y": north - F.floor(north), "x": east - F.floor(east)}
 
 
-def _all_levels() -> Column:
-    return F.sequence(F.lit(0), F.lit(LEVELS - 1))
+def _around(lat: str, lng: str) -> Column:
+    """The cell of a point and all its neighbours: what lies within ten kilometres lies in one of them."""
+    row = geo.lat_row(F.col(lat), RADIUS_M)
+    steps = [-1, 0, 1]
+    # Where a row has few columns, steps both ways meet.
+    return F.array_distinct(F.array(*(
+        F.struct((row + dy).alias("row"), geo.lng_column(F.col(lng), row + dy, RADIUS_M, dx).alias("col"))
+        for dy in steps for dx in steps)))
 
 
-def _cells(lat: str, lng: str, levels: Column, reach: int) -> Column:
-    """Cells of a point on some levels, with all neighbours up to `reach` steps away."""
-    steps = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
+def _nearest_cells(seen: DataFrame, spot: list[str], k: int) -> DataFrame:
+    """The cells that may hold one of a spot's `k` nearest sites.
 
-    def at_level(level: Column) -> Column:
-        size = _size(level)
-        # Where a row has few columns, steps both ways meet.
-        return F.array_distinct(F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: F.struct(
-            level.alias("level"),
-            (geo.lat_row(F.col(lat), size) + dy).alias("row"),
-            geo.lng_column(F.col(lng), geo.lat_row(F.col(lat), size) + dy, size, dx).alias("col"),
-        )))))
+    All sites of a cell lie within `reach` of the middle of the box around them, whose distance is `away`. With the cells in order
+    of away + reach, `k` sites lie no farther than the value at which the counts add up to `k`; a cell
+    is needless if away - reach is more than that, or than the radius.
+    """
+    order = Window.partitionBy(*spot).orderBy("far", "row", "col", "iy", "ix").rowsBetween(Window.unboundedPreceding, 0)
+    enough = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy(*spot))
+    bounded = seen.withColumn("far", F.col("away") + F.col("reach")).withColumn("upto", F.sum("n").over(order))
+    bounded = bounded.withColumn("limit", F.least(F.coalesce(enough, F.lit(RADIUS_M)), F.lit(RADIUS_M)))
+    return bounded.filter(F.col("away") - F.col("reach") <= F.col("limit") + SLACK_M).drop("far", "upto", "limit")
+
+
+def _cells_of(points: DataFrame, depth: int) -> DataFrame:
+    """Count and box of the cells of one depth that hold a point."""
+    parts = F.lit(float(FINER**depth))
+    lat, lng = F.col("lat"), F.pmod(F.col("lng") + 180.0, F.lit(360.0)) - 180.0
+    cells = (
+        points.withColumns({"iy": F.floor(F.col("y") * parts), "ix": F.floor(F.col("x") * parts)})
+        .groupBy("place_type", "row", "col", "iy", "ix")
+        .agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}_{of}") for c, of in ((lat, "lat"), (lng, "lng"))
+                                             for f, name in ((F.min, "min"), (F.max, "max"))))
+    )
+    middle = (F.col("min_lat") + F.col("max_lat")) / 2
+    # Along the parallel of the middle and then along a meridian: no point of the box is farther than that.
+    reach = F.radians((F.col("max_lat") - F.col("min_lat")) / 2 + F.cos(F.radians(middle)) * (F.col("max_lng") - F.col("min_lng")) / 2)
+    return cells.select(
+        "place_type", "row", "col", "iy", "ix", "n", middle.alias("mid_lat"),
+        ((F.col("min_lng") + F.col("max_lng")) / 2).alias("mid_lng"), (reach * geo.EARTH_RADIUS_M).alias("reach"))
 
-    return F.flatten(F.transform(levels, at_level))
 
+def _candidates(spots: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Spots (place_type, spot_lat, spot_lng) with the points that may be among their `k` nearest within the radius.
 
-def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
-    """The `k` nearest facilities of a request's type within ten kilometres.
-
-    Cells halve per level, from ten kilometres to five metres. Cell counts tell the finest
-    level at which a spot's own cell holds `k` sites. Those lie within 1.42 cell widths, so
-    the 3x3 block one level up, which reaches two widths, holds the nearest `k`; without
-    such a level the coarsest block holds all there is. Rows around a pole have too few columns
-    for that argument and are left to the coarsest block. Dense areas are thus searched in
-    small cells, and a crowded cell is not paired with all requests around it. Equal spots
-    are searched once; a cell with very many different spots is left to the adaptive skew
-    join, as no later step relies on how the cell joins are partitioned.
+    Cells of ten kilometres are met first. Those with more than `LEAF` points are parted, and again, and in each round a
+    spot keeps only the cells that can still matter, so it meets few points however crowded the cells around
+    it are. Where no cell is crowded there is one round. Points nearer to each other than some centimetres are not parted.
     """
-    cell = ["place_type", "level", "row", "col"]
-    spot = ["place_type", "lat", "lng"]
-    spots = (
-        requests.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select(
-            "request_id", place_type(F.col("facility_type")).alias("place_type"),
-            F.col("latitude").alias("lat"), F.col("longitude").alias("lng"),
-        )
-    )
-    distinct = spots.select(*spot).distinct()
+    spot, cell = ["place_type", "spot_lat", "spot_lng"], ["place_type", "row", "col"]
+    part = [*cell, "iy", "ix"]
+    frontier = spots.select(*spot, F.inline(_around("spot_lat", "spot_lng"))).withColumns({"up_y": F.lit(0).cast("long"), "up_x": F.lit(0).cast("long")})
+    carried, found = None, None
+    for depth in range(DEPTH + 1):
+        cells = scale.settle(_cells_of(points, depth), "cells")
+        crowded = cells.filter(F.lit(depth < DEPTH) & (F.col("n") > LEAF))
+        done = crowded.isEmpty()
+        if done and depth == 0:
+            return frontier.join(points, cell).select(*spot, "lat", "lng", "place_id")
+        up = F.lit(1 if depth == 0 else FINER)
+        above = {"up_y": F.floor(F.col("iy") / up), "up_x": F.floor(F.col("ix") / up)}
+        away = geo.haversine_m(F.col("spot_lat"), F.col("spot_lng"), F.col("mid_lat"), F.col("mid_lng"))
+        seen = frontier.join(cells.withColumns(above), [*cell, "up_y", "up_x"]).select(
+            *spot, "row", "col", "iy", "ix", "n", F.lit(depth).alias("depth"), away.alias("away"), "reach")
+        kept = scale.settle(_nearest_cells(seen if carried is None else carried.unionByName(seen), spot, k), "near-cells")
+        opened = (F.col("depth") == depth) & (F.col("depth") < DEPTH) & (F.col("n") > LEAF)
+        parts = F.lit(float(FINER**depth))
+        points = points.withColumns({"iy": F.floor(F.col("y") * parts), "ix": F.floor(F.col("x") * parts)})
+        closed = points.join(crowded.select(*part), part, "left_anti").withColumn("depth", F.lit(depth))
+        found = closed if found is None else found.unionByName(closed)
+        if done:
+            break
+        points = scale.settle(points.join(crowded.select(*part), part, "left_semi").drop("iy", "ix"), "crowded-points")
+        carried = kept.filter(~opened)
+        frontier = kept.filter(opened).select(*spot, "row", "col", F.col("iy").alias("up_y"), F.col("ix").alias("up_x"))
+    return kept.join(found, [*part, "depth"]).select(*spot, "lat", "lng", "place_id")
+
+
+def radius_lists(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
+    """Requests with the array of the `k` nearest facilities of their type within ten kilometres, NULL if there is none.
+
+    Equal spots are searched once, by ids and coordinates only; the facilities' records are attached to the few that are chosen.
+    """
+    spot, point = ["place_type", "spot_lat", "spot_lng"], ["place_type", "lat", "lng", "place_id"]
+    asked = requests.withColumns({
+        "place_type": place_type(F.col("facility_type")), "spot_lat": F.col("latitude"), "spot_lng": F.col("longitude")})
+    spots = asked.select(*spot).filter(F.col("spot_lat").isNotNull() & F.col("spot_lng").isNotNull()).distinct()
     sites = facilities.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    sites = sites.withColumns({"lat": F.col("latitude"), "lng": F.col("longitude")})
+    sites = scale.first_per_key(sites, point, [F.col("listing_rank")])
     # Sites of one exact point differ by id only, so `k` of them are enough.
-    sites = scale.first_per_key(sites, ["place_type", "latitude", "longitude", "place_id"], [F.col("listing_rank")])
-    sites = scale.first_per_key(sites, ["place_type", "latitude", "longitude"], [F.col("place_id")], k)
-    placed = sites.select(*RECORD, "place_type", F.inline(_cells("latitude", "longitude", _all_levels(), 0)))
-    full = (
-        placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        .select(*cell, F.col("level").alias("full"))
-    )
-
-    finest = (
-        distinct.select(*spot, F.inline(_cells("lat", "lng", _all_levels(), 0)))
-        .join(full, cell, "left").groupBy(*spot)
-        .agg(F.max(F.when(geo.lng_columns(F.col("row"), _size(F.col("level"))) >= SQUARE, F.col("full"))).alias("finest"))
-    )
-    wanted = F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0))
-    block = finest.select(*spot, F.inline(_cells("lat", "lng", F.array(wanted), 1)))
-    near = (
-        block.join(placed, cell)
+    points = scale.first_per_key(sites.select(*point), ["place_type", "lat", "lng"], [F.col("place_id")], k)
+    near = _candidates(spots, points.withColumns(_placed("lat", "lng")), k).withColumn(
         # Millimetres: rounding noise must not decide between equally far sites.
-        .withColumn("distance_m", F.round(
-            geo.haversine_m(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")), 3))
-        .filter(F.col("distance_m") <= RADIUS_M)
-    )
+        "distance_m", F.round(geo.haversine_m(F.col("spot_lat"), F.col("spot_lng"), F.col("lat"), F.col("lng")), 3),
+    ).filter(F.col("distance_m") <= RADIUS_M)
     best = scale.ranked(near, spot, [F.col("distance_m"), F.col("place_id")], k)
-    answers = _nest(best, spot, [*RECORD, "distance_m"])
-    return spots.join(answers, spot).select("request_id", F.inline("found"))
+    records = best.join(sites.select(*point, *[c for c in RECORD if c != "place_id"]), point)
+    lists = _nest(records, spot, [*RECORD, "distance_m"])
+    return asked.join(lists, spot, "left").drop(*spot)
+
+
+def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
+    """The `k` nearest facilities of a request's type within ten kilometres, a row each."""
+    return radius_lists(requests, facilities, k).select("request_id", F.inline("found"))
+
+
+def answered(requests: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Requests with `found`, the array of their facilities (NULL if there is none), and `source`, text or radius.
+
+    Only requests without any text match go on to the radius search.
+    """
+    by_text = text_answers(requests, facilities)
+    fields = ["rank", *RECORD]
+    plain = F.transform("found", lambda f: F.struct(*(f[c].alias(c) for c in fields)))
+    by_radius = radius_lists(by_text.filter(F.col("found").isNull()).drop("found"), facilities).withColumn("found", plain)
+    return (
+        by_text.filter(F.col("found").isNotNull()).withColumn("source", F.lit("text"))
+        .unionByName(by_radius.withColumn("source", F.when(F.col("found").isNotNull(), "radius")))
+    )
 
 
 def search(requests: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Text search, else the radius search for requests without any text match."""
-    answered = text_answers(
-        requests.select("request_id", *PLACE, "latitude", "longitude"), facilities)
-    by_text = answered.select("request_id", F.inline("found"))
-    by_radius = radius_search(answered.filter(F.col("found").isNull()), facilities).drop("distance_m")
-    return by_text.withColumn("source", F.lit("text")).unionByName(by_radius.withColumn("source", F.lit("radius")))
-
-
-def search_outcome(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """Success flag and message per request."""
-    counts = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
-    where = F.concat("city", F.lit(" "), "zipcode")
-    return requests.join(counts, "request_id", "left").select(
-        "request_id", F.col("n").isNotNull().alias("success"),
-        F.when(F.col("n").isNotNull(), F.format_string(vocab.FACILITIES_FOUND, "n", where))
+    """Text search, else the radius search for requests without any text match; a row per facility found."""
+    return answered(requests.select("request_id", *PLACE, "latitude", "longitude"), facilities).select(
+        "request_id", F.inline("found"), "source")
+
+
+def search_outcome(answers: DataFrame) -> DataFrame:
+    """Success flag and message per answered request."""
+    where, some = F.concat("city", F.lit(" "), "zipcode"), F.col("found").isNotNull()
+    return answers.select(
+        "request_id", some.alias("success"),
+        F.when(some, F.format_string(vocab.FACILITIES_FOUND, F.size("found").cast("long"), where))
         .otherwise(F.format_string(vocab.FACILITIES_NONE, where)).alias("message"),
     )
 
 
+def display(record: Column) -> dict[str, Column]:
+    """Display fields of a facility's record with their defaults, and a map link."""
+    return {
+        "name": F.coalesce(record["name"], F.lit("Unnamed Facility")),
+        "address": F.coalesce(record["address"], F.lit("No address")),
+        "rating_text": F.coalesce(record["rating"].cast("string"), F.lit("Not rated")),
+        "total_ratings": F.coalesce(record["total_ratings"], F.lit(0)),
+        "maps_link": F.concat(F.lit(vocab.MAPS_LINK), F.coalesce(record["place_id"], F.lit(""))),
+    }
+
+
 def facility_record(rows: DataFrame) -> DataFrame:
-    """Display fields with their defaults and a map link."""
-    return rows.withColumns({
-        "name": F.coalesce("name", F.lit("Unnamed Facility")),
-        "address": F.coalesce("address", F.lit("No address")),
-        "rating_text": F.coalesce(F.col("rating").cast("string"), F.lit("Not rated")),
-        "total_ratings": F.coalesce("total_ratings", F.lit(0)),
-        "maps_link": F.concat(F.lit(vocab.MAPS_LINK), F.coalesce("place_id", F.lit(""))),
-    })
+    """Rows with the display fields of their records."""
+    return rows.withColumns(display(F.struct(*RECORD)))
 
 
 def with_details(facilities: DataFrame, details: DataFrame) -> DataFrame:
@@ -311,20 +370,19 @@ def with_details(facilities: DataFrame, details: DataFrame) -> DataFrame:
     })
 
 
-def extent(found: DataFrame) -> DataFrame:
-    """Map centre (first place with coordinates) and bounding box per request."""
-    lat, lng = F.col("latitude"), F.col("longitude")
-    placed = lat.isNotNull() & lng.isNotNull()
-    centre = F.min_by(F.struct(lat.alias("lat"), lng.alias("lng")), F.when(placed, F.col("rank")))
-    return found.groupBy("request_id").agg(
-        centre.alias("c"),
-        *(f(F.when(placed, c)).alias(f"{n}_{c_name}")
-          for c, c_name in ((lat, "lat"), (lng, "lng")) for f, n in ((F.min, "min"), (F.max, "max"))),
-    ).select(
+def extent(answers: DataFrame) -> DataFrame:
+    """Map centre (first place with coordinates) and bounding box per request; `answers` has `found` or a row per facility."""
+    if "found" not in answers.columns:
+        answers = _nest(answers, ["request_id"], ["latitude", "longitude"])
+    placed = F.filter("found", lambda f: f["latitude"].isNotNull() & f["longitude"].isNotNull())
+    rows = answers.filter(F.col("found").isNotNull()).select("request_id", placed.alias("placed"))
+    lat, lng = F.transform("placed", lambda f: f["latitude"]), F.transform("placed", lambda f: f["longitude"])
+    return rows.select(
         "request_id",
-        F.coalesce("c.lat", F.lit(vocab.MAP_CENTRE[0])).alias("centre_lat"),
-        F.coalesce("c.lng", F.lit(vocab.MAP_CENTRE[1])).alias("centre_lng"),
-        "min_lat", "max_lat", "min_lng", "max_lng",
+        F.coalesce(F.get(lat, F.lit(0)), F.lit(vocab.MAP_CENTRE[0])).alias("centre_lat"),
+        F.coalesce(F.get(lng, F.lit(0)), F.lit(vocab.MAP_CENTRE[1])).alias("centre_lng"),
+        F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"),
+        F.array_min(lng).alias("min_lng"), F.array_max(lng).alias("max_lng"),
     )
 
 
@@ -353,11 +411,8 @@ TEMPLATES = {
 }
 
 
-def reports(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """One text per request: title, numbered facilities, closing line; or the no-result text."""
-    item = F.struct("rank", "name", "address", "rating", "total_ratings", "maps_link")
-    # At most five rows per request.
-    lists = facility_record(found).groupBy("request_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+def reports(answers: DataFrame) -> DataFrame:
+    """One text per answered request: title, numbered facilities, closing line; or the no-result text."""
     need = F.when(text.non_blank(F.col("chronic_condition")), F.col("chronic_condition")).otherwise("general health")
     key = search_key(F.col("facility_type"))
 
@@ -369,19 +424,18 @@ def reports(requests: DataFrame, found: DataFrame) -> DataFrame:
     def entry(i: Column) -> Column:
         rating = F.when(
             i["rating"].isNotNull(),
-            F.concat(i["rating"].cast("string"), F.lit("/5 ("), i["total_ratings"].cast("string"), F.lit(")")),
+            F.concat(i["rating"].cast("string"), F.lit("/5 ("), display(i)["total_ratings"].cast("string"), F.lit(")")),
         ).otherwise(pick(3))
+        shown = display(i)
         return F.concat(
-            i["rank"].cast("string"), F.lit(". "), i["name"], F.lit("\n   "), i["address"], F.lit("\n   "),
-            pick(2), F.lit(": "), rating, F.lit("\n   "), i["maps_link"],
+            i["rank"].cast("string"), F.lit(". "), shown["name"], F.lit("\n   "), shown["address"], F.lit("\n   "),
+            pick(2), F.lit(": "), rating, F.lit("\n   "), shown["maps_link"],
         )
 
     body = F.concat(
         F.lit("# "), pick(0), F.lit(" for "), need, F.lit(" in "), F.col("city"), F.lit("\n\n"), pick(1), F.lit(":\n"),
-        F.array_join(F.transform("items", entry), "\n"), F.lit("\n\n"), pick(4),
+        F.array_join(F.transform("found", entry), "\n"), F.lit("\n\n"), pick(4),
     )
     empty = F.concat(F.lit("# No "), F.lower(pick(0)), F.lit(" found for "), need, F.lit(" in "), F.col("city"),
                      F.lit("\n\n"), pick(5))
-    return requests.join(lists, "request_id", "left").select(
-        "request_id", F.when(F.col("items").isNotNull(), body).otherwise(empty).alias("report")
-    )
+    return answers.select("request_id", F.when(F.col("found").isNotNull(), body).otherwise(empty).alias("report"))

@@ -153,14 +153,13 @@ FOUND = f"""{TEXT}, rest AS (SELECT * FROM requests WHERE request_id NOT IN (SEL
 found AS (SELECT *, 'text' AS source FROM by_text UNION ALL SELECT * EXCLUDE (distance_m), 'radius' FROM by_radius)"""
 
 
-def _found(spark, sf_dir):
-    requests = _valid(spark, sf_dir)
-    return requests, places.search(requests, view(spark, sf_dir, "facilities"))
+def _answered(spark, sf_dir):
+    return places.answered(_valid(spark, sf_dir), view(spark, sf_dir, "facilities"))
 
 
 @query("facility_with_fallback", with_views(["facilities"], f"WITH {FOUND} SELECT request_id, rank, place_id, source FROM found"))
 def facility_with_fallback(spark, sf_dir):
-    return _found(spark, sf_dir)[1].select(
+    return places.search(_valid(spark, sf_dir), view(spark, sf_dir, "facilities")).select(
         "request_id", F.col("rank").cast("long").alias("rank"), "place_id", "source")
 
 
@@ -169,7 +168,7 @@ WITH {FOUND} SELECT r.request_id, n IS NOT NULL AS success, CASE WHEN n IS NULL
   ELSE CAST(n AS VARCHAR) || ' places of care near ' END || city || ' ' || zipcode AS message
 FROM requests r LEFT JOIN (SELECT request_id, count(*) AS n FROM found GROUP BY 1) f USING (request_id)"""))
 def facility_outcome(spark, sf_dir):
-    return places.search_outcome(*_found(spark, sf_dir))
+    return places.search_outcome(_answered(spark, sf_dir))
 
 
 RECORD = f"""coalesce(name, 'Unnamed Facility') AS name, coalesce(address, 'No address') AS address,
@@ -209,7 +208,7 @@ box AS (SELECT request_id, arg_min(latitude, rank) AS lat, arg_min(longitude, ra
 SELECT f.request_id, coalesce(lat, 42.3601E0) AS centre_lat, coalesce(lng, -71.0589E0) AS centre_lng, min_lat, max_lat, min_lng, max_lng
 FROM (SELECT DISTINCT request_id FROM found) f LEFT JOIN box USING (request_id)"""))
 def facility_extent(spark, sf_dir):
-    return places.extent(_found(spark, sf_dir)[1])
+    return places.extent(_answered(spark, sf_dir))
 
 
 def _slot(number: int) -> str:
@@ -230,7 +229,7 @@ SELECT request_id, CASE WHEN body IS NULL THEN '# No ' || lower({_slot(0)}) || '
   ELSE '# ' || {_slot(0)} || ' for ' || {NEED} || ' in ' || city || chr(10) || chr(10) || {_slot(1)} || ':' || chr(10) || body || chr(10) || chr(10) || {_slot(4)}
   END AS report FROM requests LEFT JOIN lines USING (request_id)"""))
 def render_report(spark, sf_dir):
-    return places.reports(*_found(spark, sf_dir))
+    return places.reports(_answered(spark, sf_dir))
 
 
 SHOWN = """coalesce(title, 'Untitled') AS title, coalesce(source, 'Unknown') AS source,

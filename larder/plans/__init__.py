@@ -6,7 +6,8 @@ import importlib
 
 from larder.plans import registry
 
-GROUPS = ["member_queries", "nutrition_queries", "recipe_queries", "recommend_queries", "document_queries", "place_queries", "stream_queries"]
+GROUPS = ["member_queries", "nutrition_queries", "recipe_queries", "recommend_queries", "document_queries", "place_queries", "stream_queries",
+          "file_queries"]
 
 
 def _load() -> None:

@@ -9,6 +9,7 @@ from larder.operators import nutrition, recommend
 from larder.plans.member_queries import SYNONYMS
 from larder.plans.registry import query
 from larder.plans.views import AS_OF, K, load, meal_requests, view, with_views
+from larder.sources import files, scratch
 
 ENERGY = recommend.ENERGY
 
@@ -199,8 +200,12 @@ def parse_recipe_blocks(spark, sf_dir):
 SELECT 'u' || CAST(p_partkey AS VARCHAR) AS username, DATE '{AS_OF}' AS date, meal_type, recipe_name,
   coalesce(kcal, 0) AS {ENERGY} FROM ({PARSED})""")
 def sink_append_log(spark, sf_dir):
+    """The picks of even and of odd parts, appended one after the other to a log that is then read."""
     picks = _rendered(spark, sf_dir).withColumn("username", F.expr("'u' || CAST(p_partkey AS STRING)"))
-    return nutrition.log_rows(picks, AS_OF)
+    log = scratch.new_dir(spark, "meal-log")
+    for odd in (0, 1):
+        files.append_rows(nutrition.log_rows(picks.filter(F.col("p_partkey") % 2 == odd), AS_OF), log, "date")
+    return spark.read.parquet(log).withColumn("date", F.col("date").cast("date"))
 
 
 def _highlight_sql() -> str:

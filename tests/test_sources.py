@@ -106,3 +106,34 @@ def test_clean_removes_what_was_written(spark):
     scratch.remove(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_recipes_are_packed_and_read_by_index(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr(
+        "concat('r', lpad(cast(id div 3 AS string), 5, '0')) AS recipe_name", "concat('a', id % 3) AS attribute",
+        "CASE WHEN id % 7 = 0 THEN 'x, \"y\"' WHEN id % 11 = 0 THEN NULL ELSE cast(id AS string) END AS value", "'g' AS unit", "cast(id % 3 AS int) AS position")
+    path = str(tmp_path / "packed")
+    files.write_packed_csvs(rows, path, 3_000)
+    assert 8 <= len(list((tmp_path / "packed" / "rows").glob("part-*"))) <= 12
+    assert sorted(map(str, files.read_packed_recipes(spark, path).collect())) == sorted(map(str, rows.drop("position").collect()))
+    one = files.read_packed_recipes(spark, path, ["r00500"])
+    assert len(one.inputFiles()) == 1 and one.count() == 3
+    assert files.read_packed_recipes(spark, path, ["unknown"]).count() == 0
+
+
+def test_files_are_loaded_once_until_they_change(spark, tmp_path):
+    folder, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    folder.mkdir()
+    (folder / "dal.csv").write_text("Nutrient,Amount per Serving,Unit\nFat,1.0,g\nbad,1,2,3\n")
+    load = lambda: files.load_new_csvs(spark, str(folder), ledger)
+    rows, rejects, new = load()
+    assert [tuple(r) for r in rows.collect()] == [("dal", "Fat", "1.0")]
+    assert [(r.recipe_name, r.line) for r in rejects.collect()] == [("dal", "bad,1,2,3")] and rejects.first().file.endswith("/in/dal.csv")
+    assert load()[0].count() == 1  # not marked yet
+    files.mark_loaded(new, ledger)
+    assert load()[0].count() == 0 and load()[1].count() == 0
+    import os
+
+    (folder / "soup.csv").write_text("Nutrient,Amount per Serving,Unit\nSalt,2.0,g\n")
+    os.utime(folder / "dal.csv", (2_000_000_000, 2_000_000_000))
+    assert sorted(r.recipe_name for r in load()[0].collect()) == ["dal", "soup"]

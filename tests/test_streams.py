@@ -110,3 +110,34 @@ def test_repeats_are_dropped(spark, tmp_path):
         rows = jobs.drop_repeats_forever(spark.readStream.schema("slug string, n int").parquet(source), "slug")
         jobs.load_new_files(rows.select("slug"), target, mark).awaitTermination()
     assert sorted(r.slug for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_a_merge_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    target = str(tmp_path / "out")
+    schema = "chunk_id string, embedding array<float>, condition string, source_file string, chunk_index long, text string"
+    rows = spark.range(500).selectExpr("concat('k', id) AS chunk_id", "array(1f) AS embedding", "'c' AS condition", "'f' AS source_file", "id AS chunk_index", "'t' AS text")
+    jobs._write_batch(rows, target, 0, "chunk_id")
+    one = rows.filter("chunk_id = 'k7'")
+    for known in (jobs.known_before(one, target, schema, "chunk_id", 1),
+                  jobs.latest_buckets(spark, target, schema, jobs._touched(one, "chunk_id"), 1)):
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "bucket" in plan
+        read = {r[0] for r in known.select(F.input_file_name()).distinct().collect()}
+        assert len(read) == 1 and 0 < known.count() < 40 and "k7" in {r.chunk_id for r in known.collect()}
+
+
+def test_merges_replays_and_compaction(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    source, target, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema, want = schemas.CHUNKS + ", version int", {}
+    for step in range(4):
+        rows = [(f"k{rng.randrange(90)}", [float(step)], "c", "f", 0, f"{step}/{i}", i) for i in range(40)]
+        want.update({r[0]: r[5] for r in sorted(rows, key=lambda r: r[6])})
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        jobs.upsert_chunks(spark.readStream.schema(schema).parquet(source), target, mark).awaitTermination()
+    read = lambda: {r.chunk_id: r.text for r in jobs.read_latest(spark, target).collect()}
+    assert read() == want and jobs.read_latest(spark, target).count() == len(want)
+    jobs.compact(spark, target, ["chunk_id"])
+    assert read() == want and spark.read.parquet(target).count() == len(want)

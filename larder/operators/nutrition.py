@@ -57,30 +57,50 @@ def low_logging(users: DataFrame, logs: DataFrame, as_of: str, days: int = 3) ->
     )
 
 
-def weekly_digest(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
-    """Mean kcal per logged meal, active days, greatest recipe name and latest recipe.
-
-    The mean runs over meals, not over days; `suggestions` has the mean of daily sums.
-    """
-    week = since(logs, as_of, 7)
+def daily_partials(logs: DataFrame) -> DataFrame:
+    """One row per member and day from which the digest of any week is merged: sum, count, greatest and latest recipe."""
     # Of several at one time the last event counts, or without event ids the greatest name.
     last = F.struct("ts", "event_id" if "event_id" in logs.columns else "recipe_name")
     named_at = F.when(F.col("recipe_name").isNotNull(), last)
-    # Days first: the distinct count then only sees one row per member and day.
-    days = week.groupBy("username", "date").agg(
+    return logs.groupBy("username", "date").agg(
         F.sum(KCAL).alias("kcal"), F.count(KCAL).alias("n"), F.max("recipe_name").alias("max_recipe"),
         F.max_by("recipe_name", named_at).alias("last_recipe"), F.max(named_at).alias("ts"),
     )
-    total = days.groupBy("username").agg(
+
+
+def _digest(users: DataFrame, days: DataFrame, *keys: str) -> DataFrame:
+    """Days merged by `keys` and put beside the members."""
+    total = days.groupBy(*keys).agg(
         F.try_divide(F.sum("kcal"), F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("active_days"),
         F.max("max_recipe").alias("max_recipe"), F.max_by("last_recipe", "ts").alias("last_recipe"),
     )
-    return users.join(total, "username", "left").select(
-        "username", "email", numbers.round_sql(F.col("mean"), 2).alias("avg_kcal"),
+    return users.join(total, list(keys), "left").select(
+        *keys[1:], "username", "email", numbers.round_sql(F.col("mean"), 2).alias("avg_kcal"),
         F.coalesce("active_days", F.lit(0)).cast("long").alias("active_days"), "max_recipe", "last_recipe",
     )
 
 
+def weekly_digest(users: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
+    """Mean kcal per logged meal, active days, greatest recipe name and latest recipe.
+
+    The mean runs over meals, not over days; `suggestions` has the mean of daily sums. Days come
+    first: the count of them then only sees one row per member and day.
+    """
+    return _digest(users, daily_partials(since(logs, as_of, 7)), "username")
+
+
+def weekly_digests(users: DataFrame, partials: DataFrame, first: str, last: str) -> DataFrame:
+    """The digest of the week that ends on each day from `first` to `last` (column `as_of`), from stored `daily_partials`.
+
+    The logs are read once, whatever the number of days; a partial goes into the seven weeks that it is part of.
+    """
+    begin, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    near = partials.filter((F.col("date") >= F.date_sub(begin, 6)) & (F.col("date") <= end))
+    weeks = near.withColumn("as_of", F.explode(F.sequence(F.greatest("date", begin), F.least(F.date_add("date", 6), end))))
+    everyone = users.withColumn("as_of", F.explode(F.sequence(begin, end)))
+    return _digest(everyone, weeks, "username", "as_of")
+
+
 def critical_low(users: DataFrame, logs: DataFrame, as_of: str, share: float = 0.7) -> DataFrame:
     """Members whose mean meal is below a share of their goal; no logs means no warning."""
     mean = since(logs, as_of, 7).groupBy("username").agg(F.avg(KCAL).alias("mean"))

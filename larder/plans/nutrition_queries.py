@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder import jobs
-from larder.operators import nutrition
+from larder.operators import nutrition, scale
 from larder.plans.registry import query
 from larder.plans.views import AS_OF, view, with_views
 
@@ -55,6 +55,23 @@ def alert_weekly_digest(spark, sf_dir):
     return nutrition.weekly_digest(*_both(spark, sf_dir), AS_OF)
 
 
+FIRST_DAY = "2024-01-01"
+
+
+@query("alert_weekly_digests", with_views(["users", "logs"], f"""
+SELECT d.as_of, u.username, u.email,
+  CAST(round(CAST(sum(n.calories_per_serving_kcal) / count(n.calories_per_serving_kcal) AS DECIMAL(28,10)), 2) AS DOUBLE) AS avg_kcal,
+  count(DISTINCT n.date) AS active_days, max(n.recipe_name) AS max_recipe,
+  arg_max(n.recipe_name, (n.ts, n.event_id)) FILTER (WHERE n.recipe_name IS NOT NULL) AS last_recipe
+FROM users u CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{AS_OF}', INTERVAL 1 DAY)) AS DATE) AS as_of) d
+LEFT JOIN logs n ON u.username = n.username AND n.date BETWEEN d.as_of - 6 AND d.as_of GROUP BY d.as_of, u.username, u.email"""))
+def alert_weekly_digests(spark, sf_dir):
+    """The digests of thirty days from partials that are stored once."""
+    users, logs = _both(spark, sf_dir)
+    partials = scale.settle(nutrition.daily_partials(logs), "day-partials")
+    return nutrition.weekly_digests(users, partials, FIRST_DAY, AS_OF)
+
+
 @query("alert_critical_low", with_views(["users", "logs"], CRITICAL))
 def alert_critical_low(spark, sf_dir):
     return nutrition.critical_low(*_both(spark, sf_dir), AS_OF)

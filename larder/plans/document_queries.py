@@ -9,6 +9,7 @@ from larder.functions import text
 from larder.operators import chat, documents, scale, vectors
 from larder.plans.registry import query
 from larder.plans.views import load, view, with_views
+from larder.sources import scratch
 
 BASE_URL = "https://files.example.org"
 
@@ -169,6 +170,22 @@ def vector_topk_l2(spark, sf_dir):
         view(spark, sf_dir, "chunks"), _query_vector(spark, sf_dir), metric="l2"))
 
 
+def _index(spark, sf_dir, metric: str = "cosine") -> vectors.Index:
+    path = scratch.new_dir(spark, "cells")
+    vectors.write_index(view(spark, sf_dir, "chunks"), path, 32, metric)
+    return vectors.Index(spark, path, metric)
+
+
+@query("vector_index_topk", _top_sql(COSINE, "", 15))
+def vector_index_topk(spark, sf_dir):
+    return _shown(_index(spark, sf_dir).top_k(_query_vector(spark, sf_dir)))
+
+
+@query("vector_index_topk_multi", _top_sql(f"(-list_distance({A}, {B}))", "WHERE condition IN ('c1', 'c2', 'c5')", 15))
+def vector_index_topk_multi(spark, sf_dir):
+    return _shown(_index(spark, sf_dir, "l2").top_k(_query_vector(spark, sf_dir), ["c1", "c2", "c5"]))
+
+
 def _per_condition(spark, sf_dir, k: int):
     """Query vector of a condition: its first chunk."""
     chunks = view(spark, sf_dir, "chunks")

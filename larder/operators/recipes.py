@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,11 @@ from larder import vocab
 from larder.functions import numbers, text
 from larder.operators import scale
 
+if TYPE_CHECKING:
+    import pandas as pd
+
+# Offers that one task may walk through one by one.
+ONE_TASK = 2_000_000
 LABEL_COLUMNS = ("cuisine_type", "meal_type", "dish_type", "ingredients", "health_labels", "diet_labels", "caution_labels")
 
 
@@ -168,19 +174,47 @@ def cap_first_wins(hits: DataFrame, cap: int = vocab.CUISINE_CAP) -> DataFrame:
 def cap_exact(hits: DataFrame, cuisines: int, cap: int = vocab.CUISINE_CAP) -> DataFrame:
     """What a walk over the cuisines in order takes: up to `cap` slugs each that nobody took before.
 
-    Earlier cuisines take at most `cap * (cuisines - 1)` slugs, so the first
-    `cap * cuisines` distinct slugs of a cuisine decide its result whatever was taken. On
-    those, all cuisines choose at once, round by round: each takes its first `cap` slugs that no
-    earlier cuisine took in the round before. After round i at least the first i cuisines have what
-    the walk gives them, and a round that changes nothing is the walk's result.
+    Earlier cuisines take at most `cap * (cuisines - 1)` slugs, so the first `cap * cuisines` distinct slugs of a cuisine
+    decide its result whatever was taken. These offers, at most `cap * cuisines ** 2` rows however many hits there
+    are, are walked through in one task; if the parameters allow more than `ONE_TASK` of them, in rounds.
     """
     need = cap * cuisines
     unique = hits.groupBy("cuisine_rank", "slug").agg(F.min("hit_rank").alias("hit_rank"))
     order = [F.col("hit_rank"), F.col("slug")]
     shard = F.pmod(F.xxhash64("slug"), F.lit(256))
     short = scale.first_per_key(unique.withColumn("_shard", shard), ["cuisine_rank", "_shard"], order, need)
-    short = scale.first_per_key(short.drop("_shard"), ["cuisine_rank"], order, need)
-    short = scale.settle(short.select("cuisine_rank", "slug", "hit_rank"), "offers")
+    short = scale.first_per_key(short.drop("_shard"), ["cuisine_rank"], order, need).select("cuisine_rank", "slug", "hit_rank")
+    return _cap_in_rounds(short, cap) if need * cuisines > ONE_TASK else _cap_in_order(short, cap)
+
+
+def _cap_in_order(offers: DataFrame, cap: int) -> DataFrame:
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, cuisine, n = set(), None, 0
+        for part in parts:
+            picks = []
+            for at, slug in zip(part["cuisine_rank"], part["slug"], strict=True):
+                cuisine, n = (cuisine, n) if at == cuisine else (at, 0)
+                good = n < cap and slug not in taken
+                if good:
+                    taken.add(slug)
+                    n += 1
+                picks.append(n if good else 0)
+            part["pick"] = picks
+            yield part[part["pick"] > 0]
+
+    kinds = dict(offers.dtypes)
+    rows = offers.repartition(1).sortWithinPartitions("cuisine_rank", "hit_rank", "slug")
+    return rows.mapInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in offers.columns) + ", pick int")
+
+
+def _cap_in_rounds(offers: DataFrame, cap: int) -> DataFrame:
+    """All cuisines choose at once, round by round: each takes its first `cap` slugs that no earlier one took in the round before.
+
+    After round i at least the first i cuisines have what the walk gives them, and a round that changes nothing is
+    the walk's result.
+    """
+    order = [F.col("hit_rank"), F.col("slug")]
+    short = scale.settle(offers, "offers")
     picks, last = scale.settle(scale.ranked(short, ["cuisine_rank"], order, cap, "pick"), "picks"), None
     while (mark := _fingerprint(picks)) != last:
         taken = picks.groupBy("slug").agg(F.min("cuisine_rank").alias("_by"))

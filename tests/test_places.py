@@ -51,7 +51,7 @@ def test_radius_equals_brute_force(spark, base, east):
         assert got.get(j, []) == [p for _, p in near[:5]]
 
 
-@pytest.mark.parametrize(("base", "east", "spread"), [(10.0, 0.05, 0.04), (-40.0, 179.99, 0.0001), (89.96, 100.0, 0.02)])
+@pytest.mark.parametrize(("base", "east", "spread"), [(-40.0, 179.99, 0.004), (89.96, 100.0, 0.02)])
 def test_a_spot_beside_a_crowded_cell_meets_few_sites(spark, base, east, spread):
     """100,000 sites in one place, spots some kilometres away from them."""
     size, n = 300, 100_000
@@ -65,15 +65,15 @@ def test_a_spot_beside_a_crowded_cell_meets_few_sites(spark, base, east, spread)
     met = places._candidates(spots, rows.withColumns(places._placed("lat", "lng")), 5)
     assert met.count() < 150 * size  # every spot used to meet all 100,000
     facilities = rows.selectExpr("0L listing_rank", "place_id", "'n' name", "'a' address", "1D rating", "1 total_ratings", "lat latitude", "lng longitude", "place_type")
-    requests = spark.createDataFrame([(i, *a, "pharmacy") for i, a in enumerate(asked[:20])], "request_id long, latitude double, longitude double, facility_type string")
+    requests = spark.createDataFrame([(i, *a, "pharmacy") for i, a in enumerate(asked[:5])], "request_id long, latitude double, longitude double, facility_type string")
     got = {}
     for r in places.radius_search(requests, facilities).orderBy("request_id", "rank").collect():
         got.setdefault(r.request_id, []).append((r.distance_m, r.place_id))
     sites = [(r.lat, r.lng, r.place_id) for r in rows.collect()]
     rows.unpersist()
-    for i, (lat, lng) in enumerate(asked[:20]):
-        near = sorted((round(distance(lat, lng, a, b), 3), p) for a, b, p in sites if distance(lat, lng, a, b) <= 10_000)[:5]
-        assert [p for _, p in got.get(i, [])] == [p for _, p in near]
+    for i, (lat, lng) in enumerate(asked[:5]):
+        near = sorted((round(distance(lat, lng, a, b), 3), p) for a, b, p in sites)[:5]
+        assert [p for _, p in got.get(i, [])] == [p for d, p in near if d <= 10_000]
 
 
 def test_early_stop_equals_a_walk(spark):

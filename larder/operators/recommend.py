@@ -18,6 +18,8 @@ BASE_COLUMNS = [
 ]
 ENERGY = "calories_per_serving_kcal"
 ANY_RANGE = "any"
+# Characters of the pieces by which labels are looked up.
+GRAM = 3
 
 
 def limits_of(condition: str, encourage: bool = False) -> list[tuple[str, str, float]]:
@@ -136,13 +138,19 @@ def _pieces(label: Column, lengths: Column) -> Column:
 def label_terms(labels: DataFrame, terms: DataFrame, label: str, term: str) -> DataFrame:
     """Pairs of a distinct label and a requested word it contains, without a nested loop.
 
-    A label is cut into pieces of the lengths that the words have, so its rows grow with its own length times
-    the number of different lengths.
+    Labels are indexed by their pieces of `GRAM` characters (and as short as the words, if those are shorter), so their rows grow
+    with the length of the labels alone. A word looks its rarest piece up, and only what it finds there is compared.
     """
-    wanted = terms.select(term).distinct()
-    lengths = wanted.filter(F.col(term).isNotNull()).agg(F.collect_set(F.length(term))).scalar()
-    pieces = labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("_lengths", lengths)
-    return pieces.withColumn(term, F.explode(_pieces(F.lower(label), F.col("_lengths")))).drop("_lengths").join(wanted, term)
+    wanted = terms.select(term).filter(F.col(term).isNotNull()).distinct()
+    size = F.least(F.length(term), F.lit(GRAM))
+    lengths = wanted.agg(F.collect_set(size)).scalar()
+    names = labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("_lengths", lengths)
+    index = names.select(label, F.explode(_pieces(F.lower(label), F.col("_lengths"))).alias("_piece"))
+    counts = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    parts = wanted.withColumn("_piece", F.explode(_pieces(F.col(term), F.array(size))))
+    rarest = parts.join(counts, "_piece", "left").groupBy(term).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece"))["_piece"].alias("_piece"))
+    return rarest.join(index, "_piece").filter(F.contains(F.lower(label), F.col(term))).select(label, term)
 
 
 def request_rows(requests: DataFrame) -> DataFrame:
@@ -269,12 +277,12 @@ def sample_per_group(rows: DataFrame, keys: Sequence[str], id_column: str, k: in
 def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
     """Text card per picked recipe with its condition's nutrients.
 
-    The recipe table is first cut to the picked names, which are few.
+    The picks are settled, as they are looked at twice: a card is written once per condition and recipe, from the few
+    recipes picked at all, and then joined to the picks.
     """
-    wanted = scale.settle(picked.select("recipe_name").distinct(), "picked")
+    picked = scale.settle(picked, "picked")
     columns = sorted({c for name in vocab.CONDITIONS for c in select_for(name)} | {*BASE_COLUMNS, ENERGY})
-    few = recipes.select(*columns).join(wanted, "recipe_name", "left_semi")
-    details = picked.drop(ENERGY).join(few, "recipe_name")
+    details = recipes.select(*columns).join(picked.select("condition", "recipe_name").distinct(), "recipe_name")
 
     def nutrient_lines(condition: str) -> Column:
         names = [c for c in select_for(condition)[len(BASE_COLUMNS) + 1:]]
@@ -298,10 +306,9 @@ def cards(picked: DataFrame, recipes: DataFrame) -> DataFrame:
         F.concat(F.lit("⚠️ Caution Tags: "), F.col("caution_labels")),
         F.concat(F.lit("🔥 Calories/Serving: "), F.col(ENERGY).cast("string"), F.lit(" kcal")),
     ]
-    return details.select(
-        "username", "condition", "cuisine", "meal", "rank", "recipe_name",
-        F.concat(F.concat_ws("  \n", *lines), extra, F.lit("\n")).alias("card"),
-    )
+    texts = details.select("condition", "recipe_name", F.concat(F.concat_ws("  \n", *lines), extra, F.lit("\n")).alias("card"))
+    return picked.join(texts, ["condition", "recipe_name"]).select(
+        "username", "condition", "cuisine", "meal", "rank", "recipe_name", "card")
 
 
 def card_blocks(card_rows: DataFrame) -> DataFrame:

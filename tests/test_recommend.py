@@ -155,3 +155,28 @@ def test_long_labels_meet_words_of_wanted_lengths(spark):
     got = recommend.label_terms(labels, spark.createDataFrame([(w,) for w in words], "word string"), "label", "word").collect()
     want = {(t, w) for t in (text, "Thai/Indian", "") for w in words if w is not None and w in t.lower()}
     assert {(r.label, r.word) for r in got} == want and len(got) == len(want)
+
+
+def test_words_of_any_length_are_found_in_labels(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "abé "
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["AB aé", None, ""]
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(200)} | {"", "a", "zzz"})
+    found = recommend.label_terms(
+        spark.createDataFrame([(x,) for x in labels + labels], "label string"), spark.createDataFrame([(w,) for w in [*words, *words, None]], "word string"), "label", "word")
+    assert sorted((r.label, r.word) for r in found.collect()) == sorted((x, w) for x in {x for x in labels if x is not None} for w in words if w in x.lower())
+
+
+def test_labels_make_rows_in_proportion_to_their_length(spark):
+    import random
+
+    rng = random.Random(5)
+    labels = ["".join(rng.choice("abcdefghijklmnop") for _ in range(2_000)) for _ in range(20)]
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 32))) for _ in range(20_000)] + [labels[3][500:520]]
+    found = recommend.label_terms(
+        spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(w,) for w in words], "word string"), "label", "word")
+    assert (labels[3], labels[3][500:520]) in {(r.label, r.word) for r in found.collect()}
+    generated = found._jdf.queryExecution().analyzed().toString()
+    assert "explode" in generated.lower()

@@ -66,6 +66,15 @@ def only(*names: str) -> Iterator[None]:
                 scratch.remove(spark, path)
 
 
+#: A table of keys with at most so many rows is sent to all tasks, so that texts need not travel to it.
+BROADCAST_ROWS = 500_000
+
+
+def handy(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table made by `keep`, to be joined with texts: sent to every task if it is small, else left to Spark's choice."""
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
     """At most `size` rows, the first in the order of a hash of `keys`; the same rows whatever their order.
 

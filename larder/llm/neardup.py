@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.components import components, keep, only
+from larder.llm.components import components, handy, keep, only
 from larder.llm.signatures import band_keys, superminhash
 from larder.llm.textblocks import U64, Words, mix, text_blocks
 
@@ -139,6 +139,7 @@ def _named_sets(docs: DataFrame, described: DataFrame, percent: int) -> DataFram
 
     # One text of each set, told by id and text: rows that share an id, or have none, don't multiply.
     wanted = sets.join(members.select("set").distinct(), "set", "left_semi").select("set", "of.doc_id", "of.text_key")
+    wanted = handy(keep(wanted, "wanted"))
     full = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_key"] == wanted["text_key"])).select("set", "text")
     full = keep(full.mapInArrow(_full_sets, "set long, shingles binary").dropDuplicates(["set"]), "full-sets")
 

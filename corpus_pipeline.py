@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import mixing, neardup, packing, quality, suffixes
-from larder.llm.components import keep, only
+from larder.llm.components import handy, keep, only
 from larder.llm.queries import find_package, tokenizer_path
 from larder.sources import scratch
 
@@ -36,9 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         marks = keep(marks.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "stays"), "marks")
         repeated = keep(marks.where("stays").drop("stays"), "repeated")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
-    alone = docs.join(marks, on, "left_anti")
-    # Rows that are there several times; few, as a rule, so that texts don't travel for them.
-    equal = docs.join(repeated, on).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    alone = docs.join(handy(marks), on, "left_anti")
+    equal = docs.join(handy(repeated), on).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
     return alone.unionByName(equal.select("row.*"))
 
 

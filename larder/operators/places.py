@@ -21,6 +21,8 @@ RADIUS_M = 10_000.0
 LEAF = 16
 FINER = 8
 DEPTH = 6
+# Up to so many pairs of spots and sites in neighbouring cells are simply joined.
+PAIRS = 5_000_000
 # More than rounding can move a distance, in metres.
 SLACK_M = 0.01
 PLACE = ["city", "zipcode", "facility_type"]
@@ -246,23 +248,27 @@ def _cells_of(points: DataFrame, depth: int) -> DataFrame:
         ((F.col("min_lng") + F.col("max_lng")) / 2).alias("mid_lng"), (reach * geo.EARTH_RADIUS_M).alias("reach"))
 
 
-def _candidates(spots: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def _candidates(spots: DataFrame, points: DataFrame, k: int, pairs: int = PAIRS) -> DataFrame:
     """Spots (place_type, spot_lat, spot_lng) with the points that may be among their `k` nearest within the radius.
 
-    Cells of ten kilometres are met first. Those with more than `LEAF` points are parted, and again, and in each round a
-    spot keeps only the cells that can still matter, so it meets few points however crowded the cells around
-    it are. Where no cell is crowded there is one round. Points nearer to each other than some centimetres are not parted.
+    Cells of ten kilometres are met first. If that makes more than `pairs` rows, cells with more than `LEAF` points are parted, and
+    again, and in each round a spot keeps only the cells that can still matter, so it meets few points however
+    crowded the cells around it are. Points nearer to each other than some centimetres are not parted.
     """
     spot, cell = ["place_type", "spot_lat", "spot_lng"], ["place_type", "row", "col"]
     part = [*cell, "iy", "ix"]
+    spots = scale.settle(spots.select(*spot), "spots")
+    near = spots.select("place_type", F.inline(_around("spot_lat", "spot_lng"))).groupBy(*cell).agg(F.count(F.lit(1)).alias("spots"))
+    filled = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("points"))
+    if (near.join(filled, cell).agg(F.sum(F.col("spots") * F.col("points"))).first()[0] or 0) <= pairs:
+        return spots.select(*spot, F.inline(_around("spot_lat", "spot_lng"))).join(points, cell).select(*spot, "lat", "lng", "place_id")
+    points = scale.settle(points, "points")
     frontier = spots.select(*spot, F.inline(_around("spot_lat", "spot_lng"))).withColumns({"up_y": F.lit(0).cast("long"), "up_x": F.lit(0).cast("long")})
     carried, found = None, None
     for depth in range(DEPTH + 1):
         cells = scale.settle(_cells_of(points, depth), "cells")
         crowded = cells.filter(F.lit(depth < DEPTH) & (F.col("n") > LEAF))
         done = crowded.isEmpty()
-        if done and depth == 0:
-            return frontier.join(points, cell).select(*spot, "lat", "lng", "place_id")
         up = F.lit(1 if depth == 0 else FINER)
         above = {"up_y": F.floor(F.col("iy") / up), "up_x": F.floor(F.col("ix") / up)}
         away = geo.haversine_m(F.col("spot_lat"), F.col("spot_lng"), F.col("mid_lat"), F.col("mid_lng"))
@@ -282,7 +288,7 @@ def _candidates(spots: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return kept.join(found, [*part, "depth"]).select(*spot, "lat", "lng", "place_id")
 
 
-def radius_lists(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
+def radius_lists(requests: DataFrame, facilities: DataFrame, k: int = CAP, pairs: int = PAIRS) -> DataFrame:
     """Requests with the array of the `k` nearest facilities of their type within ten kilometres, NULL if there is none.
 
     Equal spots are searched once, by ids and coordinates only; the facilities' records are attached to the few that are chosen.
@@ -296,7 +302,7 @@ def radius_lists(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> Da
     sites = scale.first_per_key(sites, point, [F.col("listing_rank")])
     # Sites of one exact point differ by id only, so `k` of them are enough.
     points = scale.first_per_key(sites.select(*point), ["place_type", "lat", "lng"], [F.col("place_id")], k)
-    near = _candidates(spots, points.withColumns(_placed("lat", "lng")), k).withColumn(
+    near = _candidates(spots, points.withColumns(_placed("lat", "lng")), k, pairs).withColumn(
         # Millimetres: rounding noise must not decide between equally far sites.
         "distance_m", F.round(geo.haversine_m(F.col("spot_lat"), F.col("spot_lng"), F.col("lat"), F.col("lng")), 3),
     ).filter(F.col("distance_m") <= RADIUS_M)
@@ -306,9 +312,9 @@ def radius_lists(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> Da
     return asked.join(lists, spot, "left").drop(*spot)
 
 
-def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP) -> DataFrame:
+def radius_search(requests: DataFrame, facilities: DataFrame, k: int = CAP, pairs: int = PAIRS) -> DataFrame:
     """The `k` nearest facilities of a request's type within ten kilometres, a row each."""
-    return radius_lists(requests, facilities, k).select("request_id", F.inline("found"))
+    return radius_lists(requests, facilities, k, pairs).select("request_id", F.inline("found"))
 
 
 def answered(requests: DataFrame, facilities: DataFrame) -> DataFrame:

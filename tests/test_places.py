@@ -43,12 +43,12 @@ def test_radius_equals_brute_force(spark, base, east):
         [(i, p, "n", "a", None, None, lat, lng, "c", "z", "pharmacy") for i, (p, lat, lng) in enumerate(sites)], FACILITY)
     requests = spark.createDataFrame(asked, "request_id long, latitude double, longitude double").withColumn(
         "facility_type", F.lit("pharmacy"))
-    got = {}
-    for r in places.radius_search(requests, facilities).orderBy("request_id", "rank").collect():
-        got.setdefault(r.request_id, []).append(r.place_id)
-    for j, lat, lng in asked:
-        near = sorted((round(distance(lat, lng, a, b), 3), p) for p, a, b in sites if distance(lat, lng, a, b) <= 10_000)
-        assert got.get(j, []) == [p for _, p in near[:5]]
+    near = {j: sorted((round(distance(lat, lng, a, b), 3), p) for p, a, b in sites if distance(lat, lng, a, b) <= 10_000) for j, lat, lng in asked}
+    for pairs in (places.PAIRS, 0):  # cells joined as they are, and parted
+        got = {}
+        for r in places.radius_search(requests, facilities, pairs=pairs).orderBy("request_id", "rank").collect():
+            got.setdefault(r.request_id, []).append(r.place_id)
+        assert got == {j: [p for _, p in found[:5]] for j, found in near.items() if found}
 
 
 @pytest.mark.parametrize(("base", "east", "spread"), [(-40.0, 179.99, 0.004), (89.96, 100.0, 0.02)])

@@ -204,7 +204,8 @@ def candidate_pools(classes: DataFrame, wanted: DataFrame, pool: int = POOL) ->
     get a pool, so the requests need not meet their users to tell what is wanted.
     """
     known = [m for m, _, _ in vocab.MEAL_RANGES]
-    wanted = wanted.select("cuisine_term", "meal_term").distinct().withColumn(
+    # Looked at several times, and few, as a rule: with its size known, what it meets stays where it is.
+    wanted = scale.settle(wanted.select("cuisine_term", "meal_term").distinct(), "wanted").withColumn(
         "range_key", F.when(F.col("meal_term").isin(known), F.col("meal_term")).otherwise(ANY_RANGE)
     )
     by_cuisine = label_terms(classes, wanted, "cuisine_type", "cuisine_term")

@@ -20,6 +20,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """A table of files dealt out to tasks of about `rows` rows, whatever pieces the files can be read in.
+
+    For tables whose rows grow in the next step. Blocks of rows that follow one another stay together, as rows of one key
+    often do; keys play no part, so none can be hot. A table with no more than `rows` rows is left as it is.
+    """
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return df
+    block = F.shiftright(F.monotonically_increasing_id(), 10)
+    return df.withColumn("_block", block).repartition(parts, "_block").drop("_block")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First `k` rows per key.
 

@@ -11,8 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder import vocab
+from larder.operators import scale
 
 AS_OF = "2024-01-30"
+# Parts that a task makes tall rows of, about 14 times as many.
+PARTS_PER_TASK = 50_000
 
 
 def _case(expr: str, values: list[str | None]) -> str:
@@ -259,8 +262,10 @@ def articles_sql() -> str:
 
 
 def raw_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tall rows of all parts, each of which becomes one row per attribute; so parts are dealt out before that."""
     rows = ", ".join(f"named_struct('attribute', '{a}', 'value', {v})" for a, v in EAV)
-    return load(spark, sf_dir, "part").selectExpr(f"{EAV_NAME} AS recipe_name", f"inline(array({rows}))")
+    parts = scale.dealt(load(spark, sf_dir, "part"), PARTS_PER_TASK)
+    return parts.selectExpr(f"{EAV_NAME} AS recipe_name", f"inline(array({rows}))")
 
 
 def raw_recipes_sql() -> str:

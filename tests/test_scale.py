@@ -6,6 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from larder.operators import scale
+from larder.plans import views
 
 
 def skewed(n=3000, keys=40, seed=5):
@@ -59,3 +60,16 @@ def test_settle_keeps_rows_and_schema(spark):
     rows = spark.createDataFrame(skewed(), "k string, i int, v int")
     kept = scale.settle(rows, "rows")
     assert kept.schema == rows.schema and kept.count() == rows.count()
+
+
+def test_parts_are_dealt_out_before_they_become_tall_rows(spark, tmp_path, monkeypatch):
+    rows = [(i, f"n{i}", "b", "t", i % 50) for i in range(5_000)] + [(None, None, None, None, None)] * 3_000 + [(7, "n7", "b", "t", 7)] * 3_000
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    whole = views.raw_recipes(spark, str(tmp_path))
+    monkeypatch.setattr(views, "PARTS_PER_TASK", 2_000)
+    dealt = views.raw_recipes(spark, str(tmp_path))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert whole.rdd.getNumPartitions() == 1 and len(sizes) > 1
+    assert sum(sizes) == 11_000 * 14 and max(sizes) <= 3 * 2_000 * 14
+    assert dealt.exceptAll(whole).count() == whole.exceptAll(dealt).count() == 0

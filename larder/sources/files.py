@@ -113,7 +113,8 @@ def read_recipe_partitions(spark: SparkSession, path: str) -> DataFrame:
 def write_packed_csvs(rows: DataFrame, path: str, rows_per_file: int = CSV_ROWS_PER_FILE) -> None:
     """Recipes in files of about `rows_per_file` rows, in order of their names, with an index of the files of each recipe.
 
-    For very many recipes this replaces a directory each; `read_packed_recipes` opens only the files it needs.
+    For very many recipes this replaces a directory each; `read_packed_recipes` opens only the files it needs. The index is
+    in order of the names as well, in as many files as its size asks for.
     """
     parts = max(1, -(-rows.count() // rows_per_file))
     (
@@ -122,7 +123,8 @@ def write_packed_csvs(rows: DataFrame, path: str, rows_per_file: int = CSV_ROWS_
         .write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/rows")
     )
     packed = _packed(rows.sparkSession, f"{path}/rows")
-    packed.select("recipe_name", "_file").distinct().coalesce(1).sortWithinPartitions("recipe_name").write.mode("overwrite").parquet(f"{path}/index")
+    index = packed.select("recipe_name", "_file").distinct().repartitionByRange("recipe_name", "_file")
+    index.sortWithinPartitions("recipe_name").write.mode("overwrite").parquet(f"{path}/index")
 
 
 def _packed(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -137,3 +137,16 @@ def test_files_are_loaded_once_until_they_change(spark, tmp_path):
     (folder / "soup.csv").write_text("Nutrient,Amount per Serving,Unit\nSalt,2.0,g\n")
     os.utime(folder / "dal.csv", (2_000_000_000, 2_000_000_000))
     assert sorted(r.recipe_name for r in load()[0].collect()) == ["dal", "soup"]
+
+
+def test_index_of_packed_recipes_is_not_written_by_one_task(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("concat('r', id div 4) AS recipe_name", "'a' AS attribute", "'1' AS value", "'g' AS unit", "id AS position")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_packed_csvs(rows, str(tmp_path), 4_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert len(list((tmp_path / "index").glob("part-*"))) > 1
+    assert index.select("recipe_name").distinct().count() == 5_000 and index.count() == index.distinct().count()
+    assert files.read_packed_recipes(spark, str(tmp_path), ["r17", "r4999"]).count() == 8

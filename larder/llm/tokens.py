@@ -6,7 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -15,9 +15,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core;
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words in the table before it is emptied, and characters of the texts that are looked up together.
+#: Words in the table before it is emptied, characters of the texts that are looked up together, and new words encoded together.
 KNOWN = 1_000_000
 TOGETHER = 1 << 20
+LEARNT = 100
 # Texts of these characters alone are unchanged by NFC, and both engines agree on their letters, lower case and blanks.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u024f]*")
 _loaded: dict[str, WordTokenizer] = {}
@@ -28,7 +29,7 @@ class WordTokenizer:
 
     The tokenizer of the file parts lower-cased text at blanks and encodes what stands between them alone, so
     a text's ids are those of its words, one after another. Words are looked up in a table; new ones go through the
-    tokenizer together. A text with characters outside the plain range, or that spells a special token, is given to
+    tokenizer together, less its normalizer, which leaves lower-cased words of the plain range as they are. A text with characters outside the plain range, or that spells a special token, is given to
     the tokenizer as a whole, as is every text if the file has another scheme. A Python worker keeps the
     table for its next tasks (`load`).
     """
@@ -43,6 +44,8 @@ class WordTokenizer:
         split = (scheme.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed":
             self.pattern = regex.compile(split["pattern"]["Regex"])
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = None
         self._forget()
 
     @classmethod
@@ -58,9 +61,9 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
-        for first in range(0, len(new), 1000):
-            part = new[first : first + 1000]
-            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        for first in range(0, len(new), LEARNT):
+            part = new[first : first + LEARNT]
+            encoding = self.words.encode(" ".join(part), add_special_tokens=False)
             ids, pieces = np.array(encoding.ids, np.uint32), np.array(encoding.word_ids, np.int64)
             # How many pieces each word has, where its last piece ends among the ids.
             upto = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in part])
@@ -87,18 +90,20 @@ class WordTokenizer:
             first = end
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        plain = [self.pattern is not None and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        words = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        lower = [t.lower() for t in texts]
+        plain = [self.pattern is not None and bool(_PLAIN.fullmatch(t)) and not any(s in t or s in low for s in self.special)
+                 for t, low in zip(texts, lower, strict=True)]
+        words = [low.split() if p else [] for low, p in zip(lower, plain, strict=True)]
         every = list(chain.from_iterable(words))
-        found = list(map(self.number.get, every))
-        if None in found:
-            new = {w for w, i in zip(every, found, strict=True) if i is None}
+        index = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            new = {every[i] for i in unknown.tolist()}
             if len(self.number) + len(new) > KNOWN:
                 self._forget()
-                new = set(every)
+                new, unknown = set(every), np.arange(len(every))
             self._learn(sorted(new))
-            found = list(map(self.number.__getitem__, every))
-        index = np.array(found, np.int64)
+            index[unknown] = np.fromiter(map(self.number.__getitem__, map(every.__getitem__, unknown.tolist())), np.int64, len(unknown))
         begin = self.starts[index]
         sizes = self.starts[index + 1] - begin
         upto = np.concatenate([[0], np.cumsum(sizes)])

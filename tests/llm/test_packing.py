@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from larder.llm import packing
+from larder.llm import packing, tokens
 from larder.llm.packing import Limits
 from larder.llm.queries import tokenizer_path
 from larder.llm.tokens import WordTokenizer
@@ -60,3 +60,13 @@ def test_empty_table_and_limits(spark):
     assert packing.pack(docs, tokenizer_path()).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, tokenizer_path(), Limits(loss=0))
+
+
+def test_lower_casing_and_rare_letters_encode_as_whole_texts(monkeypatch):
+    own, plain = WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    letters = "".join(map(chr, [*range(0xA1, 0x130), *range(0x131, 0x250)]))
+    texts = [" ".join(letters), letters, letters.upper(), "<|ENDOFTEXT|> a", "x<|EndOfText|>", "Ⱥb ȾC ÀÉ's 'LL ǅx", *(f"{c}'T a{c}1{c}" for c in letters)]
+    for known in (10**6, 300):
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        for _ in range(2):
+            assert [x.tolist() for x in own.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -41,8 +41,10 @@ LENGTH = 400
 GRAM = 128
 #: A passage: a string of more than 50 words that starts twice.
 WORDS = 51
-#: Runs of one suffix that a task compares at once; suffixes with more go string by string through a shuffle.
+#: Runs of one suffix that a task compares at once; suffixes with more go block by block through a shuffle.
 TOGETHER = 1024
+#: Strings in a block of such a run, from coarse to fine.
+BLOCKS = (64, 8, 1)
 #: Bits of a place in a text.
 PLACE = U64(31)
 
@@ -284,16 +286,81 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = 4, tog
     )
     small = runs.where("not large").repartition("gram").sortWithinPartitions("gram")
     small = small.mapInArrow(lambda parts: _compare(parts, units, length), "row long, begin int, end int")
-    strings = runs.where("large").mapInArrow(lambda parts: _strings(parts, units, length), "name long, row long, begin int, again boolean")
-    twice = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    large = strings.where("not again").join(twice, "name", "left_semi").select(
-        "row", "begin", (F.col("begin") + length).alias("end"))
-    spans = sure.unionByName(small).unionByName(large).distinct()
+    large, parts = _large(runs.where("large"), units, length, gram)
+    spans = sure.unionByName(small)
+    for found in large:
+        spans = spans.unionByName(found)
+    spans = spans.distinct()
     spans = keep(spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    forget(marked, runs)
+    forget(marked, runs, *parts)
     return spans
 
 
+def _large(runs: DataFrame, units: Units, length: int, gram: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans of the strings that runs of one suffix share, tables they read), without bringing the runs of a suffix together.
+
+    Runs are parted into blocks of neighbouring strings, by how far before the suffix a string starts. Two blocks share
+    strings only if they agree in what all strings of the block cover (`core`), and all of them if they are equal (`whole`). So
+    only blocks that agree in the one and not in the other are parted further, down to single strings.
+    """
+    large: list[DataFrame] = []
+    tables: list[DataFrame] = []
+    if runs.isEmpty():
+        return large, tables
+    blocks = runs.select("row", "low", "gram", "again", "bytes")
+    for size in [n for n in BLOCKS if n < length - gram + 1]:
+        parted = keep(blocks.mapInArrow(
+            lambda parts, size=size: _parted(parts, units, length, gram, size),
+            "row long, low int, n int, core long, whole long, gram long, again boolean, bytes binary"), "blocks")
+        tables.append(parted)
+        equal = parted.groupBy("core", "whole").agg((F.count("*") > 1).alias("twice"), F.max("again").alias("again"))
+        large.append(parted.where("not again").join(equal.where("twice").select("core", "whole"), ["core", "whole"], "left_semi").select(
+            "row", F.col("low").alias("begin"), (F.col("low") + F.col("n") - 1 + length).alias("end")))
+        # One block stands for its equals: those need no answer any more, others may share strings with them.
+        settled = F.col("twice") | F.col("again")
+        mixed = equal.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
+        kinds = parted.groupBy("core", "whole").agg(
+            (F.max("again") | (F.count("*") > 1)).alias("again"), F.first(F.struct("row", "low", "gram", "bytes")).alias("one"))
+        blocks = kinds.join(mixed, "core", "left_semi").select("one.row", "one.low", "one.gram", "again", "one.bytes")
+    return large, tables
+
+
+def _parted(batches: Iterator[pa.RecordBatch], units: Units, length: int, gram: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to `size` strings of each run; single strings come without their units."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["row", "low", "n", "core", "whole", "gram", "again", "bytes"]
+    for batch in batches:
+        row, low, name = (batch.column(x).to_numpy() for x in ("row", "low", "gram"))
+        again = batch.column("again").to_numpy(zero_copy_only=False)
+        out: list[list] = []
+        pieces: list[bytes | None] = []
+        for i, stored in enumerate(batch.column("bytes")):
+            stored = stored.as_buffer()
+            data, sums = units.read(stored)
+            strings = len(data) - length + 1
+            # The suffix: where its gram stands first in the last string.
+            may = np.arange(strings - 1, len(data) - gram + 1)
+            place = may[np.argmax(hash_spans(sums, may, may + gram) == name[i : i + 1].view(np.uint64))]
+            block = (place - np.arange(strings)) // size
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            last = np.concatenate([first[1:], [strings]]) - 1
+            near = block[first] * size
+            with np.errstate(over="ignore"):
+                seed = name[i : i + 1].view(np.uint64) + mix(block[first].astype(np.uint64))
+                core = mix(hash_spans(sums, place - near, place - near - size + 1 + length) + seed)
+                whole = mix(hash_spans(sums, first, last + length) + seed + mix((place - first).astype(np.uint64) * U64(1 << 32) + last.astype(np.uint64) - first.astype(np.uint64)))
+            count = len(first)
+            out.append([np.full(count, row[i]), low[i] + first, last - first + 1, core.view(np.int64), whole.view(np.int64),
+                        np.full(count, name[i]), np.full(count, again[i])])
+            data_bytes = stored.to_pybytes() if size > 1 else b""
+            pieces += [data_bytes[units.size * a : units.size * (b + length)] if size > 1 else None for a, b in zip(first, last, strict=True)]
+            if len(pieces) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([*map(np.concatenate, zip(*out, strict=True)), pieces], kinds, strict=True)], names)
+                out, pieces = [], []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([*map(np.concatenate, zip(*out, strict=True)), pieces], kinds, strict=True)], names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], units: Units, length: int) -> Iterator[pa.RecordBatch]:
     """The units of the runs named in `cuts`."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
@@ -367,18 +434,6 @@ def _compared(table: pa.Table, units: Units, length: int) -> Iterator[pa.RecordB
         first = end
 
 
-def _strings(batches: Iterator[pa.RecordBatch], units: Units, length: int) -> Iterator[pa.RecordBatch]:
-    """One row per string of each run."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, 500):
-            part = batch.slice(first, 500)
-            names, runs, places = _names(part, units, length)
-            take = pa.array(runs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names.view(np.int64)), part.column("row").take(take), pa.array(places.astype(np.int32)),
-                 part.column("again").take(take)], ["name", "row", "begin", "again"])
-
-
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """The maximal runs that spans cover, in order."""
     out: list[tuple[int, int]] = []

@@ -124,3 +124,25 @@ def test_a_text_longer_than_a_block(spark):
     whole = long[600_000 : 600_500].strip().split(" ")
     inside = len(whole) - (long[599_999] != " ") - (long[600_500] != " ")
     assert got[1].passage_words == got[2].passage_words and 0 <= got[1].passage_words - inside <= 2 and got[3].passage_words == 0
+
+
+def test_many_runs_of_one_suffix_make_few_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh") for _ in range(1500))
+    texts = []
+    for _ in range(150):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + rng.choice("XYZ") + base[at + 1 :])
+    made, parted, suffix_rows = [], suffixes._large, []
+
+    def counted(runs, units, length, gram):
+        suffix_rows.append(runs.count())
+        spans, tables = parted(runs, units, length, gram)
+        made.extend(t.count() for t in tables)
+        return spans, tables
+
+    monkeypatch.setattr(suffixes, "_large", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.remove_repeats(docs, together=20, batches=2).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts, 400)
+    assert suffix_rows[0] > 100 and sum(made) < 60 * suffix_rows[0]

@@ -137,8 +137,8 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         yield block()
 
 
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct values, where each of `values`, none negative, stands among them).
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(`values`, none negative, by size, where each of these stood); equal ones as they stood.
 
     Value and place are sorted as one number, which is much quicker than sorting places by values. The lowest bits of values
     that leave no room for the place are cut off; should values differ in these alone, places are sorted after all.
@@ -147,13 +147,27 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return values, np.zeros(0, np.int64)
     room = U64(len(values).bit_length())
     cut = U64(max(0, int(values.max()).bit_length() + int(room) - 64))
-    both = (values.astype(np.uint64) >> cut) << room | np.arange(len(values), dtype=np.uint64)
+    both = (values.astype(np.uint64) >> cut) << room
+    both |= np.arange(len(values), dtype=np.uint64)
     both.sort()
-    order = (both & ((U64(1) << room) - U64(1))).astype(np.int64)
+    order = (both & ((U64(1) << room) - U64(1))).view(np.int64)
+    if not cut:
+        return (both >> room).astype(values.dtype), order
     ordered = values[order]
-    if cut and (ordered[1:] < ordered[:-1]).any():
-        order = np.argsort(values)
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(values, kind="stable")
         ordered = values[order]
+    return ordered, order
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of `values`, none negative, by value; equal ones as they stand."""
+    return _sorted(values)[1]
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, where each of `values`, none negative, stands among them)."""
+    ordered, order = _sorted(values)
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     place = np.empty(len(ordered), np.int64)
@@ -223,18 +237,20 @@ def _pairs(parcel: Parcel, buckets: int, hot: float) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         name = mix(numbers.astype(np.uint64) + U64(1))
     home = (name % U64(buckets)).astype(np.int64)
-    by_home = np.lexsort([numbers, home])
-    by_number = np.argsort(numbers)
+    by_number = _order(numbers)
+    by_home = by_number[_order(home[by_number])]
+    rank = _ranks(by_number)
     # In the order of a context's bucket, the context and the word.
-    codes, place = _distinct(_ranks(by_home)[before] * len(numbers) + _ranks(by_number)[places])
+    codes, place = _distinct(_ranks(by_home)[before] * len(numbers) + rank[places])
     learned = np.bincount(place, weights=_by_token(held == 0, lengths), minlength=len(codes)).astype(np.int64)
-    left, right = by_home[codes // len(numbers)], by_number[codes % len(numbers)]
+    left, right = np.divmod(codes, len(numbers))
+    left, right = by_home[left], by_number[right]
     contexts, words, bucket = numbers[left], numbers[right], home[left]
     spread = counts[left] >= hot
     if spread.any():
         with np.errstate(over="ignore"):
-            bucket = np.where(spread, (mix(name[left] + words.astype(np.uint64)) % U64(buckets)).astype(np.int64), bucket)
-        order = np.lexsort([words, contexts, bucket])
+            bucket[spread] = mix(name[left[spread]] + words[spread].astype(np.uint64)) % U64(buckets)
+        order = _order(bucket * len(numbers) + rank[left])  # the words of a context keep their order
         contexts, words, bucket, learned, place = contexts[order], words[order], bucket[order], learned[order], _ranks(order)[place]
     return np.searchsorted(bucket, np.arange(buckets + 1)), contexts, words, learned, place
 
@@ -263,7 +279,7 @@ class _Pairs:
 def _keys(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct word numbers by word bucket and place in it, where each of `numbers` stands there)."""
     found, place = _distinct(numbers)
-    order = np.argsort(found % buckets, kind="stable")
+    order = _order(found % buckets)
     return found[order], _ranks(order)[place]
 
 

@@ -43,9 +43,13 @@ def _dealt(weights: np.ndarray, number: np.ndarray, chance: np.ndarray) -> np.nd
     """`number` things dealt out by weights; one thing falls on each place with its share as chance."""
     upto = np.cumsum(weights, axis=1)
     whole = np.maximum(upto[:, -1:], 1e-300)
-    marks = np.minimum(np.floor(upto / whole * number[:, None] + chance[:, None]), number[:, None])
-    marks[upto >= whole] = np.broadcast_to(number[:, None], marks.shape)[upto >= whole]
-    return np.diff(marks, axis=1, prepend=0).astype(np.int64)
+    full = upto >= whole
+    marks = upto / whole
+    marks *= number[:, None]
+    marks += chance[:, None]
+    marks = np.where(full, number[:, None], np.minimum(np.floor(marks, out=marks), number[:, None], out=marks)).astype(np.int64)
+    marks[:, 1:] -= marks[:, :-1].copy()
+    return marks
 
 
 class Seating:

@@ -195,6 +195,54 @@ def test_distinct_values():
         assert (found == np.unique(values)).all() and (found[place] == values).all()
 
 
+def test_places_by_value():
+    rng = np.random.default_rng(2)
+    for values in (rng.integers(0, 9, 500), rng.integers(0, 2**62, 500), np.zeros(0, np.int64), np.full(70, 2**62), rng.integers(0, 4, 900) + 2**61):
+        ordered, order = pitmanyor._sorted(values)
+        assert order.tolist() == np.argsort(values, kind="stable").tolist() and ordered.tolist() == np.sort(values).tolist()
+
+
+def a_block(tokens, vocabulary, seed=3):
+    """A block of texts as `_identify` makes it; a few words are very frequent."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.multinomial(tokens - tokens // 100, np.full(tokens // 100, 100 / tokens)) + 1
+    places = np.minimum(rng.zipf(1.2, lengths.sum()) - 1, vocabulary - 1)
+    places[np.cumsum(lengths) - 1] = vocabulary - 1  # the ends of texts
+    numbers, counts = rng.permutation(4 * vocabulary)[:vocabulary], np.bincount(places, minlength=vocabulary)
+    held = rng.random(len(lengths)) < 0.1
+    return (0, "block", 0, 0, [pitmanyor.pack(x) for x in (lengths, held, held, lengths, numbers, counts, places)]), counts, held, lengths, numbers, places
+
+
+@pytest.mark.parametrize("hot", [1e18, 300])
+def test_pairs_of_a_block(hot):
+    block, counts, held, lengths, numbers, places = a_block(20_000, 3000)
+    bounds, contexts, pair_words, learned, place = pitmanyor._pairs(block, 7, hot)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    before = np.concatenate([places[-1:], places[:-1]])
+    assert (contexts[place] == numbers[before]).all() and (pair_words[place] == numbers[places]).all()
+    assert learned.tolist() == np.bincount(place[~held[text]], minlength=len(learned)).tolist()
+    name = lambda x: mix(x.astype(np.uint64) + U64(1))
+    spread = np.isin(contexts, numbers[counts >= hot])
+    with np.errstate(over="ignore"):
+        home = np.where(spread, mix(name(contexts) + pair_words.astype(np.uint64)), name(contexts)) % U64(7)
+    assert spread.any() == (hot < 1e9) and len(set(zip(contexts.tolist(), pair_words.tolist(), strict=True))) == len(contexts)
+    assert (np.lexsort([pair_words, contexts, home]) == np.arange(len(contexts))).all()
+    assert bounds.tolist() == np.searchsorted(home, np.arange(8)).tolist()
+
+
+def test_pairs_of_a_block_are_not_sorted_by_several_keys(monkeypatch):
+    """Bucket, context and word of all pairs went through lexsort, and words' buckets too, three times for every block."""
+    slow = []
+    for name in ("lexsort", "argsort"):
+        def noted(*args, sort=getattr(np, name), **kwargs):
+            slow.append(np.shape(args[0]))
+            return sort(*args, **kwargs)
+        monkeypatch.setattr(np, name, noted)
+    block, *_ = a_block(20_000, 3000)
+    pitmanyor._pairs(block, 7, 300)
+    assert not slow
+
+
 def test_odd_tables(spark):
     empty = pitmanyor.score(frame(spark, []))
     assert empty.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and empty.count() == 0
